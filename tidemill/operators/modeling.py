@@ -161,7 +161,8 @@ class Prepared:
         else:
             label = name(self.target).cast("double")
         rows = rows.select(
-            *[name(c).cast("double").alias(f"f{i}") for i, c in enumerate(self.features)],
+            # A label that training never saw has no code; it counts as 0.
+            *[F.coalesce(name(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(self.features)],
             label.alias("label"),
             *[v.alias(k) for k, v in (extra or {}).items()],
         )
@@ -200,6 +201,11 @@ def canonical(model: str) -> str:
     return known
 
 
+def display_name(model: str, kind: str) -> str:
+    known = canonical(model)
+    return "linear_regression" if known == "logistic_regression" and kind == "regression" else known
+
+
 def build_estimator(model: str, kind: str, classes: int, rows: int, params: Mapping | None = None):
     """The Spark ML estimator for a model name, with parameters under their usual names."""
     p, model = dict(params or {}), canonical(model)
@@ -265,6 +271,17 @@ class TrainedModel:
         return PipelineModel(stages=[assembler(len(self.prepared.features)), self.fitted])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Persist a training table, over all cores when it comes in fewer pieces than there are.
+
+    Trainers go over it many times, so one exchange of a small input pays; a large input already
+    has more pieces than the cluster has cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df.rdd.getNumPartitions()
+    return (df if pieces >= cores else df.repartition(cores)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _fit(model: str, prepared: Prepared, table: DataFrame, rows: int, params: Mapping | None):
     classes = len(prepared.labels or [])
     return build_estimator(model, prepared.kind, classes, rows, params).fit(table)
@@ -311,13 +328,13 @@ def train_model(
     stratify = problem_type(df, target) == "classification"
     train, test = train_test(df, target, key, test_size, seed, stratify)
     prepared = prepare(df if fit_on == "all" else train, target, strategy, exclude)
-    table = prepared.assemble(train).persist(StorageLevel.MEMORY_AND_DISK)
+    table = _spread(prepared.assemble(train))
     try:
         fitted = _fit(model, prepared, table, table.count(), params)
     finally:
         table.unpersist()
     metrics = measure(prepared, fitted.transform(prepared.assemble(test)))
-    return TrainedModel(model_name or f"{model}_0", canonical(model), prepared, fitted, metrics, dict(params or {}))
+    return TrainedModel(model_name or f"{model}_0", display_name(model, prepared.kind), prepared, fitted, metrics, dict(params or {}))
 
 
 def metrics_table(spark, models: Sequence[TrainedModel]) -> DataFrame:
@@ -336,7 +353,7 @@ def compare_models(models: Sequence[TrainedModel], test: DataFrame) -> DataFrame
     """Every model on the same rows; the best by accuracy or R2 is flagged."""
     if not models:
         raise ValueError("no models to compare")
-    table = models[0].prepared.assemble(test).persist(StorageLevel.MEMORY_AND_DISK)
+    table = _spread(models[0].prepared.assemble(test))
     try:
         rows = []
         for m in models:
@@ -358,7 +375,8 @@ def _fold_table(df: DataFrame, target: str, key: Sequence[str] | None, folds: in
     rows = known_target(df, target)
     prepared = prepare(rows, target, exclude=exclude)
     rows = with_folds(rows, key or row_key(df), max(folds, 2), seed, "__fold")
-    table = prepared.assemble(rows, extra={"fold": F.col("__fold")}).persist(StorageLevel.MEMORY_AND_DISK)
+    table = prepared.assemble(rows, extra={"fold": F.col("__fold")})
+    table = _spread(table)
     return prepared, table, table.count()
 
 
@@ -392,7 +410,7 @@ def cross_validate(
     finally:
         table.unpersist()
     scoring = "accuracy" if prepared.kind == "classification" else "r2"
-    data = [(canonical(model), scoring, i, float(s), *_summary(scores).values()) for i, s in enumerate(scores)]
+    data = [(display_name(model, prepared.kind), scoring, i, float(s), *_summary(scores).values()) for i, s in enumerate(scores)]
     names = list(_summary(scores))
     out = df.sparkSession.createDataFrame(
         data, "model string, scoring string, fold int, score double, " + ", ".join(f"{n} double" for n in names)
@@ -437,7 +455,7 @@ def auto_train(
     kind = problem_type(df, target)
     train, test = train_test(df, target, key, test_size, seed, kind == "classification")
     prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude)
-    held_out = prepared.assemble(test).persist(StorageLevel.MEMORY_AND_DISK)
+    held_out = _spread(prepared.assemble(test))
     main = "accuracy" if kind == "classification" else "r2_score"
     trained, data = [], []
     try:
@@ -449,7 +467,7 @@ def auto_train(
                 metrics = measure(prepared, fitted.transform(held_out))
                 if cv:
                     metrics = {"cv_mean": round(cv["mean_score"], 4), "cv_std": round(cv["std_score"], 4), **metrics}
-                trained.append(TrainedModel(model, canonical(model), prepared, fitted, metrics, chosen))
+                trained.append(TrainedModel(model, display_name(model, kind), prepared, fitted, metrics, chosen))
             except Exception as error:  # one model's failure must not end the comparison
                 data.append((model, "error", None, str(error).splitlines()[0]))
     finally:
@@ -487,9 +505,9 @@ def feature_importance(
     """Features by importance or absolute coefficient, of a given model or of one fitted on all rows."""
     if isinstance(model, str):
         prepared = prepare(df, target, exclude=exclude)
-        table = prepared.assemble(df).persist(StorageLevel.MEMORY_AND_DISK)
+        table = _spread(prepared.assemble(df))
         try:
-            model = TrainedModel(model, canonical(model), prepared, _fit(model, prepared, table, table.count(), params))
+            model = TrainedModel(model, display_name(model, prepared.kind), prepared, _fit(model, prepared, table, table.count(), params))
         finally:
             table.unpersist()
     ranked = importances(model)[:top]
