@@ -50,7 +50,9 @@ GRIDS: dict[str, dict[str, list]] = {
 # Splits
 
 
-def split_condition(df: DataFrame, target: str, key: Sequence[str], test_size: float, seed: int, stratify: bool) -> Column:
+def split_condition(
+    df: DataFrame, target: str, key: Sequence[str], test_size: float, seed: int, stratify: bool, labels: Sequence[str] | None = None
+) -> Column:
     """True for test rows. Every row's side depends on its key alone, not on partitioning."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
@@ -59,7 +61,7 @@ def split_condition(df: DataFrame, target: str, key: Sequence[str], test_size: f
         return unit < F.lit(float(test_size))
     # Each label gets its own threshold, so its share of test rows is exact to one row.
     label = name(target).cast("string")
-    labels = class_labels(df, target)
+    labels = class_labels(df, target) if labels is None else labels
     limits = exact_quantiles(df, {v: F.when(label == F.lit(v), unit) for v in labels}, [test_size])
     limit = F.lit(None).cast("double")
     for v in labels:
@@ -68,12 +70,13 @@ def split_condition(df: DataFrame, target: str, key: Sequence[str], test_size: f
 
 
 def train_test(
-    df: DataFrame, target: str, key: Sequence[str] | None = None, test_size: float = 0.2, seed: int = 42, stratify: bool = False
+    df: DataFrame, target: str, key: Sequence[str] | None = None, test_size: float = 0.2, seed: int = 42,
+    stratify: bool = False, labels: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with a known target, divided by key hash."""
     require(df, [target, *(key or [])])
     rows = known_target(df, target)
-    test = split_condition(rows, target, key or row_key(df), test_size, seed, stratify)
+    test = split_condition(rows, target, key or row_key(df), test_size, seed, stratify, labels)
     return rows.filter(~test), rows.filter(test)
 
 
@@ -174,9 +177,18 @@ def assembler(width: int) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"f{i}" for i in range(width)], outputCol="features", handleInvalid="error")
 
 
-def prepare(df: DataFrame, target: str, strategy: str = "median", exclude: Sequence[str] = (), label_dir: str | None = None) -> Prepared:
-    """Fit the feature preparation on ``df``; columns of other types than number, text and flag are left out."""
+def describe_target(df: DataFrame, target: str) -> tuple[str, list[str] | None]:
+    """The problem type and, for a classification, the classes."""
     kind = problem_type(df, target)
+    return kind, class_labels(df, target) if kind == "classification" else None
+
+
+def prepare(
+    df: DataFrame, target: str, strategy: str = "median", exclude: Sequence[str] = (), label_dir: str | None = None,
+    described: tuple[str, list[str] | None] | None = None,
+) -> Prepared:
+    """Fit the feature preparation on ``df``; columns of other types than number, text and flag are left out."""
+    kind, labels = described or describe_target(df, target)
     features = [
         f.name for f in df.schema.fields
         if f.name != target and f.name not in exclude and type_class(f.dataType) in ("numeric", "string", "boolean")
@@ -188,7 +200,7 @@ def prepare(df: DataFrame, target: str, strategy: str = "median", exclude: Seque
     flags = [c for c in features if type_class(df.schema[c].dataType) == "boolean"]
     if flags:
         steps = [*steps, Fitted("flags", {"cols": flags})]
-    return Prepared(target, kind, features, steps, class_labels(df, target) if kind == "classification" else None)
+    return Prepared(target, kind, features, steps, labels)
 
 
 # Trainers
@@ -295,15 +307,20 @@ def _score_of(kind: str, predictions: DataFrame) -> float:
 
 def measure(prepared: Prepared, predictions: DataFrame) -> dict:
     """Metric values of (label, prediction) rows; AUC too when there are two classes and scores."""
-    if prepared.kind != "classification":
-        row = regression_metrics(predictions, "label", "prediction").first()
-        return {k: row[k] for k in ("r2_score", "rmse", "mae", "mse")}
-    row = classification_metrics(predictions, "label", "prediction").first()
-    out = {k: row[k] for k in ("accuracy", "precision", "recall", "f1_score")}
-    if len(prepared.labels or []) == 2 and "probability" in predictions.columns:
-        scored = predictions.select("label", vector_to_array("probability")[1].alias("score"))
-        out["roc_auc"] = roc_auc(scored, "label", "score").first()["roc_auc"]
-    return out
+    binary = len(prepared.labels or []) == 2 and "probability" in predictions.columns
+    chance = [vector_to_array("probability")[1].alias("score")] if binary else []
+    rows = predictions.select("label", "prediction", *chance).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if prepared.kind != "classification":
+            row = regression_metrics(rows, "label", "prediction").first()
+            return {k: row[k] for k in ("r2_score", "rmse", "mae", "mse")}
+        row = classification_metrics(rows, "label", "prediction").first()
+        out = {k: row[k] for k in ("accuracy", "precision", "recall", "f1_score")}
+        if binary:
+            out["roc_auc"] = roc_auc(rows, "label", "score").first()["roc_auc"]
+        return out
+    finally:
+        rows.unpersist()
 
 
 def train_model(
@@ -323,11 +340,11 @@ def train_model(
 
     ``fit_on`` says whether encoders and fills learn from the training rows or from all rows.
     """
-    if model == "logistic" and problem_type(df, target) != "classification":
+    kind, labels = describe_target(df, target)
+    if model == "logistic" and kind != "classification":
         raise ValueError("logistic regression needs a classification target")
-    stratify = problem_type(df, target) == "classification"
-    train, test = train_test(df, target, key, test_size, seed, stratify)
-    prepared = prepare(df if fit_on == "all" else train, target, strategy, exclude)
+    train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
+    prepared = prepare(df if fit_on == "all" else train, target, strategy, exclude, described=(kind, labels))
     table = _spread(prepared.assemble(train))
     try:
         fitted = _fit(model, prepared, table, table.count(), params)
@@ -370,10 +387,12 @@ def compare_models(models: Sequence[TrainedModel], test: DataFrame) -> DataFrame
 # Cross-validation and search
 
 
-def _fold_table(df: DataFrame, target: str, key: Sequence[str] | None, folds: int, seed: int, exclude: Sequence[str]):
+def _fold_table(
+    df: DataFrame, target: str, key: Sequence[str] | None, folds: int, seed: int, exclude: Sequence[str], described=None
+):
     """(preparation, persisted features-label-fold table, rows) that all fits of a search share."""
     rows = known_target(df, target)
-    prepared = prepare(rows, target, exclude=exclude)
+    prepared = prepare(rows, target, exclude=exclude, described=described)
     rows = with_folds(rows, key or row_key(df), max(folds, 2), seed, "__fold")
     table = prepared.assemble(rows, extra={"fold": F.col("__fold")})
     table = _spread(table)
@@ -451,10 +470,13 @@ def auto_train(
     models: Sequence[str] = ("random_forest", "gbt", "gbt_deep", "logistic_regression"),
     params: Mapping[str, Mapping] | None = None, exclude: Sequence[str] = (), seed: int = 42,
 ) -> AutoResult:
-    """Cross-validate and test several models; a model that fails leaves an error row and the rest go on."""
-    kind = problem_type(df, target)
-    train, test = train_test(df, target, key, test_size, seed, kind == "classification")
-    prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude)
+    """Cross-validate and test several models; a model that fails leaves an error row and the rest go on.
+
+    With fewer than 2 ``folds`` the models are only trained and tested.
+    """
+    kind, labels = describe_target(df, target)
+    train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
+    prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude, (kind, labels))
     held_out = _spread(prepared.assemble(test))
     main = "accuracy" if kind == "classification" else "r2_score"
     trained, data = [], []

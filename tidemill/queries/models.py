@@ -205,13 +205,11 @@ def _(spark, folder):
 
 @query("compare_models")
 def _(spark, folder):
-    df = lines(spark, folder)
-    models = [
-        modeling.train_model(df, "l_linestatus", m, key=LINE_KEY, params=p, exclude=OUT, model_name=m)
-        for m, p in (("random_forest", SMALL_FOREST), ("logistic_regression", None), ("svm", {"max_iter": 10}))
-    ]
-    _, test = modeling.train_test(df, "l_linestatus", LINE_KEY, stratify=True)
-    return modeling.compare_models(models, test)
+    found = modeling.auto_train(
+        lines(spark, folder), "l_linestatus", 0, key=LINE_KEY, exclude=OUT, models=("random_forest", "logistic_regression", "svm"),
+        params={"random_forest": SMALL_FOREST, "svm": {"max_iter": 10}},
+    )
+    return modeling.compare_models(found.models, found.test)
 
 
 @query("feature_importance")
