@@ -63,7 +63,7 @@ def isolating_cuts(df: DataFrame, value: Column, buckets: int, by: str | None =
 def global_index(df: DataFrame, order_by: Sequence[str], out: str = "row_index") -> DataFrame:
     """Zero-based position of every row in the order of ``order_by``.
 
-    The sorted rows are checkpointed with their partition and position, so both uses below see
+    The sorted rows are written with their partition and position, so both uses below see
     the same partitions even after an executor is lost.
     """
     require(df, order_by)
@@ -92,8 +92,14 @@ def running_before(counts: DataFrame, value: str, cuts: Sequence[float], sums: S
     """For a table with one row per distinct value: the sum of each column over smaller values.
 
     Values are split into ranges; only one row per range is summed globally, and the window
-    inside a range sees that range alone. Results are named ``<column>_before``.
+    inside a range sees that range alone. Results are named ``<column>_before``. No ``cuts`` means
+    that the values are few enough for one task.
     """
+    if not cuts:
+        ahead = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("*", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in sums])
+    # Written once: the range totals and the windows below both read it.
+    counts = checkpointed(counts)
     ranged = with_bucket(counts, F.col(value), cuts, "__b")
     totals = ranged.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +110,7 @@ def running_before(counts: DataFrame, value: str, cuts: Sequence[float], sums: S
     local = ranged.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__l_{c}") for c in sums]
     )
-    joined = local.join(F.broadcast(offsets), "__b")
+    joined = local.join(F.broadcast(offsets), "__b", "left")
     return joined.select(
         *counts.columns,
         *[(F.col(f"__o_{c}") + F.col(f"__l_{c}")).alias(f"{c}_before") for c in sums],
@@ -126,7 +132,8 @@ def value_ranks(df: DataFrame, column: str, rows: int) -> DataFrame:
     cuts = split_points(base, F.col("value"), range_count(df.sparkSession, rows)) if rows else []
     counts = base.groupBy("value").agg(F.count("*").alias("n"))
     ranked = running_before(counts, "value", cuts, ["n"])
-    return ranked.select("value", "n", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank"))
+    ranked = ranked.select("value", "n", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank"))
+    return checkpointed(ranked) if rows else ranked
 
 
 def lookup_by_value(

@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemill.functions.jobs import together
+
 ACCURACY = 1000
 FETCH_LIMIT = 200_000
-CHUNK = 24  # aggregates per job; larger ones outgrow what the JVM compiles
+CHUNK = 12  # aggregates per job; larger ones outgrow what the JVM compiles
 
 
 @dataclass
@@ -40,11 +42,11 @@ class _Bracket:
 
 def _run(df: DataFrame, wanted: list[Column], chunk: int = CHUNK) -> list:
     """Evaluate many aggregates, a bounded number per job so that generated code stays small."""
-    values: list = []
-    for start in range(0, len(wanted), chunk):
-        part = wanted[start : start + chunk]
-        values += list(df.agg(*[c.alias(f"a{i}") for i, c in enumerate(part)]).first())
-    return values
+
+    def job(part: list[Column]):
+        return lambda: list(df.agg(*[c.alias(f"a{i}") for i, c in enumerate(part)]).first())
+
+    return [v for row in together([job(wanted[i : i + chunk]) for i in range(0, len(wanted), chunk)]) for v in row]
 
 
 def exact_quantiles(
@@ -53,20 +55,28 @@ def exact_quantiles(
     probs: Sequence[float],
     accuracy: int = ACCURACY,
     fetch_limit: int = FETCH_LIMIT,
+    uniform: bool = False,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each named numeric expression; NULLs are skipped."""
+    """Linearly interpolated quantiles of each named numeric expression; NULLs are skipped.
+
+    ``uniform`` says that values are spread evenly over [0, 1), as hashes are: then the brackets
+    follow from the count and need no sketch. The result is exact either way.
+    """
     probs = list(probs)
     if not targets or not probs:
         return {t: [] for t in targets}
-    numbers = {t: c.cast("double") for t, c in targets.items()}
+    # One plain column per target first, so that each expression is computed once per row and scan.
+    df = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(targets.values())])
+    numbers = {t: F.col(f"x{i}") for i, t in enumerate(targets)}
     margin = 3.0 / accuracy
     edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)})
     names = list(numbers)
     wanted: list[Column] = []
     for t in names:
         x = numbers[t]
-        wanted += [F.count(x), F.min(x), F.max(x), F.percentile_approx(x, edges, accuracy)]
-    found = _run(df, wanted, 16)
+        sketch = F.lit(None) if uniform else F.percentile_approx(x, edges, accuracy)
+        wanted += [F.count(x), F.min(x), F.max(x), sketch]
+    found = _run(df, wanted, 8)
     brackets: dict[tuple[str, float], _Bracket] = {}
     answers: dict[str, list[float | None]] = {t: [None] * len(probs) for t in names}
     span: dict[str, tuple[float, float]] = {}
@@ -75,13 +85,17 @@ def exact_quantiles(
         if not n:
             continue
         span[t] = (low, high)
-        at = dict(zip(edges, sketch))
+        at = dict(zip(edges, sketch or edges))
         for p in probs:
             position = (n - 1) * p
             first = math.floor(position)
             fraction = position - first
             last = first + (1 if fraction > 0 else 0)
             lo_edge, hi_edge = max(0.0, p - margin), min(1.0, p + margin)
+            if uniform:
+                reach = 5 * math.sqrt(p * (1 - p) / n) + 2 / n
+                brackets[t, p] = _Bracket(t, first, last, fraction, max(low, p - reach), min(high, p + reach))
+                continue
             brackets[t, p] = _Bracket(
                 t, first, last, fraction,
                 low if lo_edge == 0.0 else at[lo_edge],
@@ -128,6 +142,8 @@ def _narrow(df, numbers, brackets, span, accuracy, fetch_limit) -> None:
             distinct = [F.approx_count_distinct(F.when(b.member(numbers[b.name]), numbers[b.name])) for b in large.values()]
             large = {k: b for (k, b), d in zip(large.items(), _run(df, distinct, 8)) if d > per_bracket}
         if large:
+            # A finer sketch each round, so that a bracket always shrinks.
+            accuracy = min(10 * accuracy, 1_000_000)
             _resketch(df, numbers, large, accuracy)
         pending = {**wide, **large}
 
@@ -149,28 +165,22 @@ def _fetch(df, numbers, brackets) -> dict[tuple[str, float], list[tuple[float, i
     if not brackets:
         return {}
     keys = list(brackets)
-    # One plain column per target first, so that each expression is computed once per row.
-    base = df.select(*[numbers[t].alias(f"x{i}") for i, t in enumerate(numbers)])
-    slot = {t: F.col(f"x{i}") for i, t in enumerate(numbers)}
-    pairs = [
-        F.struct(F.lit(i).alias("k"), F.when(brackets[key].member(slot[key[0]]), slot[key[0]]).alias("v"))
-        for i, key in enumerate(keys)
-    ]
-    hit = None
-    for key in keys:
-        m = F.coalesce(brackets[key].member(slot[key[0]]), F.lit(False))
-        hit = m if hit is None else hit | m
-    rows = (
-        base.filter(hit)
-        .select(F.inline(F.array(*pairs)))
-        .filter("v IS NOT NULL")
-        .groupBy("k", "v")
-        .count()
-        .collect()
-    )
+    by_name: dict[str, list[int]] = {}
+    for i, key in enumerate(keys):
+        by_name.setdefault(key[0], []).append(i)
+
+    def job(name: str, slots: list[int]):
+        # The brackets of one column; a value may lie in several of them.
+        x = numbers[name]
+        within = [F.when(brackets[keys[i]].member(x), F.lit(i)) for i in slots]
+        hit = F.coalesce(*within).isNotNull()
+        marked = df.filter(hit).select(x.alias("v"), F.explode(F.array_compact(F.array(*within))).alias("k"))
+        return lambda: marked.groupBy("k", "v").count().collect()
+
     out: dict = {key: [] for key in keys}
-    for k, v, n in rows:
-        out[keys[k]].append((v, n))
+    for rows in together([job(n, slots) for n, slots in by_name.items()]):
+        for k, v, n in rows:
+            out[keys[k]].append((v, n))
     return {key: sorted(v) for key, v in out.items()}
 
 

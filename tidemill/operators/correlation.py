@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.columns import name, pick_numeric, present, tidy
+from tidemill.functions.jobs import together
 from tidemill.functions.order import (
     SMALL_TABLE,
     isolating_cuts,
@@ -22,7 +23,7 @@ from tidemill.functions.order import (
 from tidemill.functions.quantiles import _run
 
 WIDE = 12  # above this many columns, per-task matrix products replace one sum per pair
-SUMS_PER_JOB = 30  # larger aggregates outgrow what the JVM compiles; a job reads only its own columns
+SUMS_PER_JOB = 15  # larger aggregates outgrow what the JVM compiles; a job reads only its own columns
 METHODS = ("pearson", "spearman", "kendall")
 
 
@@ -142,8 +143,8 @@ def _ranked(values: DataFrame, cols: Sequence[str], total: int, distinct: dict[s
 
 
 def kendall_pairs(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    values = _values(df, cols)
-    return {(a, b): kendall_tau(values, a, b) for a, b in combinations(cols, 2)}
+    values, pairs = _values(df, cols), list(combinations(cols, 2))
+    return dict(zip(pairs, together([lambda p=p: kendall_tau(values, *p) for p in pairs], 4)))
 
 
 def kendall_tau(df: DataFrame, a: str, b: str, parts: tuple[int, int] | None = None) -> float | None:

@@ -25,6 +25,7 @@ from tidemill.functions.columns import (
     string_columns,
     tidy,
 )
+from tidemill.functions.jobs import together
 from tidemill.functions.order import global_index, lookup_by_value
 from tidemill.functions.quantiles import exact_medians, exact_quantiles
 
@@ -436,15 +437,17 @@ def fit_features(df: DataFrame, target: str, strategy: str = "median", label_dir
     require(df, [target])
     rows = known_target(df, target)
     features = [c for c in df.columns if c != target]
-    steps: list[Fitted] = []
-    for c in features:
-        if c in string_columns(df):
-            path = f"{label_dir}/{len(steps)}" if label_dir else None
-            steps.append(fit_label_encoder(rows, c, path))
+    texts = [c for c in features if c in string_columns(df)]
     numbers = [c for c in features if c in numeric_columns(df)]
+
+    def encoder(c: str):
+        path = f"{label_dir}/{texts.index(c)}" if label_dir else None
+        return lambda: fit_label_encoder(rows, c, path)
+
+    fits = [encoder(c) for c in texts]
     if numbers:
-        steps.append(fit_impute(rows, numbers, strategy))
-    return steps
+        fits.append(lambda: fit_impute(rows, numbers, strategy))
+    return together(fits)
 
 
 def known_target(df: DataFrame, target: str) -> DataFrame:

@@ -62,7 +62,7 @@ def split_condition(
     # Each label gets its own threshold, so its share of test rows is exact to one row.
     label = name(target).cast("string")
     labels = class_labels(df, target) if labels is None else labels
-    limits = exact_quantiles(df, {v: F.when(label == F.lit(v), unit) for v in labels}, [test_size])
+    limits = exact_quantiles(df, {v: F.when(label == F.lit(v), unit) for v in labels}, [test_size], uniform=True)
     limit = F.lit(None).cast("double")
     for v in labels:
         limit = F.when(label == F.lit(v), F.lit(limits[v][0])).otherwise(limit)
@@ -183,18 +183,22 @@ def describe_target(df: DataFrame, target: str) -> tuple[str, list[str] | None]:
     return kind, class_labels(df, target) if kind == "classification" else None
 
 
+def usable_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
+    """Number, text and flag columns other than the target and the excluded ones."""
+    kinds = ("numeric", "string", "boolean")
+    out = [f.name for f in df.schema.fields if f.name not in (target, *exclude) and type_class(f.dataType) in kinds]
+    if not out:
+        raise ValueError("no usable feature columns")
+    return out
+
+
 def prepare(
     df: DataFrame, target: str, strategy: str = "median", exclude: Sequence[str] = (), label_dir: str | None = None,
     described: tuple[str, list[str] | None] | None = None,
 ) -> Prepared:
     """Fit the feature preparation on ``df``; columns of other types than number, text and flag are left out."""
     kind, labels = described or describe_target(df, target)
-    features = [
-        f.name for f in df.schema.fields
-        if f.name != target and f.name not in exclude and type_class(f.dataType) in ("numeric", "string", "boolean")
-    ]
-    if not features:
-        raise ValueError("no usable feature columns")
+    features = usable_features(df, target, exclude)
     used = df.select(*[name(c) for c in [*features, target]])
     steps = fit_features(used, target, strategy, label_dir)
     flags = [c for c in features if type_class(df.schema[c].dataType) == "boolean"]
@@ -344,12 +348,17 @@ def train_model(
     if model == "logistic" and kind != "classification":
         raise ValueError("logistic regression needs a classification target")
     train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
-    prepared = prepare(df if fit_on == "all" else train, target, strategy, exclude, described=(kind, labels))
-    table = _spread(prepared.assemble(train))
+    # The training rows are read several times below; kept, their key hash is computed once.
+    train = _spread(train.select(*[name(c) for c in [*usable_features(df, target, exclude), target]]))
     try:
-        fitted = _fit(model, prepared, table, table.count(), params)
+        prepared = prepare(df if fit_on == "all" else train, target, strategy, exclude, described=(kind, labels))
+        table = prepared.assemble(train).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fitted = _fit(model, prepared, table, table.count(), params)
+        finally:
+            table.unpersist()
     finally:
-        table.unpersist()
+        train.unpersist()
     metrics = measure(prepared, fitted.transform(prepared.assemble(test)))
     return TrainedModel(model_name or f"{model}_0", display_name(model, prepared.kind), prepared, fitted, metrics, dict(params or {}))
 
@@ -391,12 +400,15 @@ def _fold_table(
     df: DataFrame, target: str, key: Sequence[str] | None, folds: int, seed: int, exclude: Sequence[str], described=None
 ):
     """(preparation, persisted features-label-fold table, rows) that all fits of a search share."""
-    rows = known_target(df, target)
-    prepared = prepare(rows, target, exclude=exclude, described=described)
-    rows = with_folds(rows, key or row_key(df), max(folds, 2), seed, "__fold")
-    table = prepared.assemble(rows, extra={"fold": F.col("__fold")})
-    table = _spread(table)
-    return prepared, table, table.count()
+    rows = with_folds(known_target(df, target), key or row_key(df), max(folds, 2), seed, "__fold")
+    used = [*usable_features(df, target, exclude), target]
+    rows = _spread(rows.select(*[name(c) for c in used], "__fold"))
+    try:
+        prepared = prepare(rows.drop("__fold"), target, exclude=exclude, described=described)
+        table = prepared.assemble(rows, extra={"fold": F.col("__fold")}).persist(StorageLevel.MEMORY_AND_DISK)
+        return prepared, table, table.count()
+    finally:
+        rows.unpersist()
 
 
 def _fold_scores(prepared: Prepared, table: DataFrame, model: str, params: Mapping, folds: int, rows: int) -> list[float]:

@@ -22,6 +22,7 @@ from tidemill.functions.columns import (
     tidy,
     type_class,
 )
+from tidemill.functions.jobs import together
 from tidemill.functions.quantiles import exact_quantiles
 
 
@@ -54,7 +55,7 @@ def missing_values(df: DataFrame, include_complete: bool = False) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> dict[str, int]:
-    """Distinct non-null values of each column in one job.
+    """Distinct non-null values of each column, a few columns per job.
 
     The exact form aggregates (column, value) on the map side before its shuffle, so frequent
     values cost nothing; the approximate form keeps one fixed-size sketch per column.
@@ -62,23 +63,24 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
     if not cols:
         return {}
     count = F.approx_count_distinct if approximate else F.count_distinct
-    found: list[int] = []
-    for start in range(0, len(cols), 50):
-        part = cols[start : start + 50]
-        found += list(df.agg(*[count(name(c)).alias(f"d{i}") for i, c in enumerate(part)]).first())
-    return dict(zip(cols, found))
+
+    def job(part: Sequence[str]):
+        return lambda: df.agg(*[count(name(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
+
+    width = 8 if approximate else 2
+    rows = together([job(cols[i : i + width]) for i in range(0, len(cols), width)])
+    return dict(zip(cols, (v for row in rows for v in row)))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
     """count, mean, std, min, max, skewness and kurtosis of numeric columns.
 
-    Four columns per job: each job reads only its own columns, and its code stays small enough
+    Two columns per job: each job reads only its own columns, and its code stays small enough
     for the JVM to compile.
     """
-    out: dict[str, Row] = {}
     cols = list(cols)
-    for start in range(0, len(cols), 4):
-        part = cols[start : start + 4]
+
+    def job(part: Sequence[str]):
         wanted = []
         for i, c in enumerate(part):
             x = present(c, df.schema[c].dataType).cast("double")
@@ -87,15 +89,16 @@ def describe(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
                     F.count(x).alias("count"),
                     F.avg(x).alias("mean"),
                     F.stddev_samp(x).alias("std"),
-                    F.stddev_pop(x).alias("std_pop"),
                     F.min(x).alias("min"),
                     F.max(x).alias("max"),
                     sample_skewness(x).alias("skewness"),
                     sample_kurtosis(x).alias("kurtosis"),
                 ).alias(f"s{i}")
             )
-        out.update(zip(part, df.agg(*wanted).first()))
-    return out
+        return lambda: df.agg(*wanted).first()
+
+    rows = together([job(cols[i : i + 2]) for i in range(0, len(cols), 2)])
+    return dict(zip(cols, (v for row in rows for v in row)))
 
 
 def _rounded(value: float | None, places: int) -> Column:
@@ -106,12 +109,16 @@ def column_profile(df: DataFrame, approximate_distinct: bool = False, samples: i
     """One row per column: type, class, missing, distinct, numeric statistics and sample values."""
     df = clean_nan(df)
     scalars, numbers = scalar_columns(df), numeric_columns(df)
-    nulls = {r["column"]: r for r in missing_values(df, include_complete=True).collect()}
-    distinct = distinct_counts(df, scalars, approximate_distinct)
-    stats = describe(df, numbers)
-    targets = {c: name(c) for c in numbers}
-    quartiles = exact_quantiles(df, targets, [0.25, 0.5, 0.75])
-    seen = _samples(df, samples)
+    gaps, distinct, stats, quartiles, seen = together(
+        [
+            lambda: missing_values(df, include_complete=True).collect(),
+            lambda: distinct_counts(df, scalars, approximate_distinct),
+            lambda: describe(df, numbers),
+            lambda: exact_quantiles(df, {c: name(c) for c in numbers}, [0.25, 0.5, 0.75]),
+            lambda: _samples(df, samples),
+        ]
+    )
+    nulls = {r["column"]: r for r in gaps}
     rows = []
     for i, field in enumerate(df.schema.fields):
         c = field.name
@@ -191,10 +198,15 @@ def dataset_overview(df: DataFrame) -> DataFrame:
     """One row per column with the short statistics of its class, plus table totals on each row."""
     df = clean_nan(df)
     numbers, strings = numeric_columns(df), string_columns(df)
-    nulls = {r["column"]: r for r in missing_values(df, include_complete=True).collect()}
-    stats = describe(df, numbers)
-    median = exact_quantiles(df, {c: name(c) for c in numbers}, [0.5])
-    tops = {r["column"]: r for r in top_values(df, strings).collect()} if strings else {}
+    gaps, stats, median, tops = together(
+        [
+            lambda: missing_values(df, include_complete=True).collect(),
+            lambda: describe(df, numbers),
+            lambda: exact_quantiles(df, {c: name(c) for c in numbers}, [0.5]),
+            lambda: top_values(df, strings).collect() if strings else [],
+        ]
+    )
+    nulls, tops = {r["column"]: r for r in gaps}, {r["column"]: r for r in tops}
     total_missing = sum(r["null_count"] for r in nulls.values())
     with_missing = sum(1 for r in nulls.values() if r["null_count"])
     rows = []
@@ -350,9 +362,13 @@ def duplicate_count(df: DataFrame, digest: bool = False) -> DataFrame:
 def data_quality_report(df: DataFrame, digest: bool = False) -> DataFrame:
     """Long-form checks (check, item, value, flagged): size, missing, duplicates, types, issues."""
     df = clean_nan(df)
-    nulls = missing_values(df, include_complete=True).collect()
-    distinct = distinct_counts(df, scalar_columns(df))
-    copies = duplicate_count(df, digest).first()
+    nulls, distinct, copies = together(
+        [
+            lambda: missing_values(df, include_complete=True).collect(),
+            lambda: distinct_counts(df, scalar_columns(df)),
+            lambda: duplicate_count(df, digest).first(),
+        ]
+    )
     rows_total, width = copies["total_rows"], len(df.columns)
     missing = sum(r["null_count"] for r in nulls)
     affected = [r for r in nulls if r["null_count"]]
