@@ -115,7 +115,8 @@ def pair_correlation(x: Column, y: Column) -> Column:
     a = F.when(y.isNotNull(), x)
     b = F.when(x.isNotNull(), y)
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    # ``least`` and ``greatest`` skip NULL, so an undefined r needs its own test.
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
 def hash_unit(keys: Sequence[str | Column], seed: int = 42) -> Column:

@@ -40,7 +40,7 @@ class _Bracket:
         return (x >= F.lit(self.low)) & (x <= F.lit(self.high))
 
 
-def _run(df: DataFrame, wanted: list[Column], chunk: int = CHUNK) -> list:
+def run_aggregates(df: DataFrame, wanted: list[Column], chunk: int = CHUNK) -> list:
     """Evaluate many aggregates, a bounded number per job so that generated code stays small."""
 
     def job(part: list[Column]):
@@ -76,7 +76,7 @@ def exact_quantiles(
         x = numbers[t]
         sketch = F.lit(None) if uniform else F.percentile_approx(x, edges, accuracy)
         wanted += [F.count(x), F.min(x), F.max(x), sketch]
-    found = _run(df, wanted, 8)
+    found = run_aggregates(df, wanted, 8)
     brackets: dict[tuple[str, float], _Bracket] = {}
     answers: dict[str, list[float | None]] = {t: [None] * len(probs) for t in names}
     span: dict[str, tuple[float, float]] = {}
@@ -124,7 +124,7 @@ def _narrow(df, numbers, brackets, span, accuracy, fetch_limit) -> None:
         for b in pending.values():
             x = numbers[b.name]
             wanted += [F.count_if(x < F.lit(b.low)), F.count_if(b.member(x))]
-        found = _run(df, wanted)
+        found = run_aggregates(df, wanted)
         wide, large = {}, {}
         for i, (key, b) in enumerate(pending.items()):
             b.below, b.inside = found[2 * i : 2 * i + 2]
@@ -140,7 +140,7 @@ def _narrow(df, numbers, brackets, span, accuracy, fetch_limit) -> None:
         if large:
             # Many rows may still be few values; only many values need another round.
             distinct = [F.approx_count_distinct(F.when(b.member(numbers[b.name]), numbers[b.name])) for b in large.values()]
-            large = {k: b for (k, b), d in zip(large.items(), _run(df, distinct, 8)) if d > per_bracket}
+            large = {k: b for (k, b), d in zip(large.items(), run_aggregates(df, distinct, 8)) if d > per_bracket}
         if large:
             # A finer sketch each round, so that a bracket always shrinks.
             accuracy = min(10 * accuracy, 1_000_000)
@@ -156,7 +156,7 @@ def _resketch(df, numbers, brackets, accuracy) -> None:
         low = max(0.0, (b.first - b.below) / b.inside - margin)
         high = min(1.0, (b.last - b.below + 1) / b.inside + margin)
         wanted.append(F.percentile_approx(F.when(b.member(x), x), [low, high], accuracy))
-    for b, (low, high) in zip(brackets.values(), _run(df, wanted)):
+    for b, (low, high) in zip(brackets.values(), run_aggregates(df, wanted)):
         b.low, b.high = low, high
 
 

@@ -26,7 +26,8 @@ from tidemill.operators.profile import value_counts
 def _bin(x: Column, low: float, high: float, bins: int) -> Column:
     """Equal-width bin of x over [low, high]; the last bin is closed."""
     width = (high - low) / bins
-    return F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    # ``least`` skips NULL, so a missing value needs its own test.
+    return F.when(x.isNotNull(), F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))).cast("int")
 
 
 def _bin_edges(low: float, high: float) -> tuple[float, float]:

@@ -20,7 +20,7 @@ from tidemill.functions.order import (
     value_ranks,
     with_bucket,
 )
-from tidemill.functions.quantiles import _run
+from tidemill.functions.quantiles import run_aggregates
 
 WIDE = 12  # above this many columns, per-task matrix products replace one sum per pair
 SUMS_PER_JOB = 15  # larger aggregates outgrow what the JVM compiles; a job reads only its own columns
@@ -45,7 +45,7 @@ def pearson_pairs(
         return {(cols[i], cols[j]): _r(moments[i, j]) for i, j in combinations(index, 2)}
     complete = [True] * len(cols)
     if centre is None:
-        found = _run(values, [F.count("*"), *[f(name(c)) for c in cols for f in (F.count, F.avg)]])
+        found = run_aggregates(values, [F.count("*"), *[f(name(c)) for c in cols for f in (F.count, F.avg)]])
         complete = [found[1 + 2 * i] == found[0] for i in index]
         centre = [found[2 + 2 * i] or 0.0 for i in index]
     x = [name(c) - F.lit(float(m)) for c, m in zip(cols, centre)]
@@ -59,7 +59,7 @@ def pearson_pairs(
         if not (complete[i] and complete[j]):
             a, b = F.when(x[j].isNotNull(), x[i]), F.when(x[i].isNotNull(), x[j])
             wanted += [F.count(a), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b)]
-    got = _run(values, wanted, SUMS_PER_JOB)
+    got = run_aggregates(values, wanted, SUMS_PER_JOB)
     out = {}
     for (i, j), k in pair_slot.items():
         if complete[i] and complete[j]:
@@ -88,7 +88,7 @@ def pair_moments(values: DataFrame, cols: Sequence[str]) -> np.ndarray:
     means first, which keeps the sums accurate.
     """
     p = len(cols)
-    centre = np.array([v or 0.0 for v in _run(values, [F.avg(name(c)) for c in cols])])
+    centre = np.array([v or 0.0 for v in run_aggregates(values, [F.avg(name(c)) for c in cols])])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((5, p, p))
@@ -116,8 +116,8 @@ def pair_moments(values: DataFrame, cols: Sequence[str]) -> np.ndarray:
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float | None]:
     """Pearson r of average ranks, ranked within the rows where both columns are present."""
     values = _values(df, cols)
-    counted = _run(values, [F.count("*"), *[F.count(name(c)) for c in cols]])
-    distinct = dict(zip(cols, _run(values, [F.approx_count_distinct(name(c)) for c in cols], 8)))
+    counted = run_aggregates(values, [F.count("*"), *[F.count(name(c)) for c in cols]])
+    distinct = dict(zip(cols, run_aggregates(values, [F.approx_count_distinct(name(c)) for c in cols], 8)))
     total, filled = counted[0], dict(zip(cols, counted[1:]))
     out: dict[tuple[str, str], float | None] = {}
     whole = [c for c in cols if filled[c] == total]
@@ -310,7 +310,7 @@ def correlation_matrix(
     cols = pick_numeric(df, cols)
     found = correlation_pairs(df, method, cols)
     values = _values(df, cols)
-    varies = dict(zip(cols, _run(values, [F.min(name(c)) < F.max(name(c)) for c in cols])))
+    varies = dict(zip(cols, run_aggregates(values, [F.min(name(c)) < F.max(name(c)) for c in cols])))
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

@@ -27,7 +27,7 @@ from tidemill.functions.columns import (
 )
 from tidemill.functions.jobs import together
 from tidemill.functions.order import global_index, lookup_by_value
-from tidemill.functions.quantiles import exact_medians, exact_quantiles
+from tidemill.functions.quantiles import exact_medians, exact_quantiles, run_aggregates
 
 ONE_HOT_LIMIT = 2_000
 LABEL_INLINE_LIMIT = 5_000
@@ -85,8 +85,8 @@ def _apply_linear(df: DataFrame, p: dict) -> DataFrame:
 def fit_standard_scaler(df: DataFrame, cols: Sequence[str] | None = None) -> Fitted:
     """Zero mean and unit population deviation; a constant column is only centred."""
     cols = pick_numeric(df, cols)
-    row = df.agg(*[f(_number(df, c)).alias(f"a{i}{f.__name__}") for i, c in enumerate(cols) for f in (F.avg, F.stddev_pop)]).first()
-    return _fit_linear("standard", cols, list(row[0::2]), list(row[1::2]))
+    row = run_aggregates(df, [f(_number(df, c)) for c in cols for f in (F.avg, F.stddev_pop)])
+    return _fit_linear("standard", cols, row[0::2], row[1::2])
 
 
 def fit_min_max_scaler(df: DataFrame, cols: Sequence[str] | None = None, low: float = 0.0, high: float = 1.0) -> Fitted:
@@ -94,8 +94,8 @@ def fit_min_max_scaler(df: DataFrame, cols: Sequence[str] | None = None, low: fl
     if high <= low:
         raise ValueError("high must exceed low")
     cols = pick_numeric(df, cols)
-    row = df.agg(*[f(_number(df, c)).alias(f"a{i}{f.__name__}") for i, c in enumerate(cols) for f in (F.min, F.max)]).first()
-    lows, highs = list(row[0::2]), list(row[1::2])
+    row = run_aggregates(df, [f(_number(df, c)) for c in cols for f in (F.min, F.max)])
+    lows, highs = row[0::2], row[1::2]
     ranges = [None if a is None else b - a for a, b in zip(lows, highs)]
     return _fit_linear("min_max", cols, lows, ranges, float(low), float(high - low))
 
@@ -247,13 +247,26 @@ def _apply_label(df: DataFrame, p: dict) -> DataFrame:
         return df
     label = F.coalesce(_text(df, c), F.lit(MISSING_LABEL))
     if "labels" in p:
-        codes = F.create_map(*[x for i, v in enumerate(p["labels"]) for x in (F.lit(v), F.lit(i).cast("long"))])
-        return _replace(df, {c: F.try_element_at(codes, label)})
+        out = with_code(df, label, p["labels"], "__code")
+        return _replace(out, {c: F.col("__code")}).drop("__code")
     table = df.sparkSession.read.parquet(p["table"])
     out = lookup_by_value(df, label, table, "label", "n", p["rows"], {"code": "__code"})
     return _replace(out, {c: F.col("__code")}).drop("__code")
 
 
+def with_code(df: DataFrame, label: Column, labels: Sequence[str], out: str) -> DataFrame:
+    """Add the position of ``label`` in a short list, NULL when it is not there.
+
+    A map literal is searched entry by entry, so beyond a few labels a broadcast hash join is used;
+    the list never exceeds ``LABEL_INLINE_LIMIT`` entries.
+    """
+    if len(labels) <= 50:
+        codes = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i).cast("long"))])
+        return df.withColumn(out, F.try_element_at(codes, label))
+    table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], f"__label string, `{out}` long")
+    return df.join(F.broadcast(table), label == F.col("__label"), "left").drop("__label")
+
+
 def label_mapping(df: DataFrame, fitted: Fitted, first: int | None = 10) -> DataFrame:
     """(label, code) of a fitted encoder, the first ones or all."""
     spark, p = df.sparkSession, fitted.params
@@ -273,8 +286,7 @@ def fit_impute(df: DataFrame, cols: Sequence[str] | None = None, strategy: str =
     if strategy == "median":
         values = exact_medians(df, cols)
     elif strategy == "mean":
-        row = df.agg(*[F.avg(_number(df, c)).alias(f"a{i}") for i, c in enumerate(cols)]).first() if cols else []
-        values = dict(zip(cols, row))
+        values = dict(zip(cols, run_aggregates(df, [F.avg(_number(df, c)) for c in cols])))
     else:
         raise ValueError("strategy must be 'median' or 'mean'")
     return Fitted("impute", {"values": {c: v for c, v in values.items() if v is not None}})
@@ -336,7 +348,7 @@ def fit_pca(df: DataFrame, k: int = 5, target: str | None = None, cols: Sequence
     if n < 2:
         raise ValueError("at least 2 rows are needed")
     covariance = (m[:, :, 5] - m[:, :, 1] * m[:, :, 2] / n) / (n - 1)
-    means = values.agg(*[F.avg(name(c)).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    means = run_aggregates(values, [F.avg(name(c)) for c in cols])
     variances, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(variances)[::-1][: min(k, len(cols))]
     variances = np.maximum(variances, 0.0)

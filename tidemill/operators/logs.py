@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemill.functions.columns import name, require, share, tidy
+from tidemill.functions.order import global_index, lookup_by_value
 
 # Fixed values
 JOB_STATUSES = ("pending", "running", "completed", "failed", "cancelled")
@@ -160,9 +161,15 @@ def with_child_counts(parent: DataFrame, key: str, children: Mapping[str, tuple[
 
 
 def with_parent_field(child: DataFrame, foreign: str, parent: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
-    """Each child with fields of its parent, NULL when it has none."""
-    side = parent.select(name(key).alias("__key"), *[name(f).alias(new) for f, new in fields.items()])
-    return child.join(side, name(foreign) == F.col("__key"), "left").drop("__key")
+    """Each child with fields of its parent, NULL when it has none.
+
+    Children are counted per parent first, so that parents with very many of them can be joined
+    apart from the rest.
+    """
+    counts = child.filter(name(foreign).isNotNull()).groupBy(name(foreign).alias("__fk")).agg(F.count("*").alias("__n"))
+    side = parent.select(name(key).alias("__key"), *[name(f) for f in fields])
+    side = side.join(counts, F.col("__key") == F.col("__fk"))
+    return lookup_by_value(child, name(foreign), side, "__key", "__n", child.count(), dict(fields))
 
 
 def last_per_parent(df: DataFrame, parent: str, order: Sequence[Column], k: int) -> DataFrame:
@@ -234,8 +241,15 @@ def ordered_messages(df: DataFrame, chat_id, chat: str = "conv_id", order: str =
 
 
 def message_sequence(df: DataFrame, chat: str = "conv_id", order: str = "turn") -> DataFrame:
-    """All messages with their place in their chat; no chat is collected into one value."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(name(chat)).orderBy(order)))
+    """All messages with their place in their chat, counted from 1.
+
+    Messages are numbered over the whole table in range partitions; a chat's first number is then
+    taken off. So no chat, however long, is brought into one task.
+    """
+    numbered = global_index(df, [chat, order], "__at")
+    firsts = numbered.groupBy(name(chat).alias("__chat")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    out = lookup_by_value(numbered, name(chat), firsts, "__chat", "__n", numbered.count(), {"__first": "__first"})
+    return out.select(*[name(c) for c in df.columns], (F.col("__at") - F.col("__first") + 1).cast("int").alias("place"))
 
 
 def edits_allowed(term: str) -> int:

@@ -26,7 +26,7 @@ from tidemill.functions.columns import (
     type_class,
 )
 from tidemill.functions.quantiles import exact_quantiles
-from tidemill.operators.features import Fitted, apply_all, fit_features, known_target
+from tidemill.operators.features import Fitted, apply_all, fit_features, known_target, with_code
 from tidemill.operators.metrics import classification_metrics, regression_metrics, roc_auc
 from tidemill.operators.profile import problem_type
 
@@ -159,8 +159,8 @@ class Prepared:
         """(features vector, label double) plus the ``extra`` columns."""
         rows = self.encode(known_target(df, self.target))
         if self.labels is not None:
-            index = F.create_map(*[x for i, v in enumerate(self.labels) for x in (F.lit(v), F.lit(float(i)))])
-            label = F.try_element_at(index, name(self.target).cast("string"))
+            rows = with_code(rows, name(self.target).cast("string"), self.labels, "__class")
+            label = F.col("__class").cast("double")
         else:
             label = name(self.target).cast("double")
         rows = rows.select(
