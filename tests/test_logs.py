@@ -116,3 +116,13 @@ def test_parent_fields_with_a_hot_parent_and_orphans(spark):
     got = logs.with_parent_field(child, "fk", parent, "id", {"name": "parent"}).orderBy("id").collect()
     want = child.join(parent.select(F.col("id").alias("k"), "name"), F.col("fk") == F.col("k"), "left").orderBy("id").collect()
     assert [(r["id"], r["parent"]) for r in got] == [(r["id"], r["name"]) for r in want]
+
+
+def test_time_bounds_do_not_depend_on_the_session_zone(spark):
+    df = spark.sql("select timestamp_ntz '2024-01-30 12:00:00' as ts")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert logs.count_recent(df, datetime(2024, 1, 31, 12)).first()["count"] == 1
+        assert logs.count_recent(df, datetime(2024, 1, 31, 12, 0, 1)).first()["count"] == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

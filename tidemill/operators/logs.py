@@ -20,8 +20,12 @@ STEP_CATEGORIES = ("cleaning", "eda", "visualization", "modeling")
 
 
 def time_literal(df: DataFrame, column: str, moment: datetime) -> Column:
-    """A literal of the column's own type, so that the comparison reaches the file reader."""
-    return F.lit(moment).cast(df.schema[column].dataType)
+    """A literal of the column's own type, so that the comparison reaches the file reader.
+
+    It goes by way of text: a datetime literal would be shifted by the session time zone when the
+    column has none.
+    """
+    return F.lit(moment.isoformat(sep=" ")).cast(df.schema[column].dataType)
 
 
 def since(df: DataFrame, ts: str, now: datetime, hours: float) -> Column:
