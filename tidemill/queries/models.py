@@ -220,7 +220,7 @@ def _(spark, folder):
 @query("embedding_classifier")
 def _(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    width = 8
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     df = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
     model = modeling.train_model(df, "label", "random_forest", key=["vec_id"], params=SMALL_FOREST, exclude=["vec_id"])
     return modeling.score(model, df, ["vec_id", "label"])
