@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import decontaminate, quality_model, quality_rules, toxicity
+from tidemill.llm import chat, decontaminate, jaccard, packing, quality_model, quality_rules, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,76 @@ def _(spark, folder):
 @query("op8_toxicity")
 def _(spark, folder):
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_packing")
+def _(spark, folder):
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+CHAT_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as p,
+  regexp_replace(role, '\\|<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>', '\\\0', 'g') as er,
+  regexp_replace(text, '\\|<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>', '\\\0', 'g') as et from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by p)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by p) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(8 + length(er) + 8 + length(et) + 7)::bigint as formatted_chars
+from e group by conv_id"""
+
+
+@query("op3_chat_formatting", CHAT_SQL)
+def _(spark, folder):
+    stored = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    messages = chat.chains(stored.unionByName(added), "conv_id", "turn", "role", "text")
+    back = chat.read_back(chat.format_paths(chat.best_paths(messages)))
+    return back.select(
+        F.col("tree").alias("conv_id"), "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("masked").cast("bigint").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+# The pages hold no redirect or canonical link, so without a rule each is allowed.
+URL_SQL = r"""
+with p as (select page_id,
+  translate(case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) else '' end, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+r as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(action, h, s)),
+f as (select page_id, host, path, max_by(h || s, length(h || s)) as rule, max_by(action, length(h || s)) as action
+  from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by all)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(action, 'allow') as verdict from f"""
+
+
+@query("op9_url_filters", URL_SQL)
+def _(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES).drop("component")
+
+
+JACCARD_SQL = r"""
+with recursive w as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (
+  select distinct doc_id, hash(array_to_string(ws[p : p + least(4, len(ws)) - 1], ' ')) as g
+  from (select doc_id, ws, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) as p from w where len(ws) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+l as materialized (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 85 * (na.n + nb.n - i)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select distinct a as doc_id, a as c from e union select r.doc_id, e.b from r join e on r.c = e.a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce((select min(c) from r where r.doc_id = w.doc_id), w.doc_id)) as component_id
+from w left join n using (doc_id)"""
+
+
+@query("op2_jaccard_join", JACCARD_SQL)
+def _(spark, folder):
+    return jaccard.classes(table(spark, folder, "documents"), k=4, num=85, den=100)
