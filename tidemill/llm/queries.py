@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import chat, decontaminate, jaccard, packing, quality_model, quality_rules, toxicity, url_filter
+from tidemill.llm import chat, decontaminate, jaccard, licenses, line_templates, packing, quality_model, quality_rules, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
@@ -75,9 +81,7 @@ def _(spark, folder):
 
 @query("op6_packing")
 def _(spark, folder):
-    import public_tokenizers
-
-    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    pieces = packing.pack(table(spark, folder, "documents"), tokenizer(), capacity=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -144,3 +148,41 @@ from w left join n using (doc_id)"""
 @query("op2_jaccard_join", JACCARD_SQL)
 def _(spark, folder):
     return jaccard.classes(table(spark, folder, "documents"), k=4, num=85, den=100)
+
+
+TEMPLATES_SQL = r"""
+with l as materialized (select doc_id, pos - 1 as pos, line from (select doc_id, unnest(string_split(text, chr(10))) as line,
+    generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)),
+k as materialized (select *, len(t) as n, array_to_string(t, ' ') as v, array_to_string(t[1:3], ' ') as lead from (
+  select doc_id, pos, line, list_transform(list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''),
+    lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from l) where len(t) >= 5),
+leaf as (select n, lead from k group by all having count(distinct doc_id) >= 3),
+s as materialized (select k.* from k join leaf using (n, lead)),
+var as materialized (select n, lead, v, any_value(t) as t, count(distinct doc_id) as d from s group by n, lead, v),
+tok as materialized (select n, lead, v, d, unnest(t) as token, generate_subscripts(t, 1) as p from var),
+c as materialized (select n, lead, p, token from tok where token <> '<*>' group by all having sum(d) >= 3),
+tem as materialized (select n, lead, v, string_agg(case when c.token is null then '<*>' else tok.token end, ' ' order by p) as tpl
+  from tok left join c using (n, lead, p, token) group by n, lead, v having avg(case when c.token is null then 0.0 else 1.0 end) >= 0.7),
+held as materialized (select s.doc_id, s.pos, tpl from s join tem using (n, lead, v)),
+many as (select tpl from held group by tpl having count(distinct doc_id) >= 3),
+dropped as materialized (select distinct doc_id, pos from held join many using (tpl)),
+txt as (select l.doc_id, string_agg(line, chr(10) order by pos) filter (dropped.pos is null) as text, count(*) as n_lines, count(dropped.pos) as n_dropped
+  from l left join dropped using (doc_id, pos) group by 1)
+select d.doc_id, case when d.text is null then null else coalesce(txt.text, '') end as text, coalesce(n_lines, 0)::bigint as n_lines,
+  coalesce(n_dropped, 0)::bigint as n_dropped from documents d left join txt using (doc_id)"""
+
+
+@query("op10_line_templates", TEMPLATES_SQL)
+def _(spark, folder):
+    return line_templates.drop_recurring(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_license_scan")
+def _(spark, folder):
+    found = licenses.scan(table(spark, folder, "documents"))
+    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select(
+        "doc_id", "n_words", F.size("matches").cast("bigint").alias("n_matches"), F.array_join(ids, ",").alias("licenses"),
+        F.aggregate("matches", F.lit(0).cast("bigint"), lambda n, m: n + m["matched"]).alias("matched_words"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("best_coverage"),
+    )
