@@ -137,12 +137,10 @@ def _find(c: w.Chunk, hashes: np.ndarray, win: Windows, keys: dict[int, Keys]) -
     return join(firsts), join(found)
 
 
-def _one_block(df: DataFrame, win: Windows, keys: dict[int, Keys], item_kind: str) -> DataFrame:
+def _one_block(df: DataFrame, win: Windows, keys: dict[int, Keys]) -> DataFrame:
     """Add the hits of one block to ``spans`` and ``items`` of every row."""
     spark = df.sparkSession
     held = spark.sparkContext.broadcast((vars(win), {k: vars(x) for k, x in keys.items()}))
-    arrow_items = pa.array(win.ids)
-    kind = arrow_items.type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win, keys = Windows(**held.value[0]), {k: Keys(**x) for k, x in held.value[1].items()}
@@ -174,7 +172,7 @@ def _one_block(df: DataFrame, win: Windows, keys: dict[int, Keys], item_kind: st
             columns = {x: part.column(x) for x in part.schema.names}
             columns["n_words"] = pa.array(c.counts.astype(np.int64))
             columns["spans"] = pa.array(merged, type=part.schema.field("spans").type)
-            columns["items"] = pa.array(named, type=pa.list_(kind))
+            columns["items"] = pa.array(named, type=part.schema.field("items").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return df.mapInArrow(run, df.schema)
@@ -214,7 +212,7 @@ def find_passages(
         win = _windows([r.i for r in rows], [r.x.encode() for r in rows], window)
         wanted = {k: np.unique(np.concatenate([h for _, _, h in parts])) for k, parts in _shingles(win, shingle).items()}
         keys = _prefixes(win, shingle, _counts(docs, text, wanted) if wanted else {})
-        out = _one_block(out, win, keys, kind)
+        out = _one_block(out, win, keys)
         if b + 1 < blocks:
             out = checkpointed(out)
     return out.drop("text")

@@ -1,6 +1,6 @@
 """License texts inside documents, by patience alignment with templates.
 
-Word pairs of a template that stand in a document give diagonals; those close together mark a region.
+Word pairs that a template has once and that stand in a document give diagonals; those close together mark a region.
 The region is aligned with the template: words that are unique in both are anchors, the longest
 increasing subsequence of anchors is kept, and the gaps between anchors are aligned in the same way,
 with equal words at both ends of a gap matched first. The share of matched template words is the
@@ -138,8 +138,12 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] | Mapping[str, st
     for t, body in enumerate(bodies):
         if len(body) == 1:
             seeds.append((int(body[0]) * width + width - 1, t, 0))
-        seeds += [(int(x) * width + int(y), t, i) for i, (x, y) in enumerate(zip(body, body[1:]))]
+        own = [int(x) * width + int(y) for x, y in zip(body, body[1:])]
+        # A pair that stands twice in the template would also suggest wrong diagonals.
+        seen = Counter(own)
+        seeds += [(x, t, i) for i, x in enumerate(own) if seen[x] == 1]
     seeds.sort()
+    pairs_of = Counter(t for _, t, _ in seeds)
     key, of, at = (np.array(x, dtype=np.int64) for x in zip(*seeds)) if seeds else (np.zeros(0, dtype=np.int64),) * 3
     kind = docs.select(docs[doc_id].alias("doc_id")).schema["doc_id"].dataType.simpleString()
     struct = "array<struct<license:string,first:bigint,last:bigint,matched:bigint,coverage:double>>"
@@ -170,7 +174,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] | Mapping[str, st
             for i, j in zip(list(edge), [*list(edge)[1:], len(owner)]):
                 doc, t = int(owner[i]), int(template[i])
                 body, begin, finish = bodies[t], int(d.first[doc]), int(d.first[doc + 1])
-                least = max(1, int(np.ceil(MIN_PAIRS * (len(body) - 1))))
+                least = max(1, int(np.ceil(MIN_PAIRS * pairs_of[t])))
                 if j - i < least:
                     continue
                 for a, b in regions(place[i:j], at[entry[i:j]], len(body), least):

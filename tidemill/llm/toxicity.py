@@ -65,11 +65,11 @@ def terms(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, np.ndarr
     return both // buckets, both % buckets
 
 
-def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, kept: int = KEPT, rank: int = RANK, passes: int = PASSES, rate: float = 0.05, ridge: float = 0.02, seed: int = 7) -> Machine:
+def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, kept: int = KEPT, rank: int = RANK, passes: int = PASSES, rate: float = 0.05, ridge: float = 0.02, seed: int = 7, least_difference: float = 2.0) -> Machine:
     """Fit on texts ``0 .. len(y) - 1`` by Adam on the mean logistic loss.
 
     The machine keeps the buckets whose share differs most between the classes, in units of its
-    standard error. With one class only, or no text, the score is constant.
+    standard error, beyond ``least_difference`` of them. With one class only, or no text, the score is constant.
     """
     n = len(y)
     share = (y.sum() + 0.5) / (n + 1.0)
@@ -83,7 +83,7 @@ def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, kept: int = KEPT,
     z = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / (y.sum() + 1) + 1 / (n - y.sum() + 1)))
     z[seen < MIN_TEXTS] = 0
     top = np.sort(np.argsort(-z, kind="stable")[:kept])
-    top = top[z[top] > 2]
+    top = top[z[top] > least_difference]
     place = np.full(len(names), -1)
     place[top] = np.arange(len(top))
     keep = place[at] >= 0
