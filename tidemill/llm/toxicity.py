@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.llm import words as w
 from tidemill.llm.quality_model import fold
+from tidemill.llm.tables import checkpointed
 
 #: Hash buckets of terms, buckets that the machine keeps, length of the interaction vectors, most
 #: labelled rows it is fitted on, and passes over them.
@@ -65,29 +66,28 @@ def terms(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, np.ndarr
     return both // buckets, both % buckets
 
 
-def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, kept: int = KEPT, rank: int = RANK, passes: int = PASSES, rate: float = 0.05, ridge: float = 0.02, seed: int = 7, least_difference: float = 2.0) -> Machine:
-    """Fit on texts ``0 .. len(y) - 1`` by Adam on the mean logistic loss.
+def informative(counts: DataFrame, texts: int, ones: int, kept: int = KEPT, least_difference: float = 2.0) -> list[int]:
+    """The buckets of (bucket, n, ones) whose share differs most between the classes, in units of its
+    standard error, beyond ``least_difference`` of them; in rising order."""
+    n, k = F.col("n"), F.col("ones")
+    pooled = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), n / texts))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / (ones + 1) + 1 / (texts - ones + 1)))
+    z = F.abs((k + 0.5) / (ones + 1) - (n - k + 0.5) / (texts - ones + 1)) / spread
+    found = counts.where(n >= MIN_TEXTS).withColumn("z", z).where(F.col("z") > least_difference)
+    return sorted(r.bucket for r in found.orderBy(F.desc("z"), "bucket").limit(kept).collect())
 
-    The machine keeps the buckets whose share differs most between the classes, in units of its
-    standard error, beyond ``least_difference`` of them. With one class only, or no text, the score is constant.
+
+def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, names: np.ndarray, rank: int = RANK, passes: int = PASSES, rate: float = 0.05, ridge: float = 0.02, seed: int = 7) -> Machine:
+    """Fit on texts ``0 .. len(y) - 1`` by Adam on the mean logistic loss, with the sorted buckets ``names``.
+
+    With one class only, or no text, the score is constant.
     """
     n = len(y)
     share = (y.sum() + 0.5) / (n + 1.0)
     bias = float(np.log(share / (1 - share)))
     if n == 0 or y.min() == y.max():
         return Machine(bias, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, rank)))
-    names, at, seen = np.unique(bucket, return_inverse=True, return_counts=True)
-    ones = np.bincount(at, y[owner], len(names))
-    a, b = (ones + 0.5) / (y.sum() + 1), (seen - ones + 0.5) / (n - y.sum() + 1)
-    pooled = np.clip(seen / n, 1e-9, 1 - 1e-9)
-    z = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / (y.sum() + 1) + 1 / (n - y.sum() + 1)))
-    z[seen < MIN_TEXTS] = 0
-    top = np.sort(np.argsort(-z, kind="stable")[:kept])
-    top = top[z[top] > least_difference]
-    place = np.full(len(names), -1)
-    place[top] = np.arange(len(top))
-    keep = place[at] >= 0
-    own, term = owner[keep], place[at][keep]
+    own, term, top = owner, np.searchsorted(names, bucket), names
     rng = np.random.default_rng(seed)
     params = [np.array([bias]), np.zeros(len(top)), rng.normal(0, 0.05, (len(top), rank))]
     first = [np.zeros_like(p) for p in params]
@@ -116,7 +116,7 @@ def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, kept: int = KEPT,
                 first[k] += 0.1 * (grad - first[k])
                 second[k] += 0.001 * (grad * grad - second[k])
                 params[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(params[0][0]), names[top], params[1], params[2])
+    return Machine(float(params[0][0]), names, params[1], params[2])
 
 
 def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", parts: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> DataFrame:
@@ -129,21 +129,42 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: s
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.where(fold(F.col("doc_id"), parts) != held).groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    known = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+
+    # At most ``fit_rows`` labels, so the texts stay where they are.
+    sample = source.join(F.broadcast(known), "doc_id").select("label", "text")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, ones = np.zeros(buckets + 1, dtype=np.int64), np.zeros(buckets + 1, dtype=np.int64)
+        for part, texts in w.chunks(batches, "text"):
+            y = part.column("label").to_numpy()
+            owner, bucket = terms(texts, buckets)
+            np.add.at(n, bucket, 1)
+            np.add.at(ones, bucket[y[owner] > 0], 1)
+            n[buckets] += len(y)
+            ones[buckets] += int(y.sum())
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(ones[at])], names=["bucket", "n", "ones"])
+
+    counts = checkpointed(sample.mapInArrow(tally, "bucket bigint, n bigint, ones bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")))
+    total = counts.where(F.col("bucket") == buckets).first()
+    names = np.array(informative(counts.where(F.col("bucket") < buckets), total.n, total.ones) if total else [], dtype=np.int64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(buckets, dtype=bool)
+        known[names] = True
         for part, texts in w.chunks(batches, "text"):
             owner, bucket = terms(texts, buckets)
+            owner, bucket = owner[known[bucket]], bucket[known[bucket]]
             first = np.searchsorted(owner, np.arange(len(texts) + 1))
-            held_terms = pa.ListArray.from_arrays(pa.array(first, type=pa.int32()), pa.array(bucket, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("label"), held_terms], names=["label", "terms"])
+            own = pa.ListArray.from_arrays(pa.array(first, type=pa.int32()), pa.array(bucket, type=pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("label"), own], names=["label", "terms"])
 
-    # At most ``fit_rows`` labels, so the texts stay where they are.
-    rows = source.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(gather, "label int, terms array<int>").toArrow()
+    rows = sample.mapInArrow(gather, "label int, terms array<int>").toArrow()
     lists = rows.column("terms").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if len(rows) else np.zeros(0, dtype=np.int64)
     flat = lists.flatten().to_numpy() if len(rows) else np.zeros(0, dtype=np.int64)
-    machine = fit(np.repeat(np.arange(len(rows)), sizes), flat.astype(np.int64), rows.column("label").to_numpy().astype(float))
+    machine = fit(np.repeat(np.arange(len(rows)), sizes), flat.astype(np.int64), rows.column("label").to_numpy().astype(float), names)
     held_model = docs.sparkSession.sparkContext.broadcast(vars(machine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
