@@ -7,15 +7,15 @@ from tidemill.functions.order import global_index
 from tidemill.operators import cleaning
 
 
-def test_fills(people):
-    ages = lambda s: [r["age"] for r in cleaning.fill_missing(people, "age", s).filter("income = 65000").collect()]
-    assert ages("median") == [32.5] and ages("mean") == [pytest.approx(45.7142857)]
-    assert cleaning.fill_missing(people, "city", "mode").filter("income = 65000").first()["city"] == "NYC"
-    assert cleaning.fill_missing(people, "age", "drop").count() == 14
+def test_fills(crates):
+    ages = lambda s: [r["weight"] for r in cleaning.fill_missing(crates, "weight", s).filter("price = 420").collect()]
+    assert ages("median") == [14.25] and ages("mean") == [pytest.approx(19.7857142857)]
+    assert cleaning.fill_missing(crates, "market", "mode").filter("price = 365").first()["market"] == "Oslo"
+    assert cleaning.fill_missing(crates, "weight", "drop").count() == 14
     with pytest.raises(ValueError, match="not numeric"):
-        cleaning.fill_missing(people, "city", "mean")
+        cleaning.fill_missing(crates, "market", "mean")
     with pytest.raises(ValueError, match="order_by"):
-        cleaning.fill_missing(people, "age", "forward_fill")
+        cleaning.fill_missing(crates, "weight", "forward_fill")
 
 
 def test_mode_ties_and_all_missing(spark):
@@ -39,22 +39,22 @@ def test_forward_fill_across_partitions(spark):
     assert np.array_equal(got["v"].to_numpy(float), pdf.groupby("k")["v"].ffill().to_numpy(), equal_nan=True)
 
 
-def test_duplicates(people):
-    assert cleaning.remove_duplicates(people).count() == 13
-    kept = cleaning.remove_duplicates(people, ["category"], "last", ["income"])
-    assert {(r["category"], r["income"]) for r in kept.collect()} == {("A", 80000), ("B", 75000), ("C", 68000)}
-    again = cleaning.remove_duplicates(cleaning.remove_duplicates(people))
-    assert again.count() == 13
-    report = cleaning.duplicate_report(people).first()
-    assert tuple(report) == (15, 2, 13)
+def test_duplicates(crates):
+    assert cleaning.remove_duplicates(crates).count() == 12
+    kept = cleaning.remove_duplicates(crates, ["kind"], "last", ["price"])
+    assert {(r["kind"], r["price"]) for r in kept.collect()} == {("plum", 510), ("pear", 350), ("fig", 480)}
+    again = cleaning.remove_duplicates(cleaning.remove_duplicates(crates))
+    assert again.count() == 12
+    report = cleaning.duplicate_report(crates).first()
+    assert tuple(report) == (15, 3, 12)
 
 
-def test_outliers(people):
-    r = cleaning.detect_outliers(people, "age").first()
-    assert (r["lower_bound"], r["upper_bound"], r["outlier_count"]) == (13.875, 54.875, 1)
-    assert cleaning.remove_outliers(people, "age").count() == 13
-    assert cleaning.detect_outliers(people, "age", "zscore", 3).first()["outlier_count"] == 1
-    assert cleaning.remove_outliers(people, "age", "zscore", 3).count() == 13
+def test_outliers(crates):
+    r = cleaning.detect_outliers(crates, "weight").first()
+    assert (r["lower_bound"], r["upper_bound"], r["outlier_count"]) == (6.1875, 23.6875, 1)
+    assert cleaning.remove_outliers(crates, "weight").count() == 13
+    assert cleaning.detect_outliers(crates, "weight", "zscore", 3).first()["outlier_count"] == 1
+    assert cleaning.remove_outliers(crates, "weight", "zscore", 3).count() == 13
 
 
 def test_constant_column_has_no_outliers(spark):

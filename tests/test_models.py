@@ -95,21 +95,21 @@ def test_metrics_of_a_class_that_is_never_predicted(spark):
     assert tuple(metrics.classification_metrics(df, "y", "p").first()) == (0.3333, 0.3333, 0.3333, 0.3333, 3)
 
 
-def test_failing_step_leaves_the_table(people):
+def test_failing_step_leaves_the_table(crates):
     plan = [
-        steps.Step("fill_missing_values", {"column": "age", "strategy": "median"}, "cleaning"),
+        steps.Step("fill_missing_values", {"column": "weight", "strategy": "median"}, "cleaning"),
         steps.Step("drop_columns", {"column": "absent"}, "cleaning"),
         steps.Step("no_such_tool", {}, "cleaning"),
-        steps.Step(lambda df: df.withColumn("twice", F.col("age") * 2), {}, "feature_engineering"),
-        steps.Step("one_hot_encode", {"columns_to_encode": "category, city", "drop_first": "false"}, "feature_engineering"),
-        steps.Step("create_histogram", {"column": "age", "title": ""}, "visualization"),
+        steps.Step(lambda df: df.withColumn("twice", F.col("weight") * 2), {}, "feature_engineering"),
+        steps.Step("one_hot_encode", {"columns_to_encode": "kind, market", "drop_first": "false"}, "feature_engineering"),
+        steps.Step("create_histogram", {"column": "weight", "title": ""}, "visualization"),
     ]
-    run = steps.run_steps(people, plan, checkpoint_every=2)
+    run = steps.run_steps(crates, plan, checkpoint_every=2)
     assert [r[4] for r in run.log] == [True, False, False, True, True, True]
-    assert "category_A" in run.table.columns and "twice" in run.table.columns and run.table.count() == 15
+    assert "kind_plum" in run.table.columns and "twice" in run.table.columns and run.table.count() == 15
     summary = {r["phase"]: (r["steps"], r["errors"]) for r in steps.run_summary(run.log_table()).collect()}
     assert summary == {"cleaning": (3, 2), "feature_engineering": (2, 0), "visualization": (1, 0)}
-    later = steps.run_steps(people, plan, start=5)
+    later = steps.run_steps(crates, plan, start=5)
     assert len(later.log) == 1
 
 
@@ -126,10 +126,10 @@ def test_predictions_replay_the_recorded_transforms(staff):
     assert replayed.orderBy("id").collect() == direct.orderBy("id").collect()
 
 
-def test_targets_and_plans(staff, people):
-    assert automatic.resolve_target(people, "INCOME") == "income"
-    assert automatic.resolve_target(people, "absent") == "score"
-    assert automatic.resolve_target(people.withColumn("Price", F.lit(1))) == "Price"
-    found = automatic.suggest_steps(people, done=["create_box_plot"])
+def test_targets_and_plans(staff, crates):
+    assert automatic.resolve_target(crates, "PRICE") == "price"
+    assert automatic.resolve_target(crates, "absent") == "rating"
+    assert automatic.resolve_target(crates.withColumn("Price", F.lit(1))) == "Price"
+    found = automatic.suggest_steps(crates, done=["create_box_plot"])
     assert [s.priority for s in found] == sorted(s.priority for s in found)
     assert found[0].tool == "remove_duplicates" and all(s.tool != "create_box_plot" for s in found)

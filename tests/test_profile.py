@@ -1,4 +1,4 @@
-"""Profiles against the known values of the small people table."""
+"""Profiles against the known values of the small crates table."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,55 +11,55 @@ def one(df):
     return df.first().asDict()
 
 
-def test_missing(people):
-    rows = {r["column"]: r for r in profile.missing_values(people).collect()}
-    assert set(rows) == {"age", "city"}
-    assert (rows["age"]["null_count"], rows["age"]["null_percentage"]) == (1, 6.67)
+def test_missing(crates):
+    rows = {r["column"]: r for r in profile.missing_values(crates).collect()}
+    assert set(rows) == {"weight", "market"}
+    assert (rows["weight"]["null_count"], rows["weight"]["null_percentage"]) == (1, 6.67)
 
 
-def test_column_statistics(people):
-    s = one(profile.column_statistics(people, "age"))
+def test_column_statistics(crates):
+    s = one(profile.column_statistics(crates, "weight"))
     expected = dict(
-        mean=45.7143, median=32.5, std=44.9999, min=25, max=200, q25=29.25, q75=39.5, skewness=3.5754, kurtosis=13.092, unique_count=12
+        mean=19.7857, median=14.25, std=20.3486, min=11, max=90, q25=12.75, q75=17.125, skewness=3.6528, kurtosis=13.5249, unique_count=11
     )
     assert {k: s[k] for k in expected} == expected
 
 
-def test_column_statistics_text(people):
-    s = one(profile.column_statistics(people, "category"))
-    assert (s["most_frequent"], s["most_frequent_count"], s["unique_count"]) == ("A", 7, 3)
-    assert s["top_5_values"] == ["A=7", "B=5", "C=3"]
+def test_column_statistics_text(crates):
+    s = one(profile.column_statistics(crates, "kind"))
+    assert (s["most_frequent"], s["most_frequent_count"], s["unique_count"]) == ("plum", 6, 3)
+    assert s["top_5_values"] == ["plum=6", "pear=5", "fig=4"]
 
 
-def test_overview(people):
-    rows = {r["column"]: r for r in profile.dataset_overview(people).collect()}
-    income = rows["income"]
-    assert [income[k] for k in ("mean", "std", "median", "min", "max")] == [62333.33, 9068.52, 60000.0, 50000.0, 80000.0]
-    assert rows["city"]["most_frequent"] == "NYC"
-    assert income["missing_percentage"] == 1.9
-    assert (income["total_missing"], income["columns_with_missing"]) == (2, 2)
+def test_overview(crates):
+    rows = {r["column"]: r for r in profile.dataset_overview(crates).collect()}
+    price = rows["price"]
+    assert [price[k] for k in ("mean", "std", "median", "min", "max")] == [374.67, 82.17, 350.0, 275.0, 510.0]
+    assert rows["market"]["most_frequent"] == "Oslo"
+    assert price["missing_percentage"] == 2.22
+    assert (price["total_missing"], price["columns_with_missing"]) == (2, 2)
 
 
-def test_value_counts(people):
-    got = [(r["value"], r["count"], r["percentage"]) for r in profile.value_counts(people, "category").collect()]
-    assert got == [("A", 7, 46.67), ("B", 5, 33.33), ("C", 3, 20.0)]
-    city = {r["value"]: r["count"] for r in profile.value_counts(people, "city").collect()}
-    assert city == {"NYC": 7, "LA": 4, "Chicago": 3, "NULL": 1}
-    shares = profile.value_counts(people, "category", normalize=True).collect()
-    assert shares[0]["fraction"] == 0.4667
+def test_value_counts(crates):
+    got = [(r["value"], r["count"], r["percentage"]) for r in profile.value_counts(crates, "kind").collect()]
+    assert got == [("plum", 6, 40.0), ("pear", 5, 33.33), ("fig", 4, 26.67)]
+    city = {r["value"]: r["count"] for r in profile.value_counts(crates, "market").collect()}
+    assert city == {"Oslo": 6, "Bergen": 5, "Tromso": 3, "NULL": 1}
+    shares = profile.value_counts(crates, "kind", normalize=True).collect()
+    assert shares[0]["fraction"] == 0.4
 
 
-def test_duplicates_and_quality(people):
-    assert one(profile.duplicate_count(people)) == {"duplicate_rows": 2, "duplicate_percentage": 13.33, "total_rows": 15}
-    assert one(profile.duplicate_count(people, digest=True))["duplicate_rows"] == 2
-    checks = {(r["check"], r["item"]): r for r in profile.data_quality_report(people).collect()}
+def test_duplicates_and_quality(crates):
+    assert one(profile.duplicate_count(crates)) == {"duplicate_rows": 3, "duplicate_percentage": 20.0, "total_rows": 15}
+    assert one(profile.duplicate_count(crates, digest=True))["duplicate_rows"] == 3
+    checks = {(r["check"], r["item"]): r for r in profile.data_quality_report(crates).collect()}
     assert checks["duplicates", "duplicate_rows"]["flagged"] is True
     assert checks["missing", "total_missing"]["value"] == 2
 
 
-def test_profile_classes(people):
-    rows = {r["column"]: r["class"] for r in profile.column_profile(people).collect()}
-    assert rows["age"] == "numeric" and rows["is_active"] == "boolean" and rows["city"] == "categorical"
+def test_profile_classes(crates):
+    rows = {r["column"]: r["class"] for r in profile.column_profile(crates).collect()}
+    assert rows["weight"] == "numeric" and rows["organic"] == "boolean" and rows["market"] == "categorical"
 
 
 def test_nan_counts_as_missing(spark):
@@ -75,22 +75,22 @@ def test_constant_column(spark):
     assert correlation.pearson_pairs(df, ["x", "y"])["x", "y"] is None
 
 
-def test_problem_type(people):
-    assert profile.problem_type(people, "category") == "classification"
-    assert profile.problem_type(people, "income") == "regression"
+def test_problem_type(crates):
+    assert profile.problem_type(crates, "kind") == "classification"
+    assert profile.problem_type(crates, "price") == "regression"
 
 
-def test_missing_column_is_an_error(people):
+def test_missing_column_is_an_error(crates):
     with pytest.raises(ValueError, match="not found"):
-        profile.column_statistics(people, "nope")
+        profile.column_statistics(crates, "nope")
     with pytest.raises(ValueError, match="not numeric"):
-        cleaning.detect_outliers(people, "city")
+        cleaning.detect_outliers(crates, "market")
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
-def test_partitioning_does_not_matter(people, parts):
-    base = profile.column_profile(people, samples=0).collect()
-    assert profile.column_profile(people.repartition(parts), samples=0).collect() == base
+def test_partitioning_does_not_matter(crates, parts):
+    base = profile.column_profile(crates, samples=0).collect()
+    assert profile.column_profile(crates.repartition(parts), samples=0).collect() == base
 
 
 def test_quantiles_match_numpy_on_skewed_data(spark):
@@ -106,13 +106,13 @@ def test_quantiles_match_numpy_on_skewed_data(spark):
     assert got == pytest.approx(list(np.quantile(x, probs)), rel=1e-12)
 
 
-def test_histogram(people):
-    rows = charts.histogram(people, "age", 10).collect()
+def test_histogram(crates):
+    rows = charts.histogram(crates, "weight", 10).collect()
     assert len(rows) == 10 and sum(r["count"] for r in rows) == 14
-    flat = people.select(F.lit(3).alias("x"))
+    flat = crates.select(F.lit(3).alias("x"))
     assert sum(r["count"] for r in charts.histogram(flat, "x", 4).collect()) == 15
 
 
-def test_box_plot(people):
-    box = one(charts.box_plot(people.select("age")))
-    assert (box["lower_bound"], box["upper_bound"], box["outlier_count"], box["whisker_high"]) == (13.875, 54.875, 1, 50.0)
+def test_box_plot(crates):
+    box = one(charts.box_plot(crates.select("weight")))
+    assert (box["lower_bound"], box["upper_bound"], box["outlier_count"], box["whisker_high"]) == (6.1875, 23.6875, 1, 18.0)

@@ -528,7 +528,7 @@ def _weights(fitted) -> list[float]:
     if hasattr(fitted, "featureImportances"):
         return [float(v) for v in fitted.featureImportances.toArray()]
     if hasattr(fitted, "coefficientMatrix") and fitted.numClasses > 2:
-        return [float(v) for v in abs(fitted.coefficientMatrix.toArray()[0])]
+        return [float(v) for v in abs(fitted.coefficientMatrix.toArray()).mean(axis=0)]
     return [abs(float(v)) for v in fitted.coefficients.toArray()]
 
 

@@ -320,13 +320,13 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
 def value_counts(
     df: DataFrame, column: str, top_n: int = 10, normalize: bool = False, keep_null: bool = True
 ) -> DataFrame:
-    """The ``top_n`` most frequent values (smallest first on ties) with share and totals.
+    """The ``top_n`` most frequent values (smallest value first on ties) with share and totals.
 
     The totals come from a scalar subquery over the same pre-aggregated counts.
     """
     require(df, [column])
     df = clean_nan(df.select(name(column)))
-    counts = df.groupBy(name(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(name(column).alias("v")).agg(F.count("*").alias("n"))
     totals = counts.agg(
         F.struct(F.sum("n").alias("rows"), F.count("v").alias("distinct"), F.count("*").alias("shown")).alias("t")
     )
@@ -335,7 +335,7 @@ def value_counts(
     top = top.withColumn("t", totals.scalar())
     fraction = F.try_divide(F.col("n").cast("double"), F.col("t.rows").cast("double"))
     return top.select(
-        F.coalesce("v", F.lit("NULL")).alias("value"),
+        F.coalesce(F.col("v").cast("string"), F.lit("NULL")).alias("value"),
         (tidy(fraction, 4) if normalize else F.col("n")).alias("fraction" if normalize else "count"),
         share(F.col("n"), F.col("t.rows")).alias("percentage"),
         F.col("t.distinct").alias("total_unique_values"),

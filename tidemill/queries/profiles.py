@@ -148,8 +148,8 @@ def _(spark, folder):
 
 @query(
     "value_counts",
-    f"""with c as (select l_quantity::varchar v, count(*) n from lineitem group by 1), t as (select sum(n) r, count(*) d from c)
-    select v as value, n as count, {pct('n', 'r')} as percentage, d as total_unique_values, r::bigint as total_rows,
+    f"""with c as (select l_quantity v, count(*) n from lineitem group by 1), t as (select sum(n) r, count(*) d from c)
+    select v::varchar as value, n as count, {pct('n', 'r')} as percentage, d as total_unique_values, r::bigint as total_rows,
     least(10, d)::bigint as showing_top from c, t order by n desc, v limit 10""",
 )
 def _(spark, folder):
