@@ -98,11 +98,12 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     rooted = jumps.where("hop is null")
     ends = leaves.join(rooted, ["t", "n"])
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc(F.col("total") / F.col("steps")), "n"))
-    path = ends.withColumn("branch", rank).where(F.col("branch") <= keep).select("t", "branch", "n", (F.col("steps") - 1).alias("depth"))
+    path = checkpointed(ends.withColumn("branch", rank).where(F.col("branch") <= keep).select("t", "branch", "n", (F.col("steps") - 1).alias("depth")))
     for level in reversed(range(len(levels))):
         up = levels[level].where("hop is not null").select(F.col("t").alias("__t"), F.col("n").alias("__n"), "hop")
         higher = path.join(up, (F.col("t") == F.col("__t")) & (F.col("n") == F.col("__n"))).select("t", "branch", F.col("hop").alias("n"), (F.col("depth") - F.lit(1 << level)).alias("depth"))
-        path = path.union(higher)
+        # Stored, as each level reads the path twice and the plan would double with it.
+        path = checkpointed(path.union(higher))
     return path.join(m, ["t", "n"]).select("tree", "branch", "depth", F.col("n").alias("node"), "role", "text")
 
 
