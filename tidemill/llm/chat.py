@@ -93,8 +93,9 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     while len(levels) < limit and jumps.where("hop is not null").limit(1).count():
         levels.append(jumps)
         above = jumps.select(F.col("t").alias("__t"), F.col("n").alias("__n"), F.col("hop").alias("__hop"), F.col("steps").alias("__steps"), F.col("total").alias("__total"))
-        further = jumps.join(above, (F.col("t") == F.col("__t")) & (F.col("hop") == F.col("__n")), "left")
-        jumps = checkpointed(further.select("t", "n", F.col("__hop").alias("hop"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total")))
+        # Messages that have reached their root stay as they are.
+        further = jumps.where("hop is not null").join(above, (F.col("t") == F.col("__t")) & (F.col("hop") == F.col("__n")))
+        jumps = checkpointed(jumps.where("hop is null").select("t", "n", "hop", "steps", "total").union(further.select("t", "n", F.col("__hop").alias("hop"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"))))
     rooted = jumps.where("hop is null")
     ends = leaves.join(rooted, ["t", "n"])
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc(F.col("total") / F.col("steps")), "n"))
