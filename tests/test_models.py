@@ -104,7 +104,7 @@ def test_failing_step_leaves_the_table(crates):
         steps.Step("one_hot_encode", {"columns_to_encode": "kind, market", "drop_first": "false"}, "feature_engineering"),
         steps.Step("create_histogram", {"column": "weight", "title": ""}, "visualization"),
     ]
-    run = steps.run_steps(crates, plan, checkpoint_every=2)
+    run = steps.run_steps(crates, plan)
     assert [r[4] for r in run.log] == [True, False, False, True, True, True]
     assert "kind_plum" in run.table.columns and "twice" in run.table.columns and run.table.count() == 15
     summary = {r["phase"]: (r["steps"], r["errors"]) for r in steps.run_summary(run.log_table()).collect()}
@@ -126,6 +126,32 @@ def test_predictions_replay_the_recorded_transforms(staff):
     assert replayed.orderBy("id").collect() == direct.orderBy("id").collect()
 
 
+def test_kept_columns_come_before_the_recorded_transforms(staff):
+    run = steps.run_steps(staff, [
+        steps.Step("standard_scaler", {"columns_to_scale": "hours"}),
+        steps.Step("train_specific_model", {"target_column": "will_quit", "model_type": "random_forest", "n_estimators": 3}),
+    ])
+    kept = m.score(run.models[0], staff, ["id", "hours"]).select("id", "hours")
+    assert kept.orderBy("id").collect() == staff.select("id", "hours").orderBy("id").collect()
+
+
+def test_rows_of_an_unseen_class_are_errors(staff):
+    model = m.train_model(staff, "will_quit", "random_forest", key=["id"], exclude=["id"], params=TREES)
+    known = {r["metric"]: r["value"] for r in m.evaluate_model(model, staff).collect()}
+    more = staff.unionByName(staff.withColumn("will_quit", F.lit(7)))
+    found = {r["metric"]: r["value"] for r in m.evaluate_model(model, more).collect()}
+    assert found["accuracy"] == pytest.approx(known["accuracy"] / 2, abs=1e-3) and found["roc_auc"] == known["roc_auc"]
+
+
+def test_a_step_that_fails_while_running_is_logged(crates):
+    run = steps.run_steps(crates, [
+        steps.Step(lambda df: df.withColumn("n", F.col("kind").cast("int")), {}),
+        steps.Step("drop_columns", {"column": "weight"}),
+    ])
+    assert [r[4] for r in run.log] == [False, True]
+    assert "n" not in run.table.columns and "weight" not in run.table.columns and run.table.count() == crates.count()
+
+
 def test_targets_and_plans(staff, crates):
     assert automatic.resolve_target(crates, "PRICE") == "price"
     assert automatic.resolve_target(crates, "absent") == "rating"

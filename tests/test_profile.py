@@ -116,3 +116,15 @@ def test_histogram(crates):
 def test_box_plot(crates):
     box = one(charts.box_plot(crates.select("weight")))
     assert (box["lower_bound"], box["upper_bound"], box["outlier_count"], box["whisker_high"]) == (6.1875, 23.6875, 1, 18.0)
+
+
+def test_samples_of_a_column_that_starts_with_gaps(spark):
+    df = spark.range(1000, numPartitions=1).selectExpr("id", "case when id >= 500 then id end as late")
+    found = {r["column"]: r["samples"] for r in profile.column_profile(df, samples=3).collect()}
+    assert found == {"id": ["0", "1", "2"], "late": ["500", "501", "502"]}
+
+
+def test_scatter_grid_keeps_every_group(spark):
+    df = spark.range(60).selectExpr("id as x", "id * 2 as y", "case when id % 20 > 0 then id % 20 end as g")
+    grid = charts.scatter_grid(df, "x", "y", "g", bins=4)
+    assert grid.select("group").distinct().count() == 20 and grid.groupBy().sum("count").first()[0] == 60

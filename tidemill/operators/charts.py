@@ -75,9 +75,11 @@ def top_groups(df: DataFrame, column: str, n: int) -> list[str]:
     return [r["g"] for r in counts.filter("g IS NOT NULL").orderBy(F.desc("n"), "g").limit(n).collect()]
 
 
-def scatter_grid(df: DataFrame, x: str, y: str, group: str | None = None, bins: int = 50, groups: int = 10) -> DataFrame:
+def scatter_grid(df: DataFrame, x: str, y: str, group: str | None = None, bins: int = 50) -> DataFrame:
     """Point counts on a grid over both axes, per group when one is named, with r on each row.
 
+    Every group is kept; rows without a group count under null.
+
     A grid keeps every point in the picture and its size does not grow with the table.
     """
     require_numeric(df, [x, y])
@@ -91,9 +93,7 @@ def scatter_grid(df: DataFrame, x: str, y: str, group: str | None = None, bins:
     points = df.filter(name(x).isNotNull() & name(y).isNotNull())
     if group is not None:
         require(df, [group])
-        label = name(group).cast("string")
-        points = points.filter(label.isin(top_groups(df, group, groups)))
-        keys.append(label.alias("group"))
+        keys.append(name(group).cast("string").alias("group"))
     return points.groupBy(*keys).agg(F.count("*").alias("count")).withColumn(
         "correlation", tidy(F.lit(r).cast("double"), 4)
     )

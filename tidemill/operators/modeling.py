@@ -160,7 +160,8 @@ class Prepared:
         rows = self.encode(known_target(df, self.target))
         if self.labels is not None:
             rows = with_code(rows, name(self.target).cast("string"), self.labels, "__class")
-            label = F.col("__class").cast("double")
+            # A class that training never saw gets the code after the last one, which no model predicts.
+            label = F.coalesce("__class", F.lit(len(self.labels))).cast("double")
         else:
             label = name(self.target).cast("double")
         rows = rows.select(
@@ -321,7 +322,7 @@ def measure(prepared: Prepared, predictions: DataFrame) -> dict:
         row = classification_metrics(rows, "label", "prediction").first()
         out = {k: row[k] for k in ("accuracy", "precision", "recall", "f1_score")}
         if binary:
-            out["roc_auc"] = roc_auc(rows, "label", "score").first()["roc_auc"]
+            out["roc_auc"] = roc_auc(rows.filter("label < 2"), "label", "score").first()["roc_auc"]
         return out
     finally:
         rows.unpersist()
@@ -370,7 +371,10 @@ def metrics_table(spark, models: Sequence[TrainedModel]) -> DataFrame:
 
 
 def evaluate_model(trained: TrainedModel, test: DataFrame) -> DataFrame:
-    """Metrics of a trained model on given rows, as (metric, value)."""
+    """Metrics of a trained model on given rows, as (metric, value).
+
+    Rows of a class that training never saw count as errors; the AUC leaves them out.
+    """
     found = measure(trained.prepared, trained.fitted.transform(trained.prepared.assemble(test)))
     return test.sparkSession.createDataFrame([(k, float(v)) for k, v in found.items() if v is not None], "metric string, value double")
 
@@ -556,16 +560,19 @@ def score(trained: TrainedModel, df: DataFrame, keep: Sequence[str] | None = Non
     """Add prediction, class probabilities and confidence; works on batch and streaming tables.
 
     All features must be there, unless ``fill_absent`` sets absent ones to 0. A missing value in a
-    feature that has no fitted fill counts as 0.
+    feature that has no fitted fill counts as 0. Columns to ``keep`` have the values they came with,
+    before any recorded transform.
     """
     p = trained.prepared
+    came = {}
     if trained.history:
-        df = apply_all(df, trained.history)
+        came = {c: f"__c{i}" for i, c in enumerate(keep or []) if c in df.columns}
+        df = apply_all(df.select("*", *[name(c).alias(k) for c, k in came.items()]), trained.history)
     absent = [c for c in p.features if c not in df.columns]
     if absent and not fill_absent:
         raise ValueError(f"missing features: {absent}")
     kept = list(keep) if keep is not None else [c for c in df.columns]
-    rows = df.select(*[name(c).alias(f"__k{i}") for i, c in enumerate(kept)], *[name(c) for c in p.features if c in df.columns])
+    rows = df.select(*[name(came.get(c, c)).alias(f"__k{i}") for i, c in enumerate(kept)], *[name(c) for c in p.features if c in df.columns])
     for c in absent:
         rows = rows.withColumn(c, F.lit(0.0))
     rows = p.encode(rows)

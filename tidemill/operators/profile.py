@@ -152,11 +152,16 @@ def _profile_class(field: T.StructField, unique: int | None, total: int) -> str:
 
 
 def _samples(df: DataFrame, n: int) -> dict[str, list[str]]:
-    """The first few non-null values per column among a few leading rows."""
+    """The first few non-null values of each column; a column with gaps is searched as far as needed."""
     if n < 1:
         return {c: [] for c in df.columns}
     head = df.select(*[name(c).cast("string").alias(c) for c in df.columns]).limit(20 * n).collect()
-    return {c: [r[i] for r in head if r[i] is not None][:n] for i, c in enumerate(df.columns)}
+    found = {c: [r[i] for r in head if r[i] is not None][:n] for i, c in enumerate(df.columns)}
+    if len(head) == 20 * n:
+        for c in [c for c, values in found.items() if len(values) < n]:
+            some = df.select(name(c).cast("string").alias("v")).filter("v IS NOT NULL").limit(n)
+            found[c] = [r["v"] for r in some.collect()]
+    return found
 
 
 def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:

@@ -173,7 +173,12 @@ def make_predictions(run: Run, table: DataFrame, model_name: str | None = None)
 
 
 def run_step(run: Run, step: Step) -> bool:
-    """Run one step and log it. A failing step leaves the table as it was."""
+    """Run one step and log it. A failing step leaves the table as it was.
+
+    The table and the report of the step are written to reliable storage before it counts as done, so
+    that failures of running tasks are logged too, the time is that of the work, and the next step
+    starts from stored rows.
+    """
     place, started = len(run.log), time.monotonic()
     success, error = True, None
     try:
@@ -184,11 +189,12 @@ def run_step(run: Run, step: Step) -> bool:
             outcome = TOOLS[step.tool](run.table, **args)
         else:
             raise ValueError(f"unknown tool '{step.tool}'")
-        if outcome.table is not None:
-            outcome.table.schema  # an expression that does not resolve fails here
-            run.table = outcome.table
-        if outcome.report is not None:
-            run.reports[place] = outcome.report
+        table = None if outcome.table is None else checkpointed(outcome.table)
+        report = None if outcome.report is None else checkpointed(outcome.report)
+        if table is not None:
+            run.table = table
+        if report is not None:
+            run.reports[place] = report
         if outcome.model is not None:
             outcome.model.history = list(run.fitted)
             run.models.append(outcome.model)
@@ -201,23 +207,11 @@ def run_step(run: Run, step: Step) -> bool:
     return success
 
 
-def run_steps(
-    df: DataFrame, steps: Sequence[Step], start: int = 0, checkpoint_every: int | None = 5, run: Run | None = None
-) -> Run:
-    """Feed each step's table to the next one, beginning at ``start``.
-
-    Every ``checkpoint_every`` changes of the table it is written to reliable storage, so that the
-    lineage stays short and a lost executor costs at most those steps.
-    """
+def run_steps(df: DataFrame, steps: Sequence[Step], start: int = 0, run: Run | None = None) -> Run:
+    """Feed each step's table to the next one, beginning at ``start``."""
     run = run or Run(df)
-    changes = 0
     for step in steps[start:]:
-        before = run.table
         run_step(run, step)
-        if run.table is not before:
-            changes += 1
-            if checkpoint_every and changes % checkpoint_every == 0:
-                run.table = checkpointed(run.table)
     return run
 
 

@@ -270,7 +270,7 @@ STEPS = [
     select o_orderkey, {rd('(p - m) / s', 6)} as o_totalprice, code as o_orderpriority from b join c using (v), t""",
 )
 def _(spark, folder):
-    out = steps.run_steps(orders_gaps(spark, folder), STEPS, checkpoint_every=3).table
+    out = steps.run_steps(orders_gaps(spark, folder), STEPS).table
     return out.select("o_orderkey", F.round(F.round("o_totalprice", 12), 6).alias("o_totalprice"), "o_orderpriority")
 
 
