@@ -27,8 +27,15 @@ def test_encoders(crates):
     label = f.fit_label_encoder(crates, "market")
     assert label.params["labels"] == ["Bergen", "Oslo", "Tromso", "nan"]
     assert label.apply(crates).filter("price = 365").first()["market"] == 3
-    with pytest.raises(ValueError, match="categories"):
-        f.fit_one_hot(crates, ["market"], limit=2)
+
+
+def test_one_hot_above_the_limit_is_a_vector(crates):
+    fitted = f.Fitted.from_json(f.fit_one_hot(crates, ["market"], limit=2).to_json())
+    got = {r["market"]: list(r["market_vec"]) for r in fitted.apply(crates).join(crates.select("price", "market").distinct(), "price").collect()}
+    assert got == {"Bergen": [0.0, 0.0], "Oslo": [1.0, 0.0], "Tromso": [0.0, 1.0], None: [0.0, 0.0]}
+    every = f.fit_one_hot(crates, ["market"], drop_first=False, limit=2).apply(crates)
+    assert list(every.filter("price = 310").first()["market_vec"]) == [0.0, 1.0, 0.0]
+    assert list(every.filter("price = 365").first()["market_vec"]) == [0.0, 0.0, 0.0]
 
 
 def test_many_labels_through_a_table(spark, tmp_path, monkeypatch):
@@ -48,6 +55,8 @@ def test_log_and_polynomial(crates):
     assert names == ["a", "b", "apow2", "a_b", "bpow2", "apow3", "apow2_b", "a_bpow2", "bpow3"]
     out = f.fit_polynomial(crates, ["weight", "rating"]).apply(crates)
     assert out.filter("price = 420").first()["weight_rating"] == 14.25 * 8
+    six = crates.select("weight", "price", "rating", *[(F.col("rating") + i).alias(f"r{i}") for i in range(3)])
+    assert len(f.fit_polynomial(six).params["cols"]) == 6
 
 
 def test_pca_keeps_total_variance(crates):

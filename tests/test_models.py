@@ -159,3 +159,77 @@ def test_targets_and_plans(staff, crates):
     found = automatic.suggest_steps(crates, done=["create_box_plot"])
     assert [s.priority for s in found] == sorted(s.priority for s in found)
     assert found[0].tool == "remove_duplicates" and all(s.tool != "create_box_plot" for s in found)
+
+
+def test_texts_of_any_cardinality_and_unseen_ones(spark, staff, tmp_path, monkeypatch):
+    from tidemill.operators import features
+
+    monkeypatch.setattr(features, "LABEL_INLINE_LIMIT", 3)
+    named = staff.withColumn("who", F.concat(F.lit("n"), F.col("id").cast("string")))
+    model = m.train_model(named, "will_quit", "random_forest", key=["id"], exclude=["id"], params=TREES)
+    table = next(s.params for s in model.prepared.steps if s.params.get("column") == "who")
+    assert model.prepared.blank("who") == table["codes"] and model.prepared.blank("hours") == 0.0
+    loaded = model_table.load_model(spark, str(tmp_path), model_table.save_model(spark, str(tmp_path), model))
+    kept = [s.params["table"] for s in loaded.prepared.steps if "table" in s.params]
+    assert kept and all(p.startswith(str(tmp_path)) for p in kept)
+    assert m.score(loaded, named, ["id"]).orderBy("id").collect() == m.score(model, named, ["id"]).orderBy("id").collect()
+
+
+def test_stated_problem_and_bounded_rows(staff):
+    found = m.train_model(staff, "id", "linear_regression", key=["id"], problem="regression")
+    assert found.kind == "regression"
+    with pytest.raises(ValueError, match="numeric target"):
+        m.train_model(staff, "team", problem="regression")
+    with pytest.raises(ValueError, match="problem must be"):
+        m.train_model(staff, "team", problem="ranking")
+    n = staff.count()
+    assert m.bounded(staff, ["id"], n).count() == n and 0 < m.bounded(staff, ["id"], n // 2).count() < n
+
+
+def test_stratified_folds(staff):
+    rows = m.with_folds(staff, ["id"], 5, stratify_by="team").groupBy("team", "fold").count().collect()
+    for team in {r["team"] for r in rows}:
+        sizes = [r["count"] for r in rows if r["team"] == team]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
+def test_plans_have_no_limits(spark):
+    wide = spark.range(20).select(*[F.when(F.col("id") > i, F.col("id")).alias(f"c{i}") for i in range(10)])
+    assert len([s for s in automatic.cleaning_steps(wide) if s.tool_name == "fill_missing_values"]) == 10
+
+
+def test_box_plot_keeps_every_row(crates):
+    from tidemill.operators import charts
+
+    rows = {r["group"]: r["count"] for r in charts.box_plot(crates, "price", "market", groups=1).collect()}
+    assert set(rows) == {"Oslo", "(other)"} and sum(rows.values()) == crates.count()
+
+
+def test_hours_are_in_utc(spark):
+    from tidemill.operators import logs
+
+    df = spark.createDataFrame([(0,)], "s long").select(F.timestamp_seconds(F.col("s") + 3600 * 5).alias("ts"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert logs.hourly(df, F.lit(False)).first()["hour"] == "1970-01-01T05"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from tidemill.streaming import jobs
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def batch(*hours):
+        spark.createDataFrame([(datetime(2024, 1, 1, h, 30),) for h in hours], "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.hourly_stream(jobs.read_stream(spark, source, spark.read.parquet(source).schema), F.lit(False))
+        jobs.start_keyed(stream, out, str(tmp_path / "state"), interval=None).awaitTermination()
+        return {r["hour"][-2:]: r["total"] for r in jobs.latest(spark, out, stream.schema, ["hour"]).collect()}
+
+    assert batch(1, 5, 5) == {"01": 1, "05": 2}
+    # The watermark now stands at 04:30, so the row of hour 1 comes too late.
+    assert batch(1, 5, 6) == {"01": 1, "05": 3, "06": 1}

@@ -69,6 +69,9 @@ def bar_chart(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     return out.select("value", "count", F.col("total_unique_values").alias("total_categories"))
 
 
+OTHER = "(other)"
+
+
 def top_groups(df: DataFrame, column: str, n: int) -> list[str]:
     """The n most frequent non-null values of a grouping column, as strings."""
     counts = df.groupBy(name(column).cast("string").alias("g")).agg(F.count("*").alias("n"))
@@ -120,7 +123,8 @@ def box_plot(df: DataFrame, column: str | None = None, group_by: str | None = No
     """Quartiles, whiskers and outliers per group.
 
     Whiskers end at the furthest value within 1.5 interquartile ranges of the box. Without
-    ``column`` the first numeric column is taken; groups are the most frequent ones.
+    ``column`` the first numeric column is taken. The most frequent ``groups`` have a row each; the rows
+    of all others, and those without a group, make up one more, ``(other)``.
     """
     column = column or next(iter(numeric_columns(df)), None)
     if column is None:
@@ -131,8 +135,9 @@ def box_plot(df: DataFrame, column: str | None = None, group_by: str | None = No
         labels, label = [column], F.lit(column)
     else:
         require(df, [group_by])
-        labels, label = top_groups(df, group_by, groups), name(group_by).cast("string")
-    # At most a dozen groups, so each is one conditional target of the same few scans.
+        top, own = top_groups(df, group_by, groups), name(group_by).cast("string")
+        labels, label = list(dict.fromkeys([*top, OTHER])), F.when(own.isin(top), own).otherwise(F.lit(OTHER))
+    # At most a dozen groups and the rest, so each is one conditional target of the same few scans.
     targets = {g: F.when(label == F.lit(g), x) for g in labels}
     quartiles = exact_quantiles(df, targets, [0.25, 0.5, 0.75])
     wanted, rows = [F.count("*").alias("n")], []

@@ -7,6 +7,7 @@ into column expressions, so it costs no extra job and works on streams as well.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
@@ -28,6 +29,7 @@ from tidemill.functions.columns import (
 from tidemill.functions.jobs import together
 from tidemill.functions.order import global_index, lookup_by_value
 from tidemill.functions.quantiles import exact_medians, exact_quantiles, run_aggregates
+from tidemill.session import scratch_path
 
 ONE_HOT_LIMIT = 2_000
 LABEL_INLINE_LIMIT = 5_000
@@ -171,25 +173,31 @@ def _text(df: DataFrame, c: str) -> Column:
     return present(c, df.schema[c].dataType).cast("string")
 
 
-def categories(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> dict[str, list[str]]:
-    """The sorted distinct values of each column; more than ``limit`` of them is an error."""
+def categories(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> dict[str, list[str] | None]:
+    """The sorted distinct values of each column, None when there are more than ``limit``."""
     out = {}
     for c in cols:
         found = df.select(_text(df, c).alias("v")).filter("v IS NOT NULL").distinct().limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"column '{c}' has more than {limit} categories; use label encoding or fit_one_hot_vector")
-        out[c] = sorted(r["v"] for r in found)
+        out[c] = sorted(r["v"] for r in found) if len(found) <= limit else None
     return out
 
 
 def fit_one_hot(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool = True, limit: int = ONE_HOT_LIMIT) -> Fitted:
-    """One 0/1 column per category, named ``column_value``; a missing value is all zeros."""
+    """One 0/1 column per category, named ``column_value``; a missing value is all zeros.
+
+    A column with more than ``limit`` categories becomes one sparse vector, ``<column>_vec``, instead.
+    """
     cols = list(cols) if cols is not None else string_columns(df)
     require(df, cols)
-    return Fitted("one_hot", {"categories": categories(df, cols, limit), "drop_first": drop_first})
+    found = categories(df, cols, limit)
+    many = [fit_label_encoder(df.filter(_text(df, c).isNotNull()), c).params for c in cols if found[c] is None]
+    few = {c: v for c, v in found.items() if v is not None}
+    return Fitted("one_hot", {"categories": few, "drop_first": drop_first, "vectors": many})
 
 
 def _apply_one_hot(df: DataFrame, p: dict) -> DataFrame:
+    for labels in p.get("vectors", []):
+        df = _with_vector(df, labels, p["drop_first"])
     encoded = [c for c in p["categories"] if c in df.columns]
     added = [
         F.when(_text(df, c) == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}")
@@ -199,15 +207,21 @@ def _apply_one_hot(df: DataFrame, p: dict) -> DataFrame:
     return df.select(*[name(c) for c in df.columns if c not in encoded], *added)
 
 
-def fit_one_hot_vector(df: DataFrame, column: str, drop_first: bool = True):
-    """Any number of categories as one sparse vector column ``<column>_vec`` (Spark ML stages)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+def _with_vector(df: DataFrame, p: dict, drop_first: bool) -> DataFrame:
+    """Replace a label-encoded column by its one-hot vector; missing and unseen values are all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
 
-    require(df, [column])
-    index = StringIndexer(inputCol=column, outputCol=f"{column}_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
-    encode = OneHotEncoder(inputCol=f"{column}_idx", outputCol=f"{column}_vec", dropLast=drop_first, handleInvalid="keep")
-    return Pipeline(stages=[index, encode]).fit(df)
+    c = p["column"]
+    if c not in df.columns:
+        return df
+    # The encoder's last index stands for the zero vector.
+    zero = label_size(p) - 1 if drop_first else label_size(p)
+    code = F.when(_text(df, c).isNotNull(), F.col("__code"))
+    slot = F.when(code > 0, code - 1) if drop_first else code
+    out = _with_label(df, p, "__code").withColumn("__slot", F.coalesce(slot, F.lit(zero)).cast("double"))
+    sizes = df.sparkSession.range(zero, zero + 1).select(F.col("id").cast("double").alias("__slot"))
+    encoder = OneHotEncoder(inputCol="__slot", outputCol=f"{c}_vec", dropLast=True).fit(sizes)
+    return encoder.transform(out).select(*[name(k) for k in df.columns if k != c], name(f"{c}_vec"))
 
 
 def label_counts(df: DataFrame, column: str) -> DataFrame:
@@ -226,7 +240,8 @@ def fit_label_encoder(df: DataFrame, column: str, table_path: str | None = None)
     """Integer codes in the order of the labels as text; a missing value is the label ``nan``.
 
     Few labels are kept in the parameters. More than that are numbered by a distributed sort and
-    written to ``table_path``, from which the transform joins them.
+    written to ``table_path``, or to the scratch folder when none is named, from which the transform
+    joins them.
     """
     require(df, [column])
     counts = label_counts(df, column)
@@ -234,24 +249,30 @@ def fit_label_encoder(df: DataFrame, column: str, table_path: str | None = None)
     if len(few) <= LABEL_INLINE_LIMIT:
         labels = sorted(r["label"] for r in few)
         return Fitted("label", {"column": column, "labels": labels})
-    if table_path is None:
-        raise ValueError(f"column '{column}' has more than {LABEL_INLINE_LIMIT} labels; give table_path")
-    global_index(counts, ["label"], "code").write.mode("overwrite").parquet(table_path)
-    rows = df.sparkSession.read.parquet(table_path).agg(F.sum("n")).first()[0]
-    return Fitted("label", {"column": column, "table": table_path, "rows": int(rows)})
+    path = table_path or scratch_path(df.sparkSession, f"labels-{uuid.uuid4().hex}")
+    global_index(counts, ["label"], "code").write.mode("overwrite").parquet(path)
+    rows, codes = df.sparkSession.read.parquet(path).agg(F.sum("n"), F.count("*")).first()
+    return Fitted("label", {"column": column, "table": path, "rows": int(rows), "codes": int(codes)})
+
+
+def label_size(p: dict) -> int:
+    """The number of codes of a label encoder, which is also the code for a label it never saw."""
+    return len(p["labels"]) if "labels" in p else p["codes"]
 
 
 def _apply_label(df: DataFrame, p: dict) -> DataFrame:
     c = p["column"]
     if c not in df.columns:
         return df
-    label = F.coalesce(_text(df, c), F.lit(MISSING_LABEL))
+    return _replace(_with_label(df, p, "__code"), {c: F.col("__code")}).drop("__code")
+
+
+def _with_label(df: DataFrame, p: dict, out: str) -> DataFrame:
+    label = F.coalesce(_text(df, p["column"]), F.lit(MISSING_LABEL))
     if "labels" in p:
-        out = with_code(df, label, p["labels"], "__code")
-        return _replace(out, {c: F.col("__code")}).drop("__code")
+        return with_code(df, label, p["labels"], out)
     table = df.sparkSession.read.parquet(p["table"])
-    out = lookup_by_value(df, label, table, "label", "n", p["rows"], {"code": "__code"})
-    return _replace(out, {c: F.col("__code")}).drop("__code")
+    return lookup_by_value(df, label, table, "label", "n", p["rows"], {"code": out})
 
 
 def with_code(df: DataFrame, label: Column, labels: Sequence[str], out: str) -> DataFrame:
@@ -396,8 +417,8 @@ def pca_report(df: DataFrame, fitted: Fitted) -> DataFrame:
 
 
 def fit_polynomial(df: DataFrame, cols: Sequence[str] | None = None, degree: int = 2) -> Fitted:
-    """All products up to ``degree`` of the named columns, or of the first five numeric ones."""
-    cols = pick_numeric(df, cols) if cols is not None else numeric_columns(df)[:5]
+    """All products up to ``degree`` of the named columns, or of all numeric ones."""
+    cols = pick_numeric(df, cols)
     if not cols or degree < 1:
         raise ValueError("at least one numeric column and degree 1 are needed")
     return Fitted("polynomial", {"cols": cols, "degree": degree, "fill": fit_impute(df, cols).params["values"]})

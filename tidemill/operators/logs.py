@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemill.functions.columns import name, require, share, tidy
 from tidemill.functions.order import global_index, lookup_by_value
@@ -104,13 +104,19 @@ def top_keys(
 
 
 def hourly(df: DataFrame, error: Column, now: datetime | None = None, hours: float = 24, ts: str = "ts") -> DataFrame:
-    """Rows and errors per hour that has any, oldest first (session time zone)."""
+    """Rows and errors per hour (UTC) that has any, oldest first."""
     if now is not None:
         df = df.filter(since(df, ts, now, hours))
-    counts = df.groupBy(F.date_trunc("hour", ts).alias("h")).agg(
-        F.count("*").alias("total"), F.count_if(error).alias("errors")
-    )
-    return counts.select(F.date_format("h", "yyyy-MM-dd'T'HH").alias("hour"), "total", "errors").orderBy("hour")
+    counts = df.groupBy(utc_hour(df, ts).alias("hour")).agg(F.count("*").alias("total"), F.count_if(error).alias("errors"))
+    return counts.orderBy("hour")
+
+
+def utc_hour(df: DataFrame, ts: str) -> Column:
+    """The UTC hour of a time as text; times without a zone are taken as UTC."""
+    t = name(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        t = F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz"))
+    return F.translate(F.substring(t.cast("timestamp_ntz").cast("string"), 1, 13), " ", "T")
 
 
 def active_and_new_users(df: DataFrame, now: datetime, user: str = "user_id", ts: str = "ts", hours: float = 24, days: float = 7) -> DataFrame:
@@ -199,7 +205,9 @@ def user_activity(
     out = {"user": users.filter(name(user) == F.lit(user_id))}
     out["log"] = recent(log.filter(name(user) == F.lit(user_id)), log_limit, ts, key)
     for label, (table, owner, when) in owned.items():
-        rows = table.filter(name(owner) == F.lit(user_id)).orderBy(F.desc(when)).limit(owned_limit)
+        rows = table.filter(name(owner) == F.lit(user_id))
+        ties = [F.desc(children[label][2])] if children and label in children else []
+        rows = rows.orderBy(F.desc(when), *ties).limit(owned_limit)
         if children and label in children:
             child, foreign, own_key = children[label]
             rows = with_child_counts(rows, own_key, {"children": (child, foreign)})
@@ -296,6 +304,21 @@ def login_rollup(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFr
     return df.groupBy(name(user)).agg(F.max(ts).alias("last_login"), F.count("*").alias("login_count"))
 
 
+def users_page(
+    users: DataFrame, logins: DataFrame, children: Mapping[str, tuple[DataFrame, str]], page: int = 1, limit: int = 20,
+    key: str = "user_id", user: str = "user_id", ts: str = "ts",
+) -> DataFrame:
+    """One page of users by last login, newest first, with counts, the total and the number of pages.
+
+    Users who never logged in come last; equal times go by key, higher first. Counts are worked out
+    for the users of the page only.
+    """
+    seen = login_rollup(logins, user, ts).withColumnRenamed(user, "__user")
+    rows = users.join(seen, name(key) == F.col("__user"), "left").drop("__user")
+    found = page_of(rows.withColumn("login_count", F.coalesce("login_count", F.lit(0))), page, limit, "last_login", key)
+    return with_child_counts(found, key, children)
+
+
 def daily_usage(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Active users and rows per day."""
     return df.groupBy(F.to_date(ts).alias("day")).agg(F.count_distinct(name(user)).alias("active_users"), F.count("*").alias("events"))

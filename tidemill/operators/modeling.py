@@ -26,7 +26,7 @@ from tidemill.functions.columns import (
     type_class,
 )
 from tidemill.functions.quantiles import exact_quantiles
-from tidemill.operators.features import Fitted, apply_all, fit_features, known_target, with_code
+from tidemill.operators.features import Fitted, apply_all, fit_features, known_target, label_size, with_code
 from tidemill.operators.metrics import classification_metrics, regression_metrics, roc_auc
 from tidemill.operators.profile import problem_type
 
@@ -60,13 +60,20 @@ def split_condition(
     if not stratify:
         return unit < F.lit(float(test_size))
     # Each label gets its own threshold, so its share of test rows is exact to one row.
+    limits = class_limits(df, target, unit, [test_size], labels)
+    return F.coalesce(unit < limits[0], F.lit(False))
+
+
+def class_limits(df: DataFrame, target: str, unit: Column, probs: Sequence[float], labels: Sequence[str] | None = None) -> Column:
+    """The quantiles of ``unit`` within each row's class as an array, NULL for rows without a class."""
     label = name(target).cast("string")
     labels = class_labels(df, target) if labels is None else labels
-    limits = exact_quantiles(df, {v: F.when(label == F.lit(v), unit) for v in labels}, [test_size], uniform=True)
-    limit = F.lit(None).cast("double")
-    for v in labels:
-        limit = F.when(label == F.lit(v), F.lit(limits[v][0])).otherwise(limit)
-    return F.coalesce(unit < limit, F.lit(False))
+    limits = exact_quantiles(df, {v: F.when(label == F.lit(v), unit) for v in labels}, probs, uniform=True)
+    known = [(v, limits[v]) for v in labels if None not in limits[v]]
+    if not known:
+        return F.lit(None).cast("array<double>")
+    entries = F.create_map(*[x for v, cuts in known for x in (F.lit(v), F.array(*[F.lit(float(t)) for t in cuts]))])
+    return F.try_element_at(entries, label)
 
 
 def train_test(
@@ -81,11 +88,12 @@ def train_test(
 
 
 def split_statistics(
-    df: DataFrame, target: str, key: Sequence[str] | None = None, test_size: float = 0.2, seed: int = 42, stratify: bool = False
+    df: DataFrame, target: str, key: Sequence[str] | None = None, test_size: float = 0.2, seed: int = 42, stratify: bool = False,
+    problem: str | None = None,
 ) -> DataFrame:
     """Sizes of both sides, then class shares or target statistics, as (statistic, item, value)."""
     require(df, [target])
-    kind = problem_type(df, target)
+    kind = stated_problem(df, target, problem)
     rows = known_target(df, target)
     test = split_condition(rows, target, key or row_key(df), test_size, seed, stratify and kind == "classification")
     sizes = rows.agg(F.count("*").cast("double").alias("n"), F.count_if(test).cast("double").alias("t")).select(
@@ -122,11 +130,33 @@ def split_statistics(
     )
 
 
-def with_folds(df: DataFrame, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Add a fold number 0..k-1 drawn from the key hash."""
+def with_folds(
+    df: DataFrame, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold", stratify_by: str | None = None,
+    labels: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add a fold number 0..k-1 drawn from the key hash.
+
+    With ``stratify_by`` every fold gets its share of each class, exact to one row; rows without a
+    class are drawn as without it.
+    """
     if k < 2:
         raise ValueError("at least 2 folds are needed")
-    return df.withColumn(out, F.least(F.floor(hash_unit(key, seed) * k), F.lit(k - 1)).cast("int"))
+    unit = hash_unit(key, seed)
+    drawn = F.least(F.floor(unit * k), F.lit(k - 1)).cast("int")
+    if stratify_by is None:
+        return df.withColumn(out, drawn)
+    cuts = class_limits(df, stratify_by, unit, [i / k for i in range(1, k)], labels)
+    return df.withColumn("__u", unit).withColumn(
+        out, F.when(cuts.isNull(), drawn).otherwise(F.size(F.filter(cuts, lambda t: t <= F.col("__u"))))
+    ).drop("__u")
+
+
+def bounded(df: DataFrame, key: Sequence[str], max_rows: int | None, seed: int = 42) -> DataFrame:
+    """All rows, or about ``max_rows`` chosen by key hash when there are more: the bound on the rows a fit learns from."""
+    if max_rows is None:
+        return df
+    n = df.count()
+    return df if n <= max_rows else df.filter(hash_unit(key, seed + 101) < F.lit(max_rows / n))
 
 
 # Preparation
@@ -152,6 +182,11 @@ class Prepared:
     steps: list[Fitted]
     labels: list[str] | None
 
+    def blank(self, feature: str) -> float:
+        """What stands for no value: of a text the code after the last label, else 0."""
+        sizes = [label_size(s.params) for s in self.steps if s.kind == "label" and s.params["column"] == feature]
+        return float(sizes[0]) if sizes else 0.0
+
     def encode(self, df: DataFrame) -> DataFrame:
         return apply_all(df, self.steps)
 
@@ -165,8 +200,7 @@ class Prepared:
         else:
             label = name(self.target).cast("double")
         rows = rows.select(
-            # A label that training never saw has no code; it counts as 0.
-            *[F.coalesce(name(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(self.features)],
+            *[F.coalesce(name(c).cast("double"), F.lit(self.blank(c))).alias(f"f{i}") for i, c in enumerate(self.features)],
             label.alias("label"),
             *[v.alias(k) for k, v in (extra or {}).items()],
         )
@@ -178,9 +212,20 @@ def assembler(width: int) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"f{i}" for i in range(width)], outputCol="features", handleInvalid="error")
 
 
-def describe_target(df: DataFrame, target: str) -> tuple[str, list[str] | None]:
+def stated_problem(df: DataFrame, target: str, problem: str | None = None) -> str:
+    """The stated problem type after a check, or the one that the target's values suggest."""
+    if problem is None:
+        return problem_type(df, target)
+    if problem not in ("classification", "regression"):
+        raise ValueError("problem must be 'classification' or 'regression'")
+    if problem == "regression" and type_class(df.schema[target].dataType) != "numeric":
+        raise ValueError(f"regression needs a numeric target, not '{target}'")
+    return problem
+
+
+def describe_target(df: DataFrame, target: str, problem: str | None = None) -> tuple[str, list[str] | None]:
     """The problem type and, for a classification, the classes."""
-    kind = problem_type(df, target)
+    kind = stated_problem(df, target, problem)
     return kind, class_labels(df, target) if kind == "classification" else None
 
 
@@ -224,7 +269,10 @@ def display_name(model: str, kind: str) -> str:
 
 
 def build_estimator(model: str, kind: str, classes: int, rows: int, params: Mapping | None = None):
-    """The Spark ML estimator for a model name, with parameters under their usual names."""
+    """The Spark ML estimator for a model name, with parameters under their usual names.
+
+    A forest depth of None means 30, the deepest tree that Spark grows.
+    """
     p, model = dict(params or {}), canonical(model)
     classify = kind == "classification"
     seed = p.pop("random_state", 42)
@@ -340,15 +388,19 @@ def train_model(
     exclude: Sequence[str] = (),
     model_name: str | None = None,
     seed: int = 42,
+    problem: str | None = None,
+    max_rows: int | None = None,
 ) -> TrainedModel:
     """Split, prepare, fit one model and measure it on the held-out rows.
 
-    ``fit_on`` says whether encoders and fills learn from the training rows or from all rows.
+    ``fit_on`` says whether encoders and fills learn from the training rows or from all rows;
+    ``problem`` states the problem type; ``max_rows`` bounds the training rows, never the test rows.
     """
-    kind, labels = describe_target(df, target)
+    kind, labels = describe_target(df, target, problem)
     if model == "logistic" and kind != "classification":
         raise ValueError("logistic regression needs a classification target")
     train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
+    train = bounded(train, key or row_key(df), max_rows, seed)
     # The training rows are read several times below; kept, their key hash is computed once.
     train = _spread(train.select(*[name(c) for c in [*usable_features(df, target, exclude), target]]))
     try:
@@ -401,10 +453,17 @@ def compare_models(models: Sequence[TrainedModel], test: DataFrame) -> DataFrame
 
 
 def _fold_table(
-    df: DataFrame, target: str, key: Sequence[str] | None, folds: int, seed: int, exclude: Sequence[str], described=None
+    df: DataFrame, target: str, key: Sequence[str] | None, folds: int, seed: int, exclude: Sequence[str], described,
+    max_rows: int | None = None,
 ):
-    """(preparation, persisted features-label-fold table, rows) that all fits of a search share."""
-    rows = with_folds(known_target(df, target), key or row_key(df), max(folds, 2), seed, "__fold")
+    """(preparation, persisted features-label-fold table, rows) that all fits of a search share.
+
+    Folds of a classification are stratified. Fills and encoders learn from all folds.
+    """
+    kind, labels = described
+    key = key or row_key(df)
+    rows = bounded(known_target(df, target), key, max_rows, seed)
+    rows = with_folds(rows, key, max(folds, 2), seed, "__fold", target if kind == "classification" else None, labels)
     used = [*usable_features(df, target, exclude), target]
     rows = _spread(rows.select(*[name(c) for c in used], "__fold"))
     try:
@@ -436,10 +495,10 @@ def _summary(scores: Sequence[float]) -> dict:
 
 def cross_validate(
     df: DataFrame, target: str, model: str = "random_forest", folds: int = 5, key: Sequence[str] | None = None,
-    params: Mapping | None = None, exclude: Sequence[str] = (), seed: int = 42,
+    params: Mapping | None = None, exclude: Sequence[str] = (), seed: int = 42, problem: str | None = None, max_rows: int | None = None,
 ) -> DataFrame:
     """Score of each fold (accuracy or R2) with mean, population std, range and mean +- 2 std."""
-    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude)
+    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude, describe_target(df, target, problem), max_rows)
     try:
         scores = _fold_scores(prepared, table, model, params or {}, folds, rows)
     finally:
@@ -456,11 +515,12 @@ def cross_validate(
 def tune(
     df: DataFrame, target: str, model: str = "random_forest", folds: int = 5, key: Sequence[str] | None = None,
     grid: Mapping[str, Sequence] | None = None, exclude: Sequence[str] = (), seed: int = 42, top: int = 5,
+    problem: str | None = None, max_rows: int | None = None,
 ) -> DataFrame:
     """Cross-validate every parameter combination; the best few with mean and std of their scores."""
     grid = dict(grid if grid is not None else GRIDS[canonical(model)])
     combos = [dict(zip(grid, values)) for values in product(*grid.values())]
-    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude)
+    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude, describe_target(df, target, problem), max_rows)
     try:
         found = [(c, _summary(_fold_scores(prepared, table, model, c, folds, rows))) for c in combos]
     finally:
@@ -485,14 +545,15 @@ def auto_train(
     df: DataFrame, target: str, folds: int = 5, test_size: float = 0.2, key: Sequence[str] | None = None,
     models: Sequence[str] = ("random_forest", "gbt", "gbt_deep", "logistic_regression"),
     params: Mapping[str, Mapping] | None = None, exclude: Sequence[str] = (), seed: int = 42,
+    problem: str | None = None, max_rows: int | None = None,
 ) -> AutoResult:
     """Cross-validate and test several models; a model that fails leaves an error row and the rest go on.
 
     With fewer than 2 ``folds`` the models are only trained and tested.
     """
-    kind, labels = describe_target(df, target)
+    kind, labels = describe_target(df, target, problem)
     train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
-    prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude, (kind, labels))
+    prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude, (kind, labels), max_rows)
     held_out = _spread(prepared.assemble(test))
     main = "accuracy" if kind == "classification" else "r2_score"
     trained, data = [], []
@@ -538,11 +599,16 @@ def _weights(fitted) -> list[float]:
 
 def feature_importance(
     df: DataFrame, target: str | None = None, model: str | TrainedModel = "random_forest", top: int | None = 10,
-    params: Mapping | None = None, exclude: Sequence[str] = (),
+    params: Mapping | None = None, exclude: Sequence[str] = (), problem: str | None = None, max_rows: int | None = None,
 ) -> DataFrame:
-    """Features by importance or absolute coefficient, of a given model or of one fitted on all rows."""
+    """Features by importance or absolute coefficient, of a given model or of one fitted on all rows.
+
+    ``max_rows`` bounds the rows of that fit.
+    """
     if isinstance(model, str):
-        prepared = prepare(df, target, exclude=exclude)
+        described = describe_target(df, target, problem)
+        df = bounded(known_target(df, target), row_key(df), max_rows)
+        prepared = prepare(df, target, exclude=exclude, described=described)
         table = _spread(prepared.assemble(df))
         try:
             model = TrainedModel(model, display_name(model, prepared.kind), prepared, _fit(model, prepared, table, table.count(), params))
@@ -560,7 +626,8 @@ def score(trained: TrainedModel, df: DataFrame, keep: Sequence[str] | None = Non
     """Add prediction, class probabilities and confidence; works on batch and streaming tables.
 
     All features must be there, unless ``fill_absent`` sets absent ones to 0. A missing value in a
-    feature that has no fitted fill counts as 0. Columns to ``keep`` have the values they came with,
+    feature that has no fitted fill counts as 0, and a text that training never saw has a code of its
+    own. Columns to ``keep`` have the values they came with,
     before any recorded transform.
     """
     p = trained.prepared
@@ -578,7 +645,7 @@ def score(trained: TrainedModel, df: DataFrame, keep: Sequence[str] | None = Non
     rows = p.encode(rows)
     inputs = rows.select(
         *[f"__k{i}" for i in range(len(kept))],
-        *[F.coalesce(F.nanvl(name(c).cast("double"), F.lit(None)), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(p.features)],
+        *[F.coalesce(F.nanvl(name(c).cast("double"), F.lit(None)), F.lit(p.blank(c))).alias(f"f{i}") for i, c in enumerate(p.features)],
     )
     out = trained.fitted.transform(assembler(len(p.features)).transform(inputs))
     result = [F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)]

@@ -11,9 +11,8 @@ from tidemill.functions.columns import numeric_columns, string_columns
 from tidemill.operators import profile
 from tidemill.plans.steps import Run, Step, run_steps
 
-# Words in a column name that suggest a target, and the step limits per phase.
+# Words in a column name that suggest a target.
 TARGET_HINTS = ("price", "target", "label", "churn", "survived", "outcome", "sales", "revenue", "y")
-PHASE_LIMITS = {"cleaning": 8, "visualization": 6, "feature_engineering": 5}
 MANY_CATEGORIES = 20
 STRONG_SKEW = 1.0
 
@@ -49,7 +48,7 @@ def cleaning_steps(df: DataFrame) -> list[Step]:
     for r in gaps:
         args = {"column": r["column"], "strategy": "median" if r["column"] in numbers else "mode"}
         out.append(Step("fill_missing_values", args, "cleaning", priority=1))
-    return out[: PHASE_LIMITS["cleaning"]]
+    return out
 
 
 def chart_steps(df: DataFrame) -> list[Step]:
@@ -63,7 +62,7 @@ def chart_steps(df: DataFrame) -> list[Step]:
         out.append(Step("create_bar_chart", {"column": strings[0]}, "visualization"))
     if numbers:
         out.append(Step("create_box_plot", {"column": numbers[0]}, "visualization"))
-    return out[: PHASE_LIMITS["visualization"]]
+    return out
 
 
 def feature_steps(df: DataFrame, target: str) -> list[Step]:
@@ -82,8 +81,7 @@ def feature_steps(df: DataFrame, target: str) -> list[Step]:
     skewed = [c for c in numbers if (stats[c]["skewness"] or 0) > STRONG_SKEW and (stats[c]["min"] or 0) >= 0]
     logs = [Step("log_transform", {"column": c}, "feature_engineering", priority=3) for c in skewed]
     # Logarithms come before scaling, which makes values negative.
-    room = PHASE_LIMITS["feature_engineering"] - len(out)
-    return [*logs[: max(0, room)], *out][: PHASE_LIMITS["feature_engineering"]]
+    return [*logs, *out]
 
 
 def suggest_steps(df: DataFrame, done: Sequence[str] = (), target: str | None = None) -> list[Step]:
@@ -97,16 +95,19 @@ def suggest_steps(df: DataFrame, done: Sequence[str] = (), target: str | None =
 
 def automatic_run(
     df: DataFrame, target: str | None = None, key: Sequence[str] | None = None, folds: int = 5,
-    models: Sequence[str] | None = None, params: Mapping[str, Mapping] | None = None,
+    models: Sequence[str] | None = None, params: Mapping[str, Mapping] | None = None, max_rows: int | None = None,
 ) -> Run:
-    """Profile, clean, chart, engineer, train and evaluate in that order, each plan from the table so far."""
+    """Profile, clean, chart, engineer, train and evaluate in that order, each plan from the table so far.
+
+    ``max_rows`` bounds the rows that models learn from.
+    """
     run = run_steps(df, eda_steps())
     run_steps(df, cleaning_steps(run.table), run=run)
     run_steps(df, chart_steps(run.table), run=run)
     goal = resolve_target(run.table, target)
     run_steps(df, feature_steps(run.table, goal), run=run)
     goal = resolve_target(run.table, goal)
-    shared = {"target_column": goal}
+    shared = {"target_column": goal, "max_rows": max_rows}
     forest = (params or {}).get("random_forest")
     modelling = [
         Step("auto_ml_pipeline", {**shared, "cv_folds": folds, "models": models, "params": params, "key": key}, "modeling"),

@@ -78,14 +78,14 @@ def _drop(df, column):
     return _fit(Fitted("drop", {"cols": [column]}), df)
 
 
-def _train(df, target_column, model_type="random_forest", test_size=0.2, key=None, **params):
-    m = modeling.train_model(df, target_column, model_type, float(test_size), _names(key), params)
+def _train(df, target_column, model_type="random_forest", test_size=0.2, key=None, max_rows=None, **params):
+    m = modeling.train_model(df, target_column, model_type, float(test_size), _names(key), params, max_rows=max_rows)
     return Outcome(report=modeling.metrics_table(df.sparkSession, [m]), model=m)
 
 
-def _auto(df, target_column, cv_folds=5, test_size=0.2, key=None, models=None, params=None, include_preprocessing=None):
+def _auto(df, target_column, cv_folds=5, test_size=0.2, key=None, models=None, params=None, include_preprocessing=None, max_rows=None):
     extra = {"models": models} if models else {}
-    found = modeling.auto_train(df, target_column, int(cv_folds), float(test_size), _names(key), params=params, **extra)
+    found = modeling.auto_train(df, target_column, int(cv_folds), float(test_size), _names(key), params=params, max_rows=max_rows, **extra)
     return Outcome(report=found.results, model=found.best)
 
 
@@ -93,7 +93,7 @@ def _report(fn: Callable[..., DataFrame]) -> Callable[..., Outcome]:
     return lambda df, **args: Outcome(report=fn(df, **args))
 
 
-# Every step that can be named in a stored list, under the argument names such lists use.
+# Every step that can be named in a stored list, under the names and arguments such lists use.
 TOOLS: dict[str, Callable[..., Outcome]] = {
     "detect_missing_values": _report(profile.missing_values),
     "fill_missing_values": _fill,
@@ -149,10 +149,12 @@ TOOLS: dict[str, Callable[..., Outcome]] = {
         )
     ),
     "feature_importance": _report(
-        lambda df, target_column, model="random_forest", params=None: modeling.feature_importance(df, target_column, model, params=params)
+        lambda df, target_column, model="random_forest", params=None, max_rows=None: modeling.feature_importance(
+            df, target_column, model, params=params, max_rows=max_rows
+        )
     ),
-    "model_evaluation": lambda df, target_column, model="random_forest", test_size=0.2, key=None, params=None: _train(
-        df, target_column, model, test_size, key, **(params or {})
+    "model_evaluation": lambda df, target_column, model="random_forest", test_size=0.2, key=None, params=None, max_rows=None: _train(
+        df, target_column, model, test_size, key, max_rows, **(params or {})
     ),
     "train_specific_model": _train,
     "auto_ml_pipeline": _auto,

@@ -144,6 +144,40 @@ def _(spark, folder):
     return logs.with_child_counts(users, "c_custkey", children)
 
 
+@query(
+    "users_page",
+    """with l as (select user_id, max(ts) t, count(*) n from events where event_type = 'signup' group by 1),
+    p as (select c_custkey, c_name, t, coalesce(n, 0) n from customer left join l on user_id = c_custkey
+      order by t desc nulls last, c_custkey desc limit 20 offset 20)
+    select c_custkey, c_name, strftime(t, '%Y-%m-%d %H:%M:%S.%f') as last_login, n as login_count,
+    (select count(*) from orders where o_custkey = c_custkey) as orders, (select count(*) from customer) as total,
+    (select ceil(count(*) / 20)::bigint from customer) as pages from p""",
+)
+def _(spark, folder):
+    users = table(spark, folder, "customer").select("c_custkey", "c_name")
+    logins = table(spark, folder, "events").filter("event_type = 'signup'")
+    found = logs.users_page(users, logins, {"orders": (table(spark, folder, "orders"), "o_custkey")}, 2, 20, "c_custkey")
+    return found.withColumn("last_login", text_time("last_login"))
+
+
+@query("user_activity_user", "select c_custkey as user_id, c_name, c_acctbal from customer where c_custkey = 7")
+def _(spark, folder):
+    users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_acctbal")
+    return logs.user_activity(7, users, table(spark, folder, "events"), {})["user"]
+
+
+@query(
+    "user_activity_by_time",
+    """select o_orderkey, o_totalprice, (select count(*) from lineitem where l_orderkey = o_orderkey) as children
+    from (select * from orders where o_custkey = 7 order by o_orderdate desc, o_orderkey desc limit 20)""",
+)
+def _(spark, folder):
+    o, li, log = (table(spark, folder, t) for t in ("orders", "lineitem", "events"))
+    users = log.select("user_id").distinct()
+    found = logs.user_activity(7, users, log, {"orders": (o, "o_custkey", "o_orderdate")}, {"orders": (li, "l_orderkey", "o_orderkey")})
+    return found["orders"].select("o_orderkey", "o_totalprice", "children")
+
+
 @query("user_activity_log", f"select {LOG_SQL} from (select * from events where user_id = 7 order by ts desc, event_id desc limit 50)")
 def _(spark, folder):
     ev = table(spark, folder, "events")
@@ -278,6 +312,26 @@ def _(spark, folder):
     return found.select(*LOG_COLS, text_time("ts"))
 
 
+@query(
+    "fuzzy_search_all",
+    r"""with w as (select *, unnest(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\p{L}\p{N}]+')) x from part)
+    select distinct p_partkey, p_name, p_brand from w where levenshtein(x, 'widgit') <= 2 or levenshtein(x, 'rng') <= 1""",
+)
+def _(spark, folder):
+    return logs.fuzzy_search(table(spark, folder, "part"), "widgit RNG", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name", "p_brand")
+
+
+@query(
+    "fuzzy_search_page",
+    f"""with w as (select * from events where levenshtein(event_type, 'purchse') <= 2)
+    select {LOG_SQL}, (select count(*) from w) as total, (select ceil(count(*) / 25)::bigint from w) as pages
+    from (select * from w order by ts desc, event_id desc limit 25 offset 25)""",
+)
+def _(spark, folder):
+    found = logs.page_of(logs.fuzzy_search(table(spark, folder, "events"), "purchse", ["event_type"]), 2, 25)
+    return found.select(*LOG_COLS, text_time("ts"), "total", "pages")
+
+
 LOGINS = "select user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_login, count(*) as login_count from events where event_type = 'signup' group by 1"
 
 

@@ -9,8 +9,8 @@ from tidemill.sources import model_table
 
 UNIT = "(('0x' || substr(md5({seed} || '|' || {key}), 1, 8))::bigint / 4294967296.0)"
 ORDER_UNIT = UNIT.format(seed="'42'", key="o_orderkey")
-SMALL_FOREST = {"n_estimators": 10, "max_depth": 5}
-SMALL_GBT = {"n_estimators": 5, "max_depth": 3}
+#: Tree models of the default size learn from about this many rows, chosen by key hash.
+FIT_ROWS = 20_000
 
 
 @query(
@@ -56,6 +56,17 @@ def _(spark, folder):
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.round(F.avg("o_totalprice"), 10), 4).alias("mean_price"))
 
 
+@query(
+    "fold_sizes_stratified",
+    f"""with u as (select o_orderstatus s, {ORDER_UNIT} u from orders), q as (select s, quantile_cont(u, [0.2, 0.4, 0.6, 0.8]) t from u group by s)
+    select s as o_orderstatus, ((u >= t[1])::int + (u >= t[2])::int + (u >= t[3])::int + (u >= t[4])::int)::int as fold, count(*) as n
+    from u join q using (s) group by 1, 2""",
+)
+def _(spark, folder):
+    rows = modeling.with_folds(table(spark, folder, "orders"), ["o_orderkey"], 5, stratify_by="o_orderstatus")
+    return rows.groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
+
+
 # Predictions by a fixed rule, so that the metrics can be checked on their own.
 GUESS = "(select l_returnflag as label, case when l_quantity > 34 then 'A' when l_quantity > 17 then 'N' else 'X' end as guess from lineitem)"
 
@@ -178,27 +189,131 @@ def _(spark, folder):
     return out.select("metric", F.round("value", 3).alias("value"))
 
 
+FOLDS = f"(select o_custkey::double x, o_totalprice y, least(floor({ORDER_UNIT} * 5), 4)::int f from orders)"
+
+
+@query(
+    "cross_validate_linear",
+    f"""with g as {FOLDS}, m as (select k.f, regr_slope(y, x) b, regr_intercept(y, x) a from (select distinct f from g) k join g on g.f <> k.f group by k.f),
+    s as (select f, 1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)) r from m join g using (f) group by f),
+    t as (select avg(r) m, stddev_pop(r) d, min(r) lo, max(r) hi from s)
+    select 'linear_regression' as model, 'r2' as scoring, f as fold, {rd('r', 4)} as score, {rd('m', 4)} as mean_score, {rd('d', 4)} as std_score,
+    {rd('lo', 4)} as min_score, {rd('hi', 4)} as max_score, {rd('m - 2 * d', 4)} as ci95_low, {rd('m + 2 * d', 4)} as ci95_high from s, t""",
+)
+def _(spark, folder):
+    df = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return modeling.cross_validate(df, "o_totalprice", "linear_regression", 5, ["o_orderkey"], exclude=["o_orderkey"])
+
+
+@query("feature_importance_linear", f"select 1 as place, 'l_quantity' as feature, {rd('abs(regr_slope(l_extendedprice, l_quantity))', 6)} as importance from lineitem")
+def _(spark, folder):
+    df = table(spark, folder, "lineitem").select("l_extendedprice", "l_quantity")
+    return modeling.feature_importance(df, "l_extendedprice", "linear_regression", problem="regression")
+
+
+LINE_UNIT = UNIT.format(seed="'42'", key="l_orderkey")
+
+
+def line_fit(x: str, model: str) -> str:
+    return f"""select '{model}' m, 1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)) r2, sqrt(avg((y - a - b * x) * (y - a - b * x))) rmse,
+      avg(abs(y - a - b * x)) mae from (select l_extendedprice y, {x}::double x from lineitem where {LINE_UNIT} < 0.2),
+      (select regr_slope(l_extendedprice, {x}) b, regr_intercept(l_extendedprice, {x}) a from lineitem where {LINE_UNIT} >= 0.2)"""
+
+
+@query(
+    "compare_linear_models",
+    f"""with s as ({line_fit('l_quantity', 'by_quantity')} union all {line_fit('l_discount', 'by_discount')}), k as (select m from s order by r2 desc limit 1)
+    select m as model_name, 'r2_score' as metric, {rd('r2', 2)} as value, m = (select m from k) as best from s
+    union all select m, 'rmse', {rd('rmse', 2)}, m = (select m from k) from s union all select m, 'mae', {rd('mae', 2)}, m = (select m from k) from s""",
+)
+def _(spark, folder):
+    df = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice")
+    found = [
+        modeling.train_model(
+            df, "l_extendedprice", "linear_regression", key=["l_orderkey"], exclude=["l_orderkey", left_out], model_name=label, problem="regression"
+        )
+        for label, left_out in (("by_quantity", "l_discount"), ("by_discount", "l_quantity"))
+    ]
+    _, test = modeling.train_test(df, "l_extendedprice", ["l_orderkey"])
+    out = modeling.compare_models(found, test).filter("metric <> 'mse'")
+    return out.select("model_name", "metric", F.round(F.round("value", 6), 2).alias("value"), "best")
+
+
+@query(
+    "score_after_logarithm",
+    f"""with t as (select regr_slope(o_totalprice, ln(1 + o_custkey)) b, regr_intercept(o_totalprice, ln(1 + o_custkey)) a from orders where {ORDER_UNIT} >= 0.2)
+    select o_orderkey, o_custkey, {rd('a + b * ln(1 + o_custkey)', 2)} as prediction from orders, t""",
+)
+def _(spark, folder):
+    raw = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    fitted = [features.fit_log_transform(raw, "o_custkey")]
+    fitted.append(features.fit_standard_scaler(fitted[0].apply(raw), ["o_custkey"]))
+    ready = features.apply_all(raw, fitted)
+    model = modeling.train_model(ready, "o_totalprice", "linear_regression", key=["o_orderkey"], exclude=["o_orderkey"])
+    model.history = fitted
+    out = modeling.score(model, raw.drop("o_totalprice"), ["o_orderkey", "o_custkey"])
+    return out.withColumn("prediction", F.round(F.round("prediction", 8), 2))
+
+
+@query(
+    "load_and_score",
+    f"""with t as (select regr_slope(o_totalprice, o_custkey) b, regr_intercept(o_totalprice, o_custkey) a from orders where {ORDER_UNIT} >= 0.2)
+    select o_orderkey, {rd('a + b * o_custkey', 2)} as prediction from orders, t""",
+)
+def _(spark, folder):
+    root = fresh_path(spark, "models")
+    df = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    model = modeling.train_model(df, "o_totalprice", "linear_regression", key=["o_orderkey"], exclude=["o_orderkey"])
+    again = model_table.load_model(spark, root, model_table.save_model(spark, root, model))
+    out = modeling.score(again, df.drop("o_totalprice"), ["o_orderkey"])
+    return out.select("o_orderkey", F.round(F.round("prediction", 8), 2).alias("prediction"))
+
+
+@query(
+    "class_probabilities",
+    f"""with g as (select l_quantity > 25 x, case when l_extendedprice > 30000 then 'high' else 'low' end y, {LINE_UNIT} u from lineitem),
+    q as (select y, quantile_cont(u, 0.2) t from g group by y),
+    p as (select x, avg((y = 'high')::int) h from g join q using (y) where u >= t group by x)
+    select x, {rd('h', 2)} as high, {rd('greatest(h, 1 - h)', 2)} as confidence, case when h > 0.5 then 'high' else 'low' end as prediction, count(*) as n
+    from g join p using (x) group by x, h""",
+)
+def _(spark, folder):
+    x, high = F.col("l_quantity") > 25, F.col("l_extendedprice") > 30000
+    df = table(spark, folder, "lineitem").select("l_orderkey", x.alias("x"), F.when(high, "high").otherwise("low").alias("y"))
+    model = modeling.train_model(df, "y", "logistic_regression", key=["l_orderkey"], exclude=["l_orderkey"], params={"C": 1e6})
+    out = modeling.score(model, df, ["x"])
+    shown = [F.round(F.col("probabilities")["high"], 2).alias("high"), F.round("confidence", 2).alias("confidence")]
+    return out.select("x", *shown, "prediction").groupBy("x", "high", "confidence", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("train_model_on_names")
+def _(spark, folder):
+    """Texts of any cardinality are features: here every customer has a name of its own."""
+    df = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    model = modeling.train_model(df, "c_mktsegment", "logistic_regression", key=["c_custkey"], exclude=["c_custkey"])
+    return modeling.score(model, df, ["c_custkey"])
+
+
 @query("train_model")
 def _(spark, folder):
-    model = modeling.train_model(lines(spark, folder), "l_returnflag", "random_forest", key=LINE_KEY, params=SMALL_FOREST, exclude=OUT)
+    model = modeling.train_model(lines(spark, folder), "l_returnflag", "random_forest", key=LINE_KEY, exclude=OUT, max_rows=FIT_ROWS)
     return modeling.metrics_table(spark, [model])
 
 
 @query("cross_validate")
 def _(spark, folder):
-    return modeling.cross_validate(lines(spark, folder), "l_linestatus", "logistic_regression", 3, LINE_KEY, exclude=OUT)
+    return modeling.cross_validate(lines(spark, folder), "l_linestatus", "logistic_regression", 5, LINE_KEY, exclude=OUT)
 
 
 @query("tune_model")
 def _(spark, folder):
-    return modeling.tune(lines(spark, folder), "l_linestatus", "logistic_regression", 2, LINE_KEY, {"C": [0.1, 1.0]}, exclude=OUT)
+    return modeling.tune(lines(spark, folder), "l_linestatus", "logistic_regression", 5, LINE_KEY, exclude=OUT)
 
 
 @query("auto_train")
 def _(spark, folder):
     found = modeling.auto_train(
-        lines(spark, folder), "l_linestatus", 2, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "logistic_regression"),
-        params={"random_forest": SMALL_FOREST, "gbt": SMALL_GBT},
+        lines(spark, folder), "l_linestatus", 5, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "logistic_regression"), max_rows=FIT_ROWS
     )
     return found.results
 
@@ -207,14 +322,14 @@ def _(spark, folder):
 def _(spark, folder):
     found = modeling.auto_train(
         lines(spark, folder), "l_linestatus", 0, key=LINE_KEY, exclude=OUT, models=("random_forest", "logistic_regression", "svm"),
-        params={"random_forest": SMALL_FOREST, "svm": {"max_iter": 10}},
+        max_rows=FIT_ROWS,
     )
     return modeling.compare_models(found.models, found.test)
 
 
 @query("feature_importance")
 def _(spark, folder):
-    return modeling.feature_importance(lines(spark, folder), "l_returnflag", "random_forest", params=SMALL_FOREST, exclude=OUT)
+    return modeling.feature_importance(lines(spark, folder), "l_returnflag", "random_forest", exclude=OUT, max_rows=FIT_ROWS)
 
 
 @query("embedding_classifier")
@@ -222,7 +337,7 @@ def _(spark, folder):
     vectors = table(spark, folder, "embeddings")
     width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     df = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
-    model = modeling.train_model(df, "label", "random_forest", key=["vec_id"], params=SMALL_FOREST, exclude=["vec_id"])
+    model = modeling.train_model(df, "label", "random_forest", key=["vec_id"], exclude=["vec_id"], max_rows=FIT_ROWS)
     return modeling.score(model, df, ["vec_id", "label"])
 
 
@@ -274,14 +389,30 @@ def _(spark, folder):
     return out.select("o_orderkey", F.round(F.round("o_totalprice", 12), 6).alias("o_totalprice"), "o_orderpriority")
 
 
-@query("step_run_log")
+# The log of the steps above: a step on a column that the table lacks fails, and times only have to be there.
+STEP_LOG = """(select place, phase, tool, tool as label, ok as success, true as timed, not ok as failed
+    from (select place, phase, tool, c in (select column_name from (describe orders)) ok from (values (0, 'cleaning', 'fill_missing_values', 'o_totalprice'),
+    (1, 'cleaning', 'fill_missing_values', 'no_such_column'), (2, 'cleaning', 'remove_outliers', 'o_totalprice'), (3, 'eda', 'detect_missing_values', 'o_orderkey'),
+    (4, 'preprocessing', 'standard_scaler', 'o_totalprice'), (5, 'preprocessing', 'label_encode', 'o_orderpriority')) v(place, phase, tool, c)))"""
+
+
+@query("step_run_log", f"select * from {STEP_LOG}")
 def _(spark, folder):
-    return steps.run_steps(orders_gaps(spark, folder), STEPS).log_table()
+    log = steps.run_steps(orders_gaps(spark, folder), STEPS).log_table()
+    return log.select("place", "phase", "tool", "label", "success", (F.col("milliseconds") >= 0).alias("timed"), F.col("error").isNotNull().alias("failed"))
 
 
-@query("run_summary")
+@query(
+    "run_summary",
+    f"select phase, count(*) as steps, count(case when success then 1 end) as successes, count(case when failed then 1 end) as errors from {STEP_LOG} group by 1",
+)
 def _(spark, folder):
-    return steps.run_summary(steps.run_steps(orders_gaps(spark, folder), STEPS).log_table())
+    return steps.run_summary(steps.run_steps(orders_gaps(spark, folder), STEPS).log_table()).drop("milliseconds")
+
+
+@query("step_call_counts", f"select tool, count(*) as calls, count(case when failed then 1 end) as errors from {STEP_LOG} group by 1")
+def _(spark, folder):
+    return steps.call_counts(steps.run_steps(orders_gaps(spark, folder), STEPS).log_table())
 
 
 @query("suggest_steps")
@@ -292,8 +423,5 @@ def _(spark, folder):
 
 @query("automatic_run")
 def _(spark, folder):
-    df = orders_gaps(spark, folder).select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    run = automatic.automatic_run(
-        df, "o_orderstatus", folds=2, models=["logistic_regression", "random_forest"], params={"random_forest": SMALL_FOREST}
-    )
+    run = automatic.automatic_run(orders_gaps(spark, folder), "o_orderstatus", models=["logistic_regression", "random_forest"], max_rows=FIT_ROWS)
     return run.log_table()

@@ -75,7 +75,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return profile.numeric_summary(lines_gaps(spark, folder), first=5)
+    return profile.numeric_summary(lines_gaps(spark, folder))
 
 
 @query(
@@ -102,7 +102,7 @@ def overview_sql() -> str:
         top = f"(select struct_pack(v := {c}::varchar, n := count(*)) from g where {c} is not null group by {c} order by count(*) desc, {c} limit 1)"
         parts.append(
             f"select {i}::int as position, '{c}' as \"column\", '{kind}' as class, count(*) as total_rows, 6::int as total_columns,"
-            f" (count(*) - count({c}))::int as null_count, ({missing})::bigint as total_missing, ({touched})::int as columns_with_missing,"
+            f" (count(*) - count({c}))::bigint as null_count, ({missing})::bigint as total_missing, ({touched})::int as columns_with_missing,"
             f" {rd(f'avg({x})', 2) if num else 'null::double'} as mean, {rd(f'stddev_samp({x})', 2) if num else 'null::double'} as std,"
             f" {rd(f'quantile_cont({x}, 0.5)', 2) if num else 'null::double'} as median,"
             f" {f'min({x})' if num else 'null::double'} as min, {f'max({x})' if num else 'null::double'} as max,"
@@ -116,8 +116,7 @@ def overview_sql() -> str:
 
 @query("dataset_overview", overview_sql())
 def _(spark, folder):
-    out = profile.dataset_overview(orders_gaps(spark, folder))
-    return out.withColumn("null_count", F.col("null_count").cast("int"))
+    return profile.dataset_overview(orders_gaps(spark, folder))
 
 
 @query(

@@ -22,9 +22,11 @@ def landed(spark, df, name):
     return spark.read.parquet(path)
 
 
-def in_memory(spark, df, name):
-    jobs.start_memory(df, name, "complete").awaitTermination()
-    return spark.table(name)
+def landed_by_key(spark, df, keys, name):
+    """Keep the newest row of each key of a streaming aggregate and read that table."""
+    path = fresh_path(spark, name)
+    jobs.start_keyed(df, path, path + "-state", interval=None).awaitTermination()
+    return jobs.latest(spark, path, df.schema, keys)
 
 
 @query(
@@ -41,13 +43,13 @@ def _(spark, folder):
 @query("stream_hourly", f"{HOURLY} group by 1")
 def _(spark, folder):
     counts = jobs.hourly_stream(stream(spark, folder, "events"), F.col("event_type") == "error")
-    return in_memory(spark, counts, "stream_hourly_counts")
+    return landed_by_key(spark, counts, ["hour"], "hourly")
 
 
 @query("stream_logins", LOGINS)
 def _(spark, folder):
     logins = stream(spark, folder, "events").filter("event_type = 'signup'")
-    out = in_memory(spark, jobs.login_stream(logins), "stream_login_counts")
+    out = landed_by_key(spark, jobs.login_stream(logins), ["user_id"], "logins")
     return out.select("user_id", text_time("last_login"), "login_count")
 
 

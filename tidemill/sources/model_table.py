@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -24,18 +25,38 @@ def _append(spark: SparkSession, root: str, row: tuple) -> None:
     spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/models")
 
 
+def _with_own_tables(spark: SparkSession, folder: str, steps: Sequence[Fitted]) -> list[Fitted]:
+    """The transforms with their label tables copied to ``folder``, away from scratch space."""
+
+    def owned(p: dict, place: str) -> dict:
+        if "table" not in p:
+            return p
+        spark.read.parquet(p["table"]).write.parquet(f"{folder}/{place}")
+        return {**p, "table": f"{folder}/{place}"}
+
+    out = []
+    for i, step in enumerate(steps):
+        params = owned(step.params, str(i))
+        if params.get("vectors"):
+            params = {**params, "vectors": [owned(v, f"{i}-{j}") for j, v in enumerate(params["vectors"])]}
+        out.append(Fitted(step.kind, params))
+    return out
+
+
 def save_model(spark: SparkSession, root: str, trained: TrainedModel, created_at: datetime | None = None) -> str:
     """Write a trained model with its preparation and return its id."""
     model_id = uuid.uuid4().hex[:12]
     trained.stages().write().overwrite().save(f"{root}/stages/{model_id}")
     p = trained.prepared
+    steps = _with_own_tables(spark, f"{root}/labels/{model_id}/steps", p.steps)
+    history = _with_own_tables(spark, f"{root}/labels/{model_id}/history", trained.history)
     main = trained.metrics.get("accuracy" if p.kind == "classification" else "r2_score")
     _append(
         spark, root,
         (
             model_id, trained.name, trained.model, p.kind, p.target, p.features, p.labels, main,
-            json.dumps(trained.metrics), json.dumps(trained.params), [s.to_json() for s in p.steps],
-            [s.to_json() for s in trained.history], created_at or datetime.now(timezone.utc), False,
+            json.dumps(trained.metrics), json.dumps(trained.params), [s.to_json() for s in steps],
+            [s.to_json() for s in history], created_at or datetime.now(timezone.utc), False,
         ),
     )
     return model_id

@@ -45,14 +45,14 @@ def start_ingest(
 
 
 def hourly_stream(df: DataFrame, error: Column, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """Rows and errors per hour; rows later than ``delay`` behind the newest are left out."""
+    """Rows and errors per hour, for update mode; rows later than ``delay`` behind the newest are left out."""
     windows = with_event_time(df, ts).withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"))
     counts = windows.agg(F.count("*").alias("total"), F.count_if(error).alias("errors"))
     return counts.select(F.date_format("window.start", "yyyy-MM-dd'T'HH").alias("hour"), "total", "errors")
 
 
 def login_stream(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Last login and number of logins per user, for update or complete mode."""
+    """Last login and number of logins per user, for update mode."""
     return df.groupBy(name(user)).agg(F.max(ts).alias("last_login"), F.count("*").alias("login_count"))
 
 
@@ -65,9 +65,24 @@ def transform_stream(df: DataFrame, steps: Sequence[Fitted]) -> DataFrame:
     return apply_all(df, steps)
 
 
-def start_memory(df: DataFrame, table: str, mode: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Everything that is there into an in-memory table, for tests and small looks."""
-    writer = df.writeStream.format("memory").queryName(table).outputMode(mode)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def start_keyed(df: DataFrame, path: str, checkpoint: str, interval: str | None = "5 seconds") -> StreamingQuery:
+    """Write the changed rows of an aggregate, batch by batch; ``latest`` reads them as one table.
+
+    A batch that is tried again replaces its own folder, so each change counts once. Nothing is kept
+    on the driver. ``interval=None`` takes everything that is there and stops.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(put).trigger(**trigger).start()
+
+
+def latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every key that ``start_keyed`` has written."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    newest = F.max_by(F.struct(*[name(c) for c in rest]), "batch").alias("r")
+    return rows.groupBy(*[name(k) for k in keys]).agg(newest).select(*[name(k) for k in keys], "r.*")
