@@ -11,6 +11,8 @@ UNIT = "(('0x' || substr(md5({seed} || '|' || {key}), 1, 8))::bigint / 429496729
 ORDER_UNIT = UNIT.format(seed="'42'", key="o_orderkey")
 #: Tree models of the default size learn from about this many rows, chosen by key hash.
 FIT_ROWS = 20_000
+#: Boosting rounds run one after the other, so comparisons of several models keep them few.
+FEW_ROUNDS = {"n_estimators": 5, "max_depth": 3}
 
 
 @query(
@@ -313,7 +315,8 @@ def _(spark, folder):
 @query("auto_train")
 def _(spark, folder):
     found = modeling.auto_train(
-        lines(spark, folder), "l_linestatus", 5, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "logistic_regression"), max_rows=FIT_ROWS
+        lines(spark, folder), "l_linestatus", 5, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "logistic_regression"),
+        params={"gbt": FEW_ROUNDS}, max_rows=FIT_ROWS,
     )
     return found.results
 
