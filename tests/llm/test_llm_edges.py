@@ -276,6 +276,18 @@ def test_line_templates_generalise_variable_fields(spark):
     assert [r.doc_id for r in first] == [0]
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    short, long, wide = prose(1, 12), prose(2, 60), prose(3, 40)
+    rows = [(1, f"{short}\n{long}\n{prose(11, 9)}"), (2, f"{prose(12, 9)}\n{long}"), (3, f"{short}\n{prose(13, 30)}")]
+    # Three documents share a template of which two share a word more: all three stay one template.
+    rows += [(10 + i, f"{wide} by {name}\n{prose(20 + i, 9)}") for i, name in enumerate(["ann", "bob", "bob"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(docs).collect()} == {1: 1, 2: 1, 3: 0, 10: 1, 11: 1, 12: 1}
+    kept = {r.doc_id: r.text for r in line_templates.clean_documents(docs).collect()}
+    assert long in kept[1] and long not in kept[2] and short in kept[1] and short in kept[3]
+    assert wide in kept[10] and wide not in kept[11] and wide not in kept[12]
+
+
 def test_licenses_are_aligned(spark):
     body = dict((n, t) for n, t in reversed(licenses.TEMPLATES))["MIT"]
     edited = body.split()

@@ -3,7 +3,8 @@
 A line goes to a leaf of the tree by its number of tokens and its leading tokens, with tokens that hold
 a digit generalised. Inside a leaf, a token that stands at its position in too few documents is a
 variable field and becomes a wildcard; the line's template is what remains. Templates of enough
-documents, with enough constant tokens, are dropped from all of them.
+documents, with enough constant tokens, are dropped from all of them. For a long line two documents
+are enough: it has a second template, with the tokens of two documents, and goes if either recurs.
 
 Equal generalised lines (variants) are collapsed before tokens are counted, and only lines of leaves
 with enough documents are looked at again, so a line that half of the documents share is one row.
@@ -19,6 +20,8 @@ from tidemill.llm.tables import checkpointed, keep_keys
 #: Leading tokens that lead to a leaf, least tokens of a line, least documents of a template, and least
 #: share of constant tokens in it.
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 3, 0.7
+#: Tokens from which a line is long, and least documents of its template.
+LONG_TOKENS, LONG_DOCS = 20, 2
 WILD = "<*>"
 SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -35,10 +38,20 @@ def generalised(line: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
 
 
-def _keyed(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+def _keyed(rows: DataFrame, depth: int, min_tokens: int, min_docs: int) -> DataFrame:
+    """``need`` is the least number of documents for a line of this length; it is one per leaf."""
     rows = rows.withColumn("tokens", generalised(F.col("line"))).where(F.size("tokens") >= min_tokens)
     leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, depth), " "))
-    return rows.withColumn("leaf", leaf).withColumn("variant", F.xxhash64(F.array_join("tokens", " ")))
+    need = F.when(F.size("tokens") >= LONG_TOKENS, min(min_docs, LONG_DOCS)).otherwise(min_docs)
+    return rows.withColumn("leaf", leaf).withColumn("variant", F.xxhash64(F.array_join("tokens", " "))).withColumn("need", need)
+
+
+def _template(least: Column, min_constant: float) -> Column:
+    """(``template``, ``need``) of a variant whose tokens of ``least`` documents are fixed; null if too few are."""
+    fixed = lambda x: x["c"] >= least
+    words = F.array_join(F.transform("ts", lambda x: F.when(fixed(x), x["token"]).otherwise(WILD)), " ")
+    enough = F.size(F.filter("ts", fixed)) / F.size("ts") >= min_constant
+    return F.when(enough, F.struct(F.xxhash64(words, least).alias("template"), least.alias("need")))
 
 
 def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, keep_first: bool = False) -> DataFrame:
@@ -46,22 +59,23 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     With ``keep_first`` the document with the smallest id (and, for one id, text hash) keeps its lines of a template.
     """
-    known = checkpointed(_keyed(lines(docs, doc_id, text), depth, min_tokens).select("doc_id", "h", "pos", "leaf", "variant"))
-    leaves = known.select("leaf", "doc_id", "h").distinct().groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
+    known = checkpointed(_keyed(lines(docs, doc_id, text), depth, min_tokens, min_docs).select("doc_id", "h", "pos", "leaf", "variant", "need"))
+    leaves = known.select("leaf", "need", "doc_id", "h").distinct().groupBy("leaf", "need").agg(F.count("*").alias("c")).where("c >= need")
     shared = checkpointed(keep_keys(known, checkpointed(leaves.select("leaf")), "leaf"))
-    variants = checkpointed(shared.select("leaf", "variant", "doc_id", "h").distinct().groupBy("leaf", "variant").agg(F.count("*").alias("d")))
+    variants = checkpointed(shared.select("leaf", "variant", "need", "doc_id", "h").distinct().groupBy("leaf", "variant", "need").agg(F.count("*").alias("d")))
 
-    again = keep_keys(_keyed(lines(docs, doc_id, text), depth, min_tokens), variants.select("variant"), "variant")
+    again = keep_keys(_keyed(lines(docs, doc_id, text), depth, min_tokens, min_docs), variants.select("variant"), "variant")
     wording = again.groupBy("variant").agg(F.first(F.array_join("tokens", " ")).alias("line"))
-    tokens = variants.join(wording, "variant").select("leaf", "variant", "d", F.posexplode(F.split("line", " ")).alias("p", "token"))
+    tokens = variants.join(wording, "variant").select("leaf", "variant", "need", "d", F.posexplode(F.split("line", " ")).alias("p", "token"))
     tokens = checkpointed(tokens)
-    counts = tokens.groupBy("leaf", "p", "token").agg(F.sum("d").alias("c")).where(F.col("c") >= min_docs).where(F.col("token") != WILD)
-    fixed = tokens.join(counts, ["leaf", "p", "token"], "left").select("leaf", "variant", "p", F.col("c").isNotNull().alias("fixed"), F.when(F.col("c").isNotNull(), F.col("token")).otherwise(WILD).alias("token"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("p", "token"))), lambda x: x["token"])
-    shaped = fixed.groupBy("leaf", "variant").agg(F.xxhash64(F.array_join(words, " ")).alias("template"), F.avg(F.col("fixed").cast("int")).alias("constant"))
-    templates = shaped.where(F.col("constant") >= min_constant).select("variant", "template")
-    held = checkpointed(shared.select("doc_id", "h", "pos", "variant").join(templates.hint("shuffle_hash"), "variant").select("template", "doc_id", "h", "pos"))
-    per_doc = held.select("template", "doc_id", "h").distinct().groupBy("template").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h")).alias("first")).where(F.col("c") >= min_docs)
+    counts = tokens.groupBy("leaf", "need", "p", "token").agg(F.sum("d").alias("c")).where("c >= need").where(F.col("token") != WILD).drop("need")
+    found = tokens.join(counts, ["leaf", "p", "token"], "left").select("leaf", "variant", "need", F.struct("p", "token", F.coalesce("c", F.lit(0)).alias("c")).alias("t"))
+    shaped = found.groupBy("leaf", "variant", "need").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    # The tokens that a long line's two documents share hold those of ``min_docs`` documents, so its second classes divide its first.
+    both = F.array_compact(F.array_distinct(F.array(_template(F.lit(min_docs), min_constant), _template(F.col("need"), min_constant))))
+    templates = shaped.select("variant", F.inline(both))
+    held = checkpointed(shared.select("doc_id", "h", "pos", "variant").join(templates.hint("shuffle_hash"), "variant").select("template", "need", "doc_id", "h", "pos"))
+    per_doc = held.select("template", "need", "doc_id", "h").distinct().groupBy("template", "need").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h")).alias("first")).where("c >= need").drop("need")
     hit = held.join(per_doc.hint("shuffle_hash"), "template")
     if keep_first:
         hit = hit.where(~(F.struct("doc_id", "h").eqNullSafe(F.col("first"))))
