@@ -288,6 +288,51 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert wide in kept[10] and wide not in kept[11] and wide not in kept[12]
 
 
+def test_short_and_numeric_lines_recur(spark):
+    phone, notice = "555 010 2030 4050 60", "All rights reserved."
+    rows = [(i, f"{notice}\n\n{phone}\n{i}1 {i}2 {i}3 {i}4 {i}5\nLes.\n{prose(i, 9)}") for i in (1, 2, 3)] + [(4, f"{phone} 7\nonly here\n\n{prose(4, 9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_recurring(docs).collect()}
+    # Other numbers in the same places are another line, and lines without words stay.
+    assert out == {i: (3, f"\n{i}1 {i}2 {i}3 {i}4 {i}5\n{prose(i, 9)}") for i in (1, 2, 3)} | {4: (0, rows[3][1])}
+    kept = {r.doc_id: r.text for r in line_templates.clean_documents(docs).collect()}
+    assert kept[1] == rows[0][1] and kept[2] == out[2][1]
+
+
+def test_line_templates_equal_plain_python(spark):
+    rng = random.Random(9)
+    pool = ["Les.", "12 34", "page 1 of 9", "see also the notes", *[prose(70 + i, rng.choice([2, 4, 6, 22, 30])) for i in range(12)]]
+    def changed(line):  # noqa: E306
+        words = line.split(" ")
+        words[rng.randrange(len(words))] = rng.choice(["ann", "bob", "7"])
+        return " ".join(words)
+    rows = [(i, "\n".join([changed(x) if rng.random() < 0.4 else x for x in rng.sample(pool, 4)] + ["", prose(200 + i, 8)])) for i in range(14)]
+    entries = [(i, p, line.split()) for i, text in rows for p, line in enumerate(text.split("\n")) if line.split()]
+    general = lambda ws: tuple("<*>" if re.search("[0-9]", w) else w for w in ws)
+    at, keys = {}, {}
+    for i, _, ws in entries:
+        for p, w in enumerate(general(ws)):
+            at.setdefault((len(ws), general(ws)[:3], general(ws), p, w), set()).add(i)
+    def count(ws, p, w):  # noqa: E306
+        return sum(len(d) for (n, lead, _, q, x), d in at.items() if (n, lead, q, x) == (len(ws), general(ws)[:3], p, w))
+    def classes(ws):  # noqa: E306
+        need = 2 if len(ws) >= 20 else 3
+        for least in {3, need}:
+            shape = tuple(w if w != "<*>" and count(ws, p, w) >= least else "<*>" for p, w in enumerate(general(ws)))
+            if 1 - shape.count("<*>") / len(ws) >= 0.7:
+                yield least, (least, shape)
+        yield need, ("exact", tuple(ws))
+    for i, _, ws in entries:
+        for _, key in classes(ws):
+            keys.setdefault(key, set()).add(i)
+    want = {}
+    for i, p, ws in entries:
+        if any(len(keys[key]) >= least for least, key in classes(ws)):
+            want.setdefault(i, []).append(p)
+    got = {r.doc_id: r["drop"] for r in line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_licenses_are_aligned(spark):
     body = dict((n, t) for n, t in reversed(licenses.TEMPLATES))["MIT"]
     edited = body.split()

@@ -5,6 +5,7 @@ a digit generalised. Inside a leaf, a token that stands at its position in too f
 variable field and becomes a wildcard; the line's template is what remains. Templates of enough
 documents, with enough constant tokens, are dropped from all of them. For a long line two documents
 are enough: it has a second template, with the tokens of two documents, and goes if either recurs.
+A line with digits also goes if it recurs word for word, however few of its tokens are constant.
 
 Equal generalised lines (variants) are collapsed before tokens are counted, and only lines of leaves
 with enough documents are looked at again, so a line that half of the documents share is one row.
@@ -19,7 +20,7 @@ from tidemill.llm.tables import checkpointed, keep_keys
 
 #: Leading tokens that lead to a leaf, least tokens of a line, least documents of a template, and least
 #: share of constant tokens in it.
-DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 3, 0.7
+DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 1, 3, 0.7
 #: Tokens from which a line is long, and least documents of its template.
 LONG_TOKENS, LONG_DOCS = 20, 2
 WILD = "<*>"
@@ -32,18 +33,25 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def tokens_of(line: Column) -> Column:
+    return F.filter(F.split(line, SPACE), lambda t: t != "")
+
+
 def generalised(line: Column) -> Column:
     """The tokens of a line, those with a digit as wildcards."""
-    tokens = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+    return F.transform(tokens_of(line), lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
 
 
 def _keyed(rows: DataFrame, depth: int, min_tokens: int, min_docs: int) -> DataFrame:
-    """``need`` is the least number of documents for a line of this length; it is one per leaf."""
+    """``need`` is the least number of documents for a line of this length; it is one per leaf.
+
+    ``exact`` stands for the words of a line with digits; without digits its variant has all of them.
+    """
     rows = rows.withColumn("tokens", generalised(F.col("line"))).where(F.size("tokens") >= min_tokens)
     leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, depth), " "))
+    exact = F.when(F.col("line").rlike("[0-9]"), F.xxhash64(F.array_join(tokens_of(F.col("line")), " "), F.lit("exact")))
     need = F.when(F.size("tokens") >= LONG_TOKENS, min(min_docs, LONG_DOCS)).otherwise(min_docs)
-    return rows.withColumn("leaf", leaf).withColumn("variant", F.xxhash64(F.array_join("tokens", " "))).withColumn("need", need)
+    return rows.withColumn("leaf", leaf).withColumn("variant", F.xxhash64(F.array_join("tokens", " "))).withColumn("need", need).withColumn("exact", exact)
 
 
 def _template(least: Column, min_constant: float) -> Column:
@@ -59,7 +67,7 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     With ``keep_first`` the document with the smallest id (and, for one id, text hash) keeps its lines of a template.
     """
-    known = checkpointed(_keyed(lines(docs, doc_id, text), depth, min_tokens, min_docs).select("doc_id", "h", "pos", "leaf", "variant", "need"))
+    known = checkpointed(_keyed(lines(docs, doc_id, text), depth, min_tokens, min_docs).select("doc_id", "h", "pos", "leaf", "variant", "need", "exact"))
     leaves = known.select("leaf", "need", "doc_id", "h").distinct().groupBy("leaf", "need").agg(F.count("*").alias("c")).where("c >= need")
     shared = checkpointed(keep_keys(known, checkpointed(leaves.select("leaf")), "leaf"))
     variants = checkpointed(shared.select("leaf", "variant", "need", "doc_id", "h").distinct().groupBy("leaf", "variant", "need").agg(F.count("*").alias("d")))
@@ -74,7 +82,8 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # The tokens that a long line's two documents share hold those of ``min_docs`` documents, so its second classes divide its first.
     both = F.array_compact(F.array_distinct(F.array(_template(F.lit(min_docs), min_constant), _template(F.col("need"), min_constant))))
     templates = shaped.select("variant", F.inline(both))
-    held = checkpointed(shared.select("doc_id", "h", "pos", "variant").join(templates.hint("shuffle_hash"), "variant").select("template", "need", "doc_id", "h", "pos"))
+    shapes = shared.select("doc_id", "h", "pos", "variant").join(templates.hint("shuffle_hash"), "variant").select("template", "need", "doc_id", "h", "pos")
+    held = checkpointed(shapes.union(shared.where("exact is not null").select("exact", "need", "doc_id", "h", "pos")))
     per_doc = held.select("template", "need", "doc_id", "h").distinct().groupBy("template", "need").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h")).alias("first")).where("c >= need").drop("need")
     hit = held.join(per_doc.hint("shuffle_hash"), "template")
     if keep_first:
@@ -87,7 +96,8 @@ def drop_recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     (existing ones of these names are replaced).
 
     Lines are divided by ``\\n``; the others keep their order and bytes. Null texts stay null, with 0
-    lines, and an empty text is one line. Lines with fewer than ``min_tokens`` tokens always stay.
+    lines, and an empty text is one line. Lines with fewer than ``min_tokens`` tokens, and lines without
+    any, always stay.
     """
     dropped = checkpointed(recurring_lines(docs, doc_id=doc_id, text=text, **options)).toDF("__id", "__h", "__drop")
     whole = F.col(text).cast("string")
