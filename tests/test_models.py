@@ -233,3 +233,18 @@ def test_late_rows_of_a_stream(spark, tmp_path):
     assert batch(1, 5, 5) == {"01": 1, "05": 2}
     # The watermark now stands at 04:30, so the row of hour 1 comes too late.
     assert batch(1, 5, 6) == {"01": 1, "05": 3, "06": 1}
+
+
+def test_bounded_fits_are_scored_on_whole_folds(staff, monkeypatch):
+    fitted, scored, learned = [], [], []
+    fit, score_of, prepare = m._fit, m._score_of, m.prepare
+    monkeypatch.setattr(m, "_fit", lambda model, p, table, *rest: (fitted.append(table.count()), fit(model, p, table, *rest))[1])
+    monkeypatch.setattr(m, "_score_of", lambda kind, rows: (scored.append(rows.count()), score_of(kind, rows))[1])
+    monkeypatch.setattr(m, "prepare", lambda df, *rest, **more: (learned.append(df.count()), prepare(df, *rest, **more))[1])
+    found = m.auto_train(staff, "will_quit", 3, key=["id"], models=("logistic_regression",), exclude=["id"], max_rows=100)
+    train = m.train_test(staff, "will_quit", ["id"], 0.2, 42, True)[0].count()
+    assert found.best is not None and sum(scored) == train and learned == [train]
+    assert len(fitted) == 4 and all(60 <= n <= 140 for n in fitted)
+    m.train_model(staff, "will_quit", "logistic_regression", key=["id"], exclude=["id"], max_rows=100)
+    m.feature_importance(staff, "will_quit", "logistic_regression", exclude=["id"], max_rows=100)
+    assert learned[1:] == [train, 400] and all(60 <= n <= 140 for n in fitted[4:])

@@ -156,7 +156,11 @@ def bounded(df: DataFrame, key: Sequence[str], max_rows: int | None, seed: int =
     if max_rows is None:
         return df
     n = df.count()
-    return df if n <= max_rows else df.filter(hash_unit(key, seed + 101) < F.lit(max_rows / n))
+    return df if n <= max_rows else df.filter(bound_unit(key, seed) < F.lit(max_rows / n))
+
+
+def bound_unit(key: Sequence[str], seed: int = 42) -> Column:
+    return hash_unit(key, seed + 101)
 
 
 # Preparation
@@ -347,6 +351,14 @@ def _spread(df: DataFrame) -> DataFrame:
     return (df if pieces >= cores else df.repartition(cores)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _within(table: DataFrame, max_rows: int | None, unit: str) -> DataFrame:
+    """``bounded`` for a table that carries its ``bound_unit``."""
+    if max_rows is None:
+        return table
+    n = table.count()
+    return table if n <= max_rows else table.filter(F.col(unit) < F.lit(max_rows / n))
+
+
 def _fit(model: str, prepared: Prepared, table: DataFrame, rows: int, params: Mapping | None):
     classes = len(prepared.labels or [])
     return build_estimator(model, prepared.kind, classes, rows, params).fit(table)
@@ -394,18 +406,19 @@ def train_model(
     """Split, prepare, fit one model and measure it on the held-out rows.
 
     ``fit_on`` says whether encoders and fills learn from the training rows or from all rows;
-    ``problem`` states the problem type; ``max_rows`` bounds the training rows, never the test rows.
+    ``problem`` states the problem type; ``max_rows`` bounds the rows that the model is fitted on, never
+    the test rows or the rows that encoders and fills learn from.
     """
     kind, labels = describe_target(df, target, problem)
     if model == "logistic" and kind != "classification":
         raise ValueError("logistic regression needs a classification target")
     train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
-    train = bounded(train, key or row_key(df), max_rows, seed)
     # The training rows are read several times below; kept, their key hash is computed once.
-    train = _spread(train.select(*[name(c) for c in [*usable_features(df, target, exclude), target]]))
+    train = train.select(*[name(c) for c in [*usable_features(df, target, exclude), target]], bound_unit(key or row_key(df), seed).alias("__unit"))
+    train = _spread(train)
     try:
-        prepared = prepare(df if fit_on == "all" else train, target, strategy, exclude, described=(kind, labels))
-        table = prepared.assemble(train).persist(StorageLevel.MEMORY_AND_DISK)
+        prepared = prepare(df if fit_on == "all" else train.drop("__unit"), target, strategy, exclude, described=(kind, labels))
+        table = prepared.assemble(_within(train, max_rows, "__unit")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fitted = _fit(model, prepared, table, table.count(), params)
         finally:
@@ -454,30 +467,32 @@ def compare_models(models: Sequence[TrainedModel], test: DataFrame) -> DataFrame
 
 def _fold_table(
     df: DataFrame, target: str, key: Sequence[str] | None, folds: int, seed: int, exclude: Sequence[str], described,
-    max_rows: int | None = None,
 ):
-    """(preparation, persisted features-label-fold table, rows) that all fits of a search share.
+    """(preparation, persisted features-label-fold-unit table, rows) that all fits of a search share.
 
-    Folds of a classification are stratified. Fills and encoders learn from all folds.
+    Folds of a classification are stratified. Fills and encoders learn from all folds; each fit bounds
+    its rows by ``unit``.
     """
     kind, labels = described
     key = key or row_key(df)
-    rows = bounded(known_target(df, target), key, max_rows, seed)
-    rows = with_folds(rows, key, max(folds, 2), seed, "__fold", target if kind == "classification" else None, labels)
+    rows = with_folds(known_target(df, target), key, max(folds, 2), seed, "__fold", target if kind == "classification" else None, labels)
     used = [*usable_features(df, target, exclude), target]
-    rows = _spread(rows.select(*[name(c) for c in used], "__fold"))
+    rows = _spread(rows.select(*[name(c) for c in used], "__fold", bound_unit(key, seed).alias("__unit")))
     try:
-        prepared = prepare(rows.drop("__fold"), target, exclude=exclude, described=described)
-        table = prepared.assemble(rows, extra={"fold": F.col("__fold")}).persist(StorageLevel.MEMORY_AND_DISK)
+        prepared = prepare(rows.drop("__fold", "__unit"), target, exclude=exclude, described=described)
+        table = prepared.assemble(rows, extra={"fold": F.col("__fold"), "unit": F.col("__unit")}).persist(StorageLevel.MEMORY_AND_DISK)
         return prepared, table, table.count()
     finally:
         rows.unpersist()
 
 
-def _fold_scores(prepared: Prepared, table: DataFrame, model: str, params: Mapping, folds: int, rows: int) -> list[float]:
+def _fold_scores(prepared: Prepared, table: DataFrame, model: str, params: Mapping, folds: int, rows: int, max_rows: int | None = None) -> list[float]:
+    """Each fold's score over all its rows; the other folds' rows are bounded by ``max_rows``."""
+
     def one(i: int) -> float:
         train, test = table.filter(F.col("fold") != i), table.filter(F.col("fold") == i)
-        fitted = _fit(model, prepared, train.select("features", "label"), rows - rows // folds, params)
+        train = _within(train, max_rows, "unit").select("features", "label")
+        fitted = _fit(model, prepared, train, min(rows - rows // folds, max_rows or rows), params)
         return _score_of(prepared.kind, fitted.transform(test))
 
     with ThreadPoolExecutor(WORKERS) as pool:
@@ -498,9 +513,9 @@ def cross_validate(
     params: Mapping | None = None, exclude: Sequence[str] = (), seed: int = 42, problem: str | None = None, max_rows: int | None = None,
 ) -> DataFrame:
     """Score of each fold (accuracy or R2) with mean, population std, range and mean +- 2 std."""
-    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude, describe_target(df, target, problem), max_rows)
+    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude, describe_target(df, target, problem))
     try:
-        scores = _fold_scores(prepared, table, model, params or {}, folds, rows)
+        scores = _fold_scores(prepared, table, model, params or {}, folds, rows, max_rows)
     finally:
         table.unpersist()
     scoring = "accuracy" if prepared.kind == "classification" else "r2"
@@ -520,9 +535,9 @@ def tune(
     """Cross-validate every parameter combination; the best few with mean and std of their scores."""
     grid = dict(grid if grid is not None else GRIDS[canonical(model)])
     combos = [dict(zip(grid, values)) for values in product(*grid.values())]
-    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude, describe_target(df, target, problem), max_rows)
+    prepared, table, rows = _fold_table(df, target, key, folds, seed, exclude, describe_target(df, target, problem))
     try:
-        found = [(c, _summary(_fold_scores(prepared, table, model, c, folds, rows))) for c in combos]
+        found = [(c, _summary(_fold_scores(prepared, table, model, c, folds, rows, max_rows))) for c in combos]
     finally:
         table.unpersist()
     found.sort(key=lambda r: -r[1]["mean_score"])
@@ -553,7 +568,7 @@ def auto_train(
     """
     kind, labels = describe_target(df, target, problem)
     train, test = train_test(df, target, key, test_size, seed, kind == "classification", labels)
-    prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude, (kind, labels), max_rows)
+    prepared, table, rows = _fold_table(train, target, key, folds, seed + 1, exclude, (kind, labels))
     held_out = _spread(prepared.assemble(test))
     main = "accuracy" if kind == "classification" else "r2_score"
     trained, data = [], []
@@ -561,8 +576,8 @@ def auto_train(
         for model in models:
             chosen = dict((params or {}).get(model, {}))
             try:
-                cv = _summary(_fold_scores(prepared, table, model, chosen, folds, rows)) if folds > 1 else {}
-                fitted = _fit(model, prepared, table.select("features", "label"), rows, chosen)
+                cv = _summary(_fold_scores(prepared, table, model, chosen, folds, rows, max_rows)) if folds > 1 else {}
+                fitted = _fit(model, prepared, _within(table, max_rows, "unit").select("features", "label"), min(rows, max_rows or rows), chosen)
                 metrics = measure(prepared, fitted.transform(held_out))
                 if cv:
                     metrics = {"cv_mean": round(cv["mean_score"], 4), "cv_std": round(cv["std_score"], 4), **metrics}
@@ -607,9 +622,9 @@ def feature_importance(
     """
     if isinstance(model, str):
         described = describe_target(df, target, problem)
-        df = bounded(known_target(df, target), row_key(df), max_rows)
+        df = known_target(df, target)
         prepared = prepare(df, target, exclude=exclude, described=described)
-        table = _spread(prepared.assemble(df))
+        table = _spread(prepared.assemble(bounded(df, row_key(df), max_rows)))
         try:
             model = TrainedModel(model, display_name(model, prepared.kind), prepared, _fit(model, prepared, table, table.count(), params))
         finally:
