@@ -266,6 +266,20 @@ def test_url_blocks_reach_aliases_but_not_allowed_pages(spark):
     assert got[8][:3] == ("a.org", "/1/", None) and got[6][:2] == ("", "") and got[1][2] == "bad.net/"
 
 
+def test_relative_links_are_resolved(spark):
+    refresh, base = '<meta http-equiv="refresh" content="0; url={}">', '<base href="/bad/">'
+    links = {1: ("http://a.org/bad/x/p?q=1", "index.html"), 2: ("http://a.org/ok/x/p", "../../bad/y"), 3: ("http://a.org/bad?p=1", "?p=2"), 4: ("http://a.org/bad/q/", "./x"), 5: ("http://a.org/ok/p", "../../../bad/../bad/z"),
+             6: ("http://a.org", "bad/k"), 7: ("http://a.org/ok/b", "mailto:x@a.org"), 8: ("http://a.org/ok/c", "#top"), 9: ("nothing", "?u=http://a.org/bad/n"), 10: ("http://a.org/ok/d", "e?u=http://a.org/bad/m"),
+             11: ("http://a.org/ok/f", "/ok/../bad/w"), 13: ("http://a.org/ok/h/", "..bad")}
+    rows = [(i, url, refresh.format(link)) for i, (url, link) in links.items()] + [(12, "http://a.org/ok/g", base + refresh.format("v"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    targets = {r.a: r.b for r in url_filter.page_links(pages).collect()}
+    assert targets == {"a.org/bad/x/p?q=1": "a.org/bad/x/index.html", "a.org/ok/x/p": "a.org/bad/y", "a.org/bad?p=1": "a.org/bad?p=2", "a.org/bad/q": "a.org/bad/q/x", "a.org/ok/p": "a.org/bad/z", "a.org": "a.org/bad/k",
+                       "a.org/ok/d": "a.org/ok/e?u=http://a.org/bad/m", "a.org/ok/f": "a.org/bad/w", "a.org/ok/g": "a.org/bad/v", "a.org/ok/h": "a.org/ok/h/..bad"}
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, [("block", "a.org", "/bad/")]).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 4, 5, 6, 11, 12}
+
+
 def test_line_templates_generalise_variable_fields(spark):
     logs = [(i, f"Posted on page {i} by {name} in the main section\nown line number {i} with words {prose(i, 6)}") for i, name in enumerate(["ann", "bob", "cid", "dan", "eve"])]
     rows = [*logs, (9, "short one"), (10, None), (11, "")]

@@ -23,6 +23,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: A scheme at the start of a link.
+SCHEME = r"\A[A-Za-z][A-Za-z0-9+.-]*:"
+
 
 def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -45,27 +49,46 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, action
 
 
+def undotted(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``; the latter take the segment before them away."""
+    parts = F.split(F.regexp_replace(path, r"\A/", ""), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+    # Only whole segments count, so most paths stay as they are.
+    plain = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), plain).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """One form for the same resource: no fragment, host in small letters, no slash at the end of the path."""
+    """One form for the same resource: no fragment or dot segments, host in small letters, no slash at the end of the path."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
-    return F.when(url.contains("://"), F.concat(host(url), F.regexp_replace(path(url), r"/+\z", ""), query))
+    return F.when(url.contains("://"), F.concat(host(url), F.regexp_replace(undotted(path(url)), r"/+\z", ""), query))
 
 
 def resolved(link: Column, url: Column) -> Column:
-    """An absolute address for ``link`` found on page ``url``; null for an empty or other link."""
+    """An absolute address for ``link`` found on page ``url``; null for an empty link, one of another
+    scheme without ``//``, and a relative one on a page without an address."""
     origin = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*", 0)
     scheme = F.regexp_extract(url, r"(?s)\A.*?://", 0)
+    folder = F.regexp_extract(path(url), r"(?s)\A.*/", 0)
     clean = F.replace(link, F.lit("&amp;"), F.lit("&"))
     return (
-        F.when(clean.contains("://"), clean).when(clean.startswith("//"), F.concat(F.replace(scheme, F.lit("//"), F.lit("")), clean)).when(clean.startswith("/"), F.concat(origin, clean))
+        F.when(clean.rlike(SCHEME + "//"), clean)
+        .when((clean == "") | clean.rlike(SCHEME) | (origin == ""), None)
+        .when(clean.startswith("//"), F.concat(F.replace(scheme, F.lit("//"), F.lit("")), clean))
+        .when(clean.startswith("/"), F.concat(origin, clean))
+        .when(clean.startswith("?"), F.concat(origin, path(url), clean))
+        .when(clean.startswith("#"), url)
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), clean))
     )
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (``a``, ``b``) from each page's address to its canonical and refresh targets."""
+    """Edges (``a``, ``b``) from each page's address to its canonical and refresh targets, relative to its ``base`` if it has one."""
     own = pages.select(pages[url].cast("string").alias("u"), pages[html].cast("string").alias("h")).where("u is not null and h is not null")
-    found = own.select("u", F.explode(F.concat(F.regexp_extract_all("h", F.lit(CANONICAL), 1), F.regexp_extract_all("h", F.lit(REFRESH), 1))).alias("link"))
-    return found.select(address(F.col("u")).alias("a"), address(resolved(F.col("link"), F.col("u"))).alias("b")).where("a is not null and b is not null and a <> b")
+    found = own.select("u", "h", F.explode(F.concat(F.regexp_extract_all("h", F.lit(CANONICAL), 1), F.regexp_extract_all("h", F.lit(REFRESH), 1))).alias("link"))
+    found = found.withColumn("base", F.coalesce(resolved(F.regexp_extract("h", BASE, 1), F.col("u")), "u"))
+    return found.select(address(F.col("u")).alias("a"), address(resolved(F.col("link"), F.col("base"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
