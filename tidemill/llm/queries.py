@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import chat, decontaminate, jaccard, licenses, line_templates, packing, quality_model, quality_rules, toxicity, url_filter
+from tidemill.llm import chat, decontaminate, hard_negatives, jaccard, licenses, line_templates, mixing, packing, quality_model, quality_rules, runs, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,97 @@ def _(spark, folder):
         F.aggregate("matches", F.lit(0).cast("bigint"), lambda n, m: n + m["matched"]).alias("matched_words"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("best_coverage"),
     )
+
+
+RUNS_SQL = r"""
+with t as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, 
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, x:
+      list_reduce(list_transform(range(8), lambda i: i::bigint), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)), xor(c, x)), 4294967295::bigint), 4294967295::bigint) as crc from documents),
+o as materialized (select doc_id, ws, len(ws) as n, crc // 10 as g, case when crc % 10 = 0 and len(ws) > 0 then (crc // 10) % len(ws) end as a from t),
+w as materialized (select doc_id, n, case when a is null then ws
+  else list_transform(range(0, n), lambda i: case when i >= a then ws[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))] else ws[1 + i] end) end as ws from o),
+x as (select doc_id, n, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from w),
+y as materialized (select doc_id, n, i, hash(word, lead(word) over f, lead(word, 2) over f) as h from x window f as (partition by doc_id order by i) qualify lead(word, 2) over f is not null),
+m as (select a.doc_id, b.i - a.i as q, a.i from y a join y b on a.doc_id = b.doc_id and a.h = b.h and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+k as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from m),
+c as (select doc_id, min(i) as s, count(*) + 2 + q as l, q from k group by doc_id, q, island having count(*) + 2 + q >= greatest(6, 4 * q)),
+r as materialized (select doc_id, s, l, min(q) as q from c group by doc_id, s, l),
+b as (select doc_id, count(*) as n_runs, min_by(struct_pack(s := s, l := l, q := q), (-l, s, q)) as best, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as listed from r group by 1),
+d as (select distinct doc_id, unnest(range(s + q, s + l)) as i from r),
+z as (select doc_id, string_agg(word, ' ' order by i) as text from x anti join d using (doc_id, i) group by 1)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.l::bigint as length, best.q::bigint as period,
+  (1000 * best.l // best.q)::bigint as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(z.text, '')) as collapsed_sha256
+from w left join b using (doc_id) left join z using (doc_id)"""
+
+
+@query("op11_periodic_runs", RUNS_SQL)
+def _(spark, folder):
+    found = runs.find_runs(with_periodic_tails(table(spark, folder, "documents")))
+    ordered = F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    found = found.withColumn("best", F.array_min(ordered))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; every tenth text, by crc32 of its id, repeats some of its words to its end."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    n, g = F.size("ws"), F.floor(F.col("crc") / 10)
+    a = F.col("a")
+    p = F.lit(1) + F.floor((n - a) / (3 + g % 8)).cast("int")
+    tail = lambda ws: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, F.when(i >= a, a + (i - a) % F.col("p")).otherwise(i)))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), crc.alias("crc"))
+    rows = rows.withColumn("ws", F.when(F.col("crc") % 10 == 0, words))
+    rows = rows.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", p)
+    made = F.array_join(F.transform(F.array("ws"), tail)[0], " ")
+    return rows.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+MIX_SQL = r"""
+with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as materialized (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, encode(source)) as number from d group by source),
+v as materialized (select *, case (number - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
+c as materialized (select *, sum(source_size) over ()::bigint as total, sum(weight) over ()::bigint as weights,
+  coalesce(sum(3 * source_size) over f, 0)::bigint as given, coalesce(sum(weight) over f, 0)::bigint as gone from v
+  window f as (order by source_size / weight, number rows between unbounded preceding and 1 preceding)),
+k as (select total - given as words, weights - gone as share from c where not 3 * source_size::hugeint * (weights - gone) < weight::hugeint * (total - given)
+  order by source_size / weight, number limit 1),
+t as materialized (select source, source_size, case when 3 * source_size::hugeint * share < weight::hugeint * words then (3 * source_size)::double
+  else (weight * words)::double / greatest(share, 1) end as target from v, k),
+p as (select d.*, source_size, target, floor(target + 0.5)::bigint as budget,
+  coalesce(sum(size) over (partition by d.source order by substr(md5(concat_ws('|', '1', doc_id::varchar)), 1, 16), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+  from d join t on d.source is not distinct from t.source),
+e as (select *, case when source_size > 0 then budget // source_size else 0 end as full_epochs from p),
+r as (select *, greatest(0, least(size, budget - full_epochs * source_size - before)) as part from e)
+select doc_id, source, size, source_size, target, (full_epochs + case when part = size and part > 0 then 1 else 0 end)::bigint as epochs,
+  (full_epochs * size + part)::bigint as taken from r"""
+
+
+@query("op12_source_mixing", MIX_SQL)
+def _(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+NEGATIVES_SQL = r"""
+with r as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, a.label as anchor_label, r.vec_id, r.label, list_inner_product(a.q, r.q)::bigint as score
+  from r a, r where a.vec_id % 100 = 0),
+p as materialized (select anchor_id, anchor_label, vec_id as positive_id, score as positive_score from s where label = anchor_label and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and s.label <> s.anchor_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 10"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def _(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0)
