@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemill.llm import boosting, chat, decontaminate, jaccard, licenses, line_templates, packing, quality_model, quality_rules, stats, toxicity, url_filter
@@ -313,6 +314,34 @@ def test_short_and_numeric_lines_recur(spark):
     assert kept[1] == rows[0][1] and kept[2] == out[2][1]
 
 
+def plain_dropped(rows):
+    """{document: dropped line numbers} by the words of the docstring, document sets compared directly."""
+    lines = [(i, p, line.split()) for i, text in rows for p, line in enumerate((text or "").split("\n")) if line.split()]
+    general = lambda ws: [("<*>" if re.search("[0-9]", w) else w) for w in ws]
+    leaves = defaultdict(list)
+    for i, p, ws in lines:
+        leaves[len(ws), tuple(general(ws)[:3])].append((i, p, ws))
+    documents_of = defaultdict(set)
+    shapes = []
+    for (n, _), own in leaves.items():
+        for i, p, ws in own:
+            here = [sum(1 for d in {d for d, _, other in own if general(other)[at] == w}) for at, w in enumerate(general(ws))]
+            need = 2 if n >= 20 else 3
+            keys = [("exact", need, tuple(ws))] if re.search("[0-9]", " ".join(ws)) else []
+            for least in sorted({3, need}):
+                shape = tuple(w if w != "<*>" and c >= least else "<*>" for w, c in zip(general(ws), here))
+                if (n - shape.count("<*>")) / n >= 0.7:
+                    keys.append(("shape", least, shape))
+            shapes.append((i, p, keys))
+            for key in keys:
+                documents_of[key].add(i)
+    want = defaultdict(list)
+    for i, p, keys in shapes:
+        if any(len(documents_of[key]) >= key[1] for key in keys):
+            want[i].append(p)
+    return dict(want)
+
+
 def test_line_templates_equal_plain_python(spark):
     rng = random.Random(9)
     pool = ["Les.", "12 34", "page 1 of 9", "see also the notes", *[prose(70 + i, rng.choice([2, 4, 6, 22, 30])) for i in range(12)]]
@@ -321,30 +350,29 @@ def test_line_templates_equal_plain_python(spark):
         words[rng.randrange(len(words))] = rng.choice(["ann", "bob", "7"])
         return " ".join(words)
     rows = [(i, "\n".join([changed(x) if rng.random() < 0.4 else x for x in rng.sample(pool, 4)] + ["", prose(200 + i, 8)])) for i in range(14)]
-    entries = [(i, p, line.split()) for i, text in rows for p, line in enumerate(text.split("\n")) if line.split()]
-    general = lambda ws: tuple("<*>" if re.search("[0-9]", w) else w for w in ws)
-    at, keys = {}, {}
-    for i, _, ws in entries:
-        for p, w in enumerate(general(ws)):
-            at.setdefault((len(ws), general(ws)[:3], general(ws), p, w), set()).add(i)
-    def count(ws, p, w):  # noqa: E306
-        return sum(len(d) for (n, lead, _, q, x), d in at.items() if (n, lead, q, x) == (len(ws), general(ws)[:3], p, w))
-    def classes(ws):  # noqa: E306
-        need = 2 if len(ws) >= 20 else 3
-        for least in {3, need}:
-            shape = tuple(w if w != "<*>" and count(ws, p, w) >= least else "<*>" for p, w in enumerate(general(ws)))
-            if 1 - shape.count("<*>") / len(ws) >= 0.7:
-                yield least, (least, shape)
-        yield need, ("exact", tuple(ws))
-    for i, _, ws in entries:
-        for _, key in classes(ws):
-            keys.setdefault(key, set()).add(i)
-    want = {}
-    for i, p, ws in entries:
-        if any(len(keys[key]) >= least for least, key in classes(ws)):
-            want.setdefault(i, []).append(p)
-    got = {r.doc_id: r["drop"] for r in line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want and sum(map(len, want.values())) > 20
+    # One document with many variants of the same lines, and blanks of all kinds.
+    rows.append((50, "\n".join(changed(x) for x in pool * 4)))
+    rows.append((51, "\n".join(f" {x.replace(' ', chr(9) + ' ')} " for x in pool)))
+    got = {}
+    for r in line_templates.recurring_lines(with_keys(spark, rows)).collect():
+        got[r.d] = r["drop"]
+    keys = {r.doc_id: r.k for r in with_keys(spark, rows).collect()}
+    want = plain_dropped(rows)
+    assert got == {keys[i]: sorted(p) for i, p in want.items()} and sum(map(len, want.values())) > 20
+
+
+def with_keys(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs.withColumn("k", line_templates.document(F.col("doc_id"), F.col("text")))
+
+
+def test_more_lines_of_one_document_save_no_line(spark):
+    line = lambda who, what: f"Order placed by customer {who} for the {what} item today now"
+    rows = [(1, line("ann", "red")), (2, line("bob", "red")), (3, line("cid", "red"))]
+    more = [(1, "\n".join(line("ann", what) for what in ("red", "blue", "green")))] + rows[1:]
+    for own in (rows, more):
+        out = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+        assert [out[2], out[3]] == [1, 1] and out[1] >= 1
 
 
 def test_licenses_are_aligned(spark):

@@ -1,15 +1,16 @@
 """Lines that recur across documents, by a log-template tree of fixed depth. DataFrame functions only.
 
-A line goes to a leaf of the tree by its number of tokens and its leading tokens, with tokens that hold
-a digit generalised. Inside a leaf, a token that stands at its position in too few documents is a
-variable field and becomes a wildcard; the line's template is what remains. Templates of enough
-documents, with enough constant tokens, are dropped from all of them. For a long line two documents
-are enough: it has a second template, with the tokens of two documents, and goes if either recurs.
-A line with digits also goes if it recurs word for word, however few of its tokens are constant.
-
-Equal generalised lines (variants) are collapsed before tokens are counted, and only lines of leaves
-with enough documents are looked at again, so a line that half of the documents share is one row.
-Lines travel as hashes; texts are read again, and shuffled once for the result.
+A line goes to a leaf of the tree by its number of tokens and its leading tokens, with tokens that hold a digit
+generalised. Inside a leaf, a token that stands at its position in fewer than ``min_docs`` documents is a variable field and
+becomes a wildcard; the line's template is what remains. A template with enough constant tokens that stands in ``min_docs``
+documents goes from all of them. A long line has a second template, with the tokens and in the count of
+``LONG_DOCS`` documents, and goes if either recurs. A line with digits also goes if it recurs word for word in as many
+documents, however few of its tokens are constant.
+
+Documents are counted, never lines, so several lines of one document weigh as one. The first pass keeps only the leaves and one
+range of documents for each; the second keeps the lines of leaves with several documents. A generalised line (variant) that
+recurs itself has constant tokens only, so just the tokens of the others are counted one by one. A line that half
+of the documents share is one row after map-side aggregation.
 """
 
 from __future__ import annotations
@@ -25,70 +26,89 @@ DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 1, 3, 0.7
 LONG_TOKENS, LONG_DOCS = 20, 2
 WILD = "<*>"
 SPACE = r"[ \t\n\x0B\f\r]+"
+#: Leaves, and documents with dropped lines, that are sent to every task: 500,000 are 16 MB with short lists.
+FEW = 500_000
+
+
+def document(doc_id: Column, text: Column) -> Column:
+    """The key of a document: rows with one id and different texts are different documents, and so are rows without an id."""
+    return F.xxhash64(doc_id, text)
 
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text, so that rows with one id stay apart), ``pos`` and ``line``."""
+    """``doc_id``, ``d`` (key of the document), ``pos`` and ``line``."""
     own = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).where("text is not null")
-    return own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return own.select("doc_id", document(F.col("doc_id"), F.col("text")).alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def tokens_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda t: t != "")
+def spaced(line: Column) -> Column:
+    """The tokens of a line, joined by one blank."""
+    return F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
 
 
 def generalised(line: Column) -> Column:
-    """The tokens of a line, those with a digit as wildcards."""
-    return F.transform(tokens_of(line), lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+    """A spaced line whose tokens with a digit are wildcards."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(line)
 
 
-def _keyed(rows: DataFrame, depth: int, min_tokens: int, min_docs: int) -> DataFrame:
-    """``need`` is the least number of documents for a line of this length; it is one per leaf.
-
-    ``exact`` stands for the words of a line with digits; without digits its variant has all of them.
-    """
-    rows = rows.withColumn("tokens", generalised(F.col("line"))).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, depth), " "))
-    exact = F.when(F.col("line").rlike("[0-9]"), F.xxhash64(F.array_join(tokens_of(F.col("line")), " "), F.lit("exact")))
-    need = F.when(F.size("tokens") >= LONG_TOKENS, min(min_docs, LONG_DOCS)).otherwise(min_docs)
-    return rows.withColumn("leaf", leaf).withColumn("variant", F.xxhash64(F.array_join("tokens", " "))).withColumn("need", need).withColumn("exact", exact)
+def _keyed(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """Lines with ``min_tokens`` tokens or more: ``line`` (spaced), ``general``, ``n`` (tokens) and ``leaf``."""
+    rows = rows.withColumn("line", spaced(F.col("line"))).where("line != ''")
+    rows = rows.withColumn("general", generalised(F.col("line")))
+    rows = rows.withColumn("n", F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "))) + 1).where(F.col("n") >= min_tokens)
+    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("general", " ", depth)))
 
 
-def _template(least: Column, min_constant: float) -> Column:
-    """(``template``, ``need``) of a variant whose tokens of ``least`` documents are fixed; null if too few are."""
-    fixed = lambda x: x["c"] >= least
-    words = F.array_join(F.transform("ts", lambda x: F.when(fixed(x), x["token"]).otherwise(WILD)), " ")
-    enough = F.size(F.filter("ts", fixed)) / F.size("ts") >= min_constant
-    return F.when(enough, F.struct(F.xxhash64(words, least).alias("template"), least.alias("need")))
+def _words(general: str = "general") -> Column:
+    return F.posexplode(F.split(general, " ")).alias("p", "token")
 
 
 def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, keep_first: bool = False) -> DataFrame:
-    """(``doc_id``, ``h``, ``drop``: sorted line numbers) of the documents that hold recurring lines.
+    """(``d``, ``drop``: sorted line numbers) of the documents that hold recurring lines.
 
-    With ``keep_first`` the document with the smallest id (and, for one id, text hash) keeps its lines of a template.
+    With ``keep_first`` the document with the smallest id (of several: the smallest key) keeps its lines of a template.
     """
-    known = checkpointed(_keyed(lines(docs, doc_id, text), depth, min_tokens, min_docs).select("doc_id", "h", "pos", "leaf", "variant", "need", "exact"))
-    leaves = known.select("leaf", "need", "doc_id", "h").distinct().groupBy("leaf", "need").agg(F.count("*").alias("c")).where("c >= need")
-    shared = checkpointed(keep_keys(known, checkpointed(leaves.select("leaf")), "leaf"))
-    variants = checkpointed(shared.select("leaf", "variant", "need", "doc_id", "h").distinct().groupBy("leaf", "variant", "need").agg(F.count("*").alias("d")))
-
-    again = keep_keys(_keyed(lines(docs, doc_id, text), depth, min_tokens, min_docs), variants.select("variant"), "variant")
-    wording = again.groupBy("variant").agg(F.first(F.array_join("tokens", " ")).alias("line"))
-    tokens = variants.join(wording, "variant").select("leaf", "variant", "need", "d", F.posexplode(F.split("line", " ")).alias("p", "token"))
-    tokens = checkpointed(tokens)
-    counts = tokens.groupBy("leaf", "need", "p", "token").agg(F.sum("d").alias("c")).where("c >= need").where(F.col("token") != WILD).drop("need")
-    found = tokens.join(counts, ["leaf", "p", "token"], "left").select("leaf", "variant", "need", F.struct("p", "token", F.coalesce("c", F.lit(0)).alias("c")).alias("t"))
-    shaped = found.groupBy("leaf", "variant", "need").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    # The tokens that a long line's two documents share hold those of ``min_docs`` documents, so its second classes divide its first.
-    both = F.array_compact(F.array_distinct(F.array(_template(F.lit(min_docs), min_constant), _template(F.col("need"), min_constant))))
-    templates = shaped.select("variant", F.inline(both))
-    shapes = shared.select("doc_id", "h", "pos", "variant").join(templates.hint("shuffle_hash"), "variant").select("template", "need", "doc_id", "h", "pos")
-    held = checkpointed(shapes.union(shared.where("exact is not null").select("exact", "need", "doc_id", "h", "pos")))
-    per_doc = held.select("template", "need", "doc_id", "h").distinct().groupBy("template", "need").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h")).alias("first")).where("c >= need").drop("need")
-    hit = held.join(per_doc.hint("shuffle_hash"), "template")
+    long_docs = min(min_docs, LONG_DOCS)
+    of_leaf = _keyed(lines(docs, doc_id, text), depth, min_tokens).groupBy("leaf").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    leaves = checkpointed(of_leaf.where("a != b" if long_docs > 1 else "true").select("leaf"))
+    shared = keep_keys(_keyed(lines(docs, doc_id, text), depth, min_tokens), leaves, "leaf", few=FEW)
+    exact = F.when(F.col("line").rlike("[0-9]"), F.xxhash64("line", F.lit("exact")))
+    shared = checkpointed(shared.select("doc_id", "d", "pos", "leaf", "n", (F.col("n") >= LONG_TOKENS).alias("long"), F.xxhash64("general").alias("variant"), "general", exact.alias("exact")))
+
+    # The documents of each variant; with ``min_docs`` of them it is its own template.
+    held_by = checkpointed(shared.groupBy("leaf", "variant", "d").agg(F.first("general").alias("general"), F.first("n").alias("n"), F.first("long").alias("long")))
+    variants = checkpointed(held_by.groupBy("leaf", "variant").agg(F.count("*").alias("c"), F.first("general").alias("general"), F.first("n").alias("n"), F.first("long").alias("long")))
+    rare = checkpointed(variants.where(F.col("c") < min_docs).select("leaf", "variant"))
+    tokens = held_by.join(rare, ["leaf", "variant"], "left_semi").select("leaf", "variant", "d", "long", _words()).where(F.col("token") != WILD)
+    tokens = checkpointed(tokens.select("leaf", "variant", "d", "long", "p", F.xxhash64("token").alias("token")))
+    counts = tokens.select("leaf", "long", "p", "token", "d").distinct().groupBy("leaf", "long", "p", "token").agg(F.count("*").alias("c"))
+    counts = counts.where(F.col("c") >= F.when(F.col("long"), long_docs).otherwise(min_docs))
+    settled = variants.where(F.col("c") >= min_docs)
+    beside = settled.join(rare.select("leaf").distinct(), "leaf", "left_semi").select("leaf", "long", _words()).where(F.col("token") != WILD)
+    constant = counts.unionByName(beside.select("leaf", "long", "p", F.xxhash64("token").alias("token"), F.lit(min_docs).cast("bigint").alias("c")))
+    constant = constant.groupBy("leaf", "p", "token").agg(F.max("c").alias("c"))
+    hit = tokens.select("leaf", "variant", "p", "token").distinct().join(constant, ["leaf", "p", "token"])
+    shaped = hit.groupBy("leaf", "variant").agg(F.array_sort(F.collect_list(F.struct("p", "token", "c"))).alias("ts"))
+    shaped = variants.select("leaf", "variant", "n", "long").join(shaped, ["leaf", "variant"])
+    whole = F.filter(F.transform(F.split("general", " "), lambda t, i: F.struct(i.alias("p"), F.xxhash64(t).alias("token"), F.lit(min_docs).cast("bigint").alias("c"), (t == WILD).alias("wild"))), lambda x: ~x["wild"])
+    whole = F.transform(whole, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"), x["c"].alias("c")))
+    shaped = shaped.unionByName(settled.select("leaf", "variant", "n", "long", whole.alias("ts")))
+
+    def template(least: int) -> Column:
+        """(``template``, ``need``) of the tokens of ``least`` documents; null if they are too few of the line."""
+        fixed = F.transform(F.filter("ts", lambda x: x["c"] >= least), lambda x: F.struct(x["p"], x["token"]))
+        return F.when(F.size(fixed) / F.col("n") >= min_constant, F.struct(F.xxhash64("n", fixed, F.lit(least)).alias("template"), F.lit(least).alias("need")))
+
+    both = F.array_compact(F.array(template(min_docs), F.when(F.col("long") & F.lit(long_docs < min_docs), template(long_docs))))
+    templates = checkpointed(shaped.select("leaf", "variant", F.inline(both)))
+    shapes = shared.select("leaf", "variant", "doc_id", "d", "pos").join(templates, ["leaf", "variant"]).select("template", "need", "doc_id", "d", "pos")
+    need = F.when(F.col("long"), long_docs).otherwise(min_docs)
+    held = checkpointed(shapes.union(shared.where("exact is not null").select("exact", need.alias("need"), "doc_id", "d", "pos")))
+    per_doc = held.select("template", "need", "doc_id", "d").distinct().groupBy("template", "need").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "d")).alias("first")).where("c >= need")
+    hit = held.join(per_doc.drop("c"), ["template", "need"])
     if keep_first:
-        hit = hit.where(~(F.struct("doc_id", "h").eqNullSafe(F.col("first"))))
-    return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+        hit = hit.where(F.col("d") != F.col("first.d"))
+    return hit.groupBy("d").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def drop_recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -97,11 +117,13 @@ def drop_recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Lines are divided by ``\\n``; the others keep their order and bytes. Null texts stay null, with 0
     lines, and an empty text is one line. Lines with fewer than ``min_tokens`` tokens, and lines without
-    any, always stay.
+    any, always stay. Rows with equal id and text are one document, so copies of a row make no line recur; with equal texts
+    and different ids they do. A very long text is divided into its lines like any other.
     """
-    dropped = checkpointed(recurring_lines(docs, doc_id=doc_id, text=text, **options)).toDF("__id", "__h", "__drop")
+    dropped = checkpointed(recurring_lines(docs, doc_id=doc_id, text=text, **options)).toDF("__d", "__drop")
+    dropped = F.broadcast(dropped) if dropped.count() <= FEW else dropped
     whole = F.col(text).cast("string")
-    out = docs.join(dropped, docs[doc_id].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text].cast("string")) == dropped["__h"]), "left")
+    out = docs.join(dropped, document(docs[doc_id], docs[text].cast("string")) == dropped["__d"], "left")
     parts = F.split(whole, "\n")
     kept = F.when(F.col("__drop").isNull(), whole).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n"))
     counts = {"n_lines": F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("bigint"), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint")}

@@ -154,18 +154,20 @@ TEMPLATES_SQL = r"""
 with l as materialized (select doc_id, pos - 1 as pos, line from (select doc_id, unnest(string_split(text, chr(10))) as line,
     generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)),
 k as materialized (select *, len(t) as n, array_to_string(t, ' ') as v, array_to_string(t[1:3], ' ') as lead from (
-  select doc_id, pos, line, list_transform(list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''),
-    lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from l) where len(t) >= 5),
-leaf as (select n, lead from k group by all having count(distinct doc_id) >= 3),
+  select doc_id, pos, case when regexp_matches(line, '[0-9]') then array_to_string(w, ' ') end as exact, list_transform(w, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t
+  from (select *, list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from l)) where len(t) >= 1),
+leaf as (select n, lead from k group by all having count(distinct doc_id) >= 2),
 s as materialized (select k.* from k join leaf using (n, lead)),
-var as materialized (select n, lead, v, any_value(t) as t, count(distinct doc_id) as d from s group by n, lead, v),
-tok as materialized (select n, lead, v, d, unnest(t) as token, generate_subscripts(t, 1) as p from var),
-c as materialized (select n, lead, p, token from tok where token <> '<*>' group by all having sum(d) >= 3),
-tem as materialized (select n, lead, v, string_agg(case when c.token is null then '<*>' else tok.token end, ' ' order by p) as tpl
-  from tok left join c using (n, lead, p, token) group by n, lead, v having avg(case when c.token is null then 0.0 else 1.0 end) >= 0.7),
-held as materialized (select s.doc_id, s.pos, tpl from s join tem using (n, lead, v)),
-many as (select tpl from held group by tpl having count(distinct doc_id) >= 3),
-dropped as materialized (select distinct doc_id, pos from held join many using (tpl)),
+var as materialized (select n, lead, v, any_value(t) as t from s group by n, lead, v),
+tok as materialized (select n, lead, v, unnest(t) as token, generate_subscripts(t, 1) as p from var),
+c as materialized (select n, lead, p, token, count(distinct doc_id) as c from tok join (select distinct n, lead, v, doc_id from s) using (n, lead, v) where token <> '<*>' group by all),
+tem as materialized (select n, lead, v, need, string_agg(case when c.c >= need then tok.token else '<*>' end, ' ' order by p) as tpl
+  from tok left join c using (n, lead, p, token), (select unnest([2, 3]) as need) where need = 3 or n >= 20
+  group by n, lead, v, need having avg(case when c.c >= need then 1.0 else 0.0 end) >= 0.7),
+held as materialized (select s.doc_id, s.pos, tpl, need from s join tem using (n, lead, v)
+  union all select doc_id, pos, 'exact ' || exact, case when n >= 20 then 2 else 3 end from s where exact is not null),
+many as (select tpl, need from held group by tpl, need having count(distinct doc_id) >= need),
+dropped as materialized (select distinct doc_id, pos from held join many using (tpl, need)),
 txt as (select l.doc_id, string_agg(line, chr(10) order by pos) filter (dropped.pos is null) as text, count(*) as n_lines, count(dropped.pos) as n_dropped
   from l left join dropped using (doc_id, pos) group by 1)
 select d.doc_id, case when d.text is null then null else coalesce(txt.text, '') end as text, coalesce(n_lines, 0)::bigint as n_lines,
