@@ -9,8 +9,9 @@ documents, however few of its tokens are constant.
 
 Documents are counted, never lines, so several lines of one document weigh as one. The first pass keeps only the leaves and one
 range of documents for each; the second keeps the lines of leaves with several documents. A generalised line (variant) that
-recurs itself has constant tokens only, so just the tokens of the others are counted one by one. A line that half
-of the documents share is one row after map-side aggregation.
+recurs itself is its own template, and where all variants of a leaf do, no token is looked at. In the other leaves a token
+at its position is one number (slot), and the slots of enough documents make the template. A line that half
+of the documents share is one row after map-side aggregation, and gives its tokens once.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def spaced(line: Column) -> Column:
     """The tokens of a line, joined by one blank."""
-    return F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in "\t\r\x0b\f":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
 
 
 def generalised(line: Column) -> Column:
@@ -51,16 +55,23 @@ def generalised(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(line)
 
 
+def _once(rows: DataFrame, **new: Column) -> DataFrame:
+    """``rows`` with columns that later filters and projections do not compute again."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))
+
+
 def _keyed(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """Lines with ``min_tokens`` tokens or more: ``line`` (spaced), ``general``, ``n`` (tokens) and ``leaf``."""
-    rows = rows.withColumn("line", spaced(F.col("line"))).where("line != ''")
-    rows = rows.withColumn("general", generalised(F.col("line")))
-    rows = rows.withColumn("n", F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "))) + 1).where(F.col("n") >= min_tokens)
+    """Lines with ``min_tokens`` tokens or more: ``spaced``, ``general``, ``n`` (tokens) and ``leaf``."""
+    rows = _once(rows.where(F.col("line").rlike(r"[^ \t\x0B\f\r]")), spaced=spaced(F.col("line"))).drop("line")
+    rows = _once(rows, general=generalised(F.col("spaced")))
+    rows = _once(rows, n=F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "))) + 1)
+    rows = rows.where(F.col("n") >= min_tokens) if min_tokens > 1 else rows
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("general", " ", depth)))
 
 
-def _words(general: str = "general") -> Column:
-    return F.posexplode(F.split(general, " ")).alias("p", "token")
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, for broadcast if it is counted small."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, keep_first: bool = False) -> DataFrame:
@@ -69,41 +80,44 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     With ``keep_first`` the document with the smallest id (of several: the smallest key) keeps its lines of a template.
     """
     long_docs = min(min_docs, LONG_DOCS)
+    need = F.when(F.col("n") >= LONG_TOKENS, long_docs).otherwise(min_docs)
     of_leaf = _keyed(lines(docs, doc_id, text), depth, min_tokens).groupBy("leaf").agg(F.min("d").alias("a"), F.max("d").alias("b"))
     leaves = checkpointed(of_leaf.where("a != b" if long_docs > 1 else "true").select("leaf"))
     shared = keep_keys(_keyed(lines(docs, doc_id, text), depth, min_tokens), leaves, "leaf", few=FEW)
-    exact = F.when(F.col("line").rlike("[0-9]"), F.xxhash64("line", F.lit("exact")))
-    shared = checkpointed(shared.select("doc_id", "d", "pos", "leaf", "n", (F.col("n") >= LONG_TOKENS).alias("long"), F.xxhash64("general").alias("variant"), "general", exact.alias("exact")))
-
-    # The documents of each variant; with ``min_docs`` of them it is its own template.
-    held_by = checkpointed(shared.groupBy("leaf", "variant", "d").agg(F.first("general").alias("general"), F.first("n").alias("n"), F.first("long").alias("long")))
-    variants = checkpointed(held_by.groupBy("leaf", "variant").agg(F.count("*").alias("c"), F.first("general").alias("general"), F.first("n").alias("n"), F.first("long").alias("long")))
-    rare = checkpointed(variants.where(F.col("c") < min_docs).select("leaf", "variant"))
-    tokens = held_by.join(rare, ["leaf", "variant"], "left_semi").select("leaf", "variant", "d", "long", _words()).where(F.col("token") != WILD)
-    tokens = checkpointed(tokens.select("leaf", "variant", "d", "long", "p", F.xxhash64("token").alias("token")))
-    counts = tokens.select("leaf", "long", "p", "token", "d").distinct().groupBy("leaf", "long", "p", "token").agg(F.count("*").alias("c"))
-    counts = counts.where(F.col("c") >= F.when(F.col("long"), long_docs).otherwise(min_docs))
-    settled = variants.where(F.col("c") >= min_docs)
-    beside = settled.join(rare.select("leaf").distinct(), "leaf", "left_semi").select("leaf", "long", _words()).where(F.col("token") != WILD)
-    constant = counts.unionByName(beside.select("leaf", "long", "p", F.xxhash64("token").alias("token"), F.lit(min_docs).cast("bigint").alias("c")))
-    constant = constant.groupBy("leaf", "p", "token").agg(F.max("c").alias("c"))
-    hit = tokens.select("leaf", "variant", "p", "token").distinct().join(constant, ["leaf", "p", "token"])
-    shaped = hit.groupBy("leaf", "variant").agg(F.array_sort(F.collect_list(F.struct("p", "token", "c"))).alias("ts"))
-    shaped = variants.select("leaf", "variant", "n", "long").join(shaped, ["leaf", "variant"])
-    whole = F.filter(F.transform(F.split("general", " "), lambda t, i: F.struct(i.alias("p"), F.xxhash64(t).alias("token"), F.lit(min_docs).cast("bigint").alias("c"), (t == WILD).alias("wild"))), lambda x: ~x["wild"])
-    whole = F.transform(whole, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"), x["c"].alias("c")))
-    shaped = shaped.unionByName(settled.select("leaf", "variant", "n", "long", whole.alias("ts")))
+    wild = F.when(F.contains("general", F.lit(WILD)), F.regexp_count("general", F.lit(r"(?<![^ ])<\*>(?![^ ])"))).otherwise(0)
+    exact = F.when(F.col("spaced").rlike("[0-9]"), F.xxhash64("spaced", F.lit("exact")))
+    shared = checkpointed(shared.select("doc_id", "d", "pos", "leaf", "n", need.alias("need"), wild.alias("wild"), F.xxhash64("general").alias("variant"), "general", exact.alias("exact")))
+
+    # The documents of each variant. A leaf is open while one of its variants does not recur itself.
+    held_by = shared.select("leaf", "variant", "n", "need", "wild", "d").distinct()
+    variants = checkpointed(held_by.groupBy("leaf", "variant", "n", "need", "wild").agg(F.count("*").alias("c"), F.min("d").alias("one")))
+    open_leaves = checkpointed(variants.where("c < need").select("leaf").distinct())
+    opened = checkpointed(variants.join(_few(open_leaves), "leaf", "left_semi").select("leaf", "variant", "n", "need", "c", "one"))
+    settled = keep_keys(variants, open_leaves, "leaf", anti=True, few=FEW)
+    whole = settled.where((F.col("n") - F.col("wild")) / F.col("n") >= min_constant).select("variant", F.xxhash64("variant", F.lit("whole")).alias("template"), "need")
+
+    # Slots of rare variants with each of their documents, and of the others once.
+    chosen = shared.select("variant", "d", "general").join(_few(opened.select("variant", "c", "one")), "variant").where((F.col("c") < min_docs) | (F.col("d") == F.col("one")))
+    chosen = checkpointed(chosen.select("variant", "d", "general", (F.col("c") >= min_docs).alias("fixed")))
+    words = chosen.select("variant", "d", "fixed", F.posexplode(F.split("general", " ")).alias("p", "token")).where(F.col("token") != WILD)
+    leaf_of = opened.select("variant", "leaf")
+    slots = words.join(_few(leaf_of), "variant").select("variant", "d", "fixed", F.xxhash64("leaf", "p", "token").alias("slot"))
+    counts = slots.where("not fixed").select("slot", "d").distinct().groupBy("slot").agg(F.count("*").alias("c")).where(F.col("c") >= long_docs)
+    constant = counts.unionByName(slots.where("fixed").select("slot", F.lit(min_docs).cast("bigint").alias("c"))).groupBy("slot").agg(F.least(F.max("c"), F.lit(min_docs)).alias("c"))
+    hit = slots.select("variant", "slot").distinct().join(constant, "slot")
+    levels = sorted({min_docs, long_docs})
+    shaped = hit.groupBy("variant").agg(*[F.array_sort(F.collect_list(F.when(F.col("c") >= x, F.col("slot")))).alias(f"slots{x}") for x in levels])
+    shaped = shaped.join(opened.select("variant", "leaf", "n", "need"), "variant")
 
     def template(least: int) -> Column:
-        """(``template``, ``need``) of the tokens of ``least`` documents; null if they are too few of the line."""
-        fixed = F.transform(F.filter("ts", lambda x: x["c"] >= least), lambda x: F.struct(x["p"], x["token"]))
-        return F.when(F.size(fixed) / F.col("n") >= min_constant, F.struct(F.xxhash64("n", fixed, F.lit(least)).alias("template"), F.lit(least).alias("need")))
-
-    both = F.array_compact(F.array(template(min_docs), F.when(F.col("long") & F.lit(long_docs < min_docs), template(long_docs))))
-    templates = checkpointed(shaped.select("leaf", "variant", F.inline(both)))
-    shapes = shared.select("leaf", "variant", "doc_id", "d", "pos").join(templates, ["leaf", "variant"]).select("template", "need", "doc_id", "d", "pos")
-    need = F.when(F.col("long"), long_docs).otherwise(min_docs)
-    held = checkpointed(shapes.union(shared.where("exact is not null").select("exact", need.alias("need"), "doc_id", "d", "pos")))
+        """(``template``, ``need``) of the slots of ``least`` documents; null if they are too few of the line."""
+        fixed = F.col(f"slots{least}")
+        enough = (F.size(fixed) / F.col("n") >= min_constant) & (F.col("need") <= least)
+        return F.when(enough, F.struct(F.xxhash64("leaf", fixed, F.lit(least)).alias("template"), F.lit(least).alias("need")))
+
+    templates = checkpointed(whole.unionByName(shaped.select("variant", F.inline(F.array_compact(F.array(*[template(x) for x in levels]))))))
+    shapes = shared.select("doc_id", "d", "pos", "variant").join(_few(templates), "variant").select("template", "need", "doc_id", "d", "pos")
+    held = checkpointed(shapes.union(shared.where("exact is not null").select("exact", "need", "doc_id", "d", "pos")))
     per_doc = held.select("template", "need", "doc_id", "d").distinct().groupBy("template", "need").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "d")).alias("first")).where("c >= need")
     hit = held.join(per_doc.drop("c"), ["template", "need"])
     if keep_first:
@@ -125,7 +139,10 @@ def drop_recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     whole = F.col(text).cast("string")
     out = docs.join(dropped, document(docs[doc_id], docs[text].cast("string")) == dropped["__d"], "left")
     parts = F.split(whole, "\n")
-    kept = F.when(F.col("__drop").isNull(), whole).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
+    # The parts are bound to a name first, so that the text is not divided again for each line.
+    joined = F.transform(F.array(F.struct(parts.alias("ps"), stay.alias("at"))), lambda x: F.array_join(F.transform(x["at"], lambda i: F.get(x["ps"], i)), "\n"))[0]
+    kept = F.when(F.col("__drop").isNull(), whole).otherwise(joined)
     counts = {"n_lines": F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("bigint"), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint")}
     return out.withColumns({"__text": kept} | {f"__{k}": v for k, v in counts.items()}).select(
         *[F.col("__text").alias(text) if c == text else docs[c] for c in docs.columns if c not in counts], *[F.col(f"__{k}").alias(k) for k in counts])
