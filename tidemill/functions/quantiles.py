@@ -1,9 +1,12 @@
 """Exact quantiles of any number of columns without sorting or collecting them.
 
-Spark's ``percentile`` keeps every distinct value of a column in one task. Here a bounded sketch
-brackets the wanted order statistics, one scan counts what lies below and inside each bracket,
+Spark's ``percentile`` keeps every distinct value of a column in one task. Here bounded sketches
+bracket the wanted order statistics, one scan counts what lies below and inside each bracket,
 and the bracket is narrowed until the few distinct values left in it are safe to bring together.
 Each round is a scan with map-side aggregation only; nothing is shuffled by value until the end.
+
+Sketches are merged in two levels, first those of about sqrt(n) input partitions, then the sqrt(n)
+results, so no task reads a sketch of every partition.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.jobs import together
 
-ACCURACY = 1000
+ACCURACY, FINEST = 1000, 10_000
 FETCH_LIMIT = 200_000
 CHUNK = 12  # aggregates per job; larger ones outgrow what the JVM compiles
 
@@ -49,6 +52,36 @@ def run_aggregates(df: DataFrame, wanted: list[Column], chunk: int = CHUNK) -> l
     return [v for row in together([job(wanted[i : i + chunk]) for i in range(0, len(wanted), chunk)]) for v in row]
 
 
+def sketch_size(accuracy: int) -> int:
+    """The KLL parameter whose rank error is about ``1 / accuracy``, as far as sketches may grow."""
+    return max(64, min(65_535, int(2.5 * accuracy**1.1)))
+
+
+def partition_group() -> Column:
+    """A number for each input partition that about sqrt(n) neighbours share; there are about sqrt(n) numbers."""
+    return F.floor(F.sqrt(F.spark_partition_id().cast("double"))).cast("int")
+
+
+def sketched(df: DataFrame, values: list[Column], ranks: list[list[float]], accuracy: int, chunk: int = 4) -> list:
+    """Count, least value, largest value and approximate quantiles at ``ranks`` of each column, in one flat list."""
+    size = sketch_size(accuracy)
+
+    def job(at: int):
+        part = values[at : at + chunk]
+        rows = df.select(*[c.alias(f"v{i}") for i, c in enumerate(part)]).withColumn("__part", partition_group())
+        first, second, out = [], [], []
+        for i in range(len(part)):
+            v = F.col(f"v{i}")
+            first += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.kll_sketch_agg_double(v, size).alias(f"s{i}")]
+            second += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"a{i}").alias(f"a{i}"), F.max(f"b{i}").alias(f"b{i}"), F.kll_merge_agg_double(f"s{i}", size).alias(f"s{i}")]
+            wanted = F.array(*[F.lit(float(r)) for r in ranks[at + i]])
+            out += [F.coalesce(f"n{i}", F.lit(0)), F.col(f"a{i}"), F.col(f"b{i}"), F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), wanted))]
+        merged = rows.groupBy("__part").agg(*first).agg(*second)
+        return lambda: list(merged.select(*[c.alias(f"o{i}") for i, c in enumerate(out)]).first())
+
+    return [v for row in together([job(at) for at in range(0, len(values), chunk)]) for v in row]
+
+
 def exact_quantiles(
     df: DataFrame,
     targets: Mapping[str, Column],
@@ -66,17 +99,15 @@ def exact_quantiles(
     if not targets or not probs:
         return {t: [] for t in targets}
     # One plain column per target first, so that each expression is computed once per row and scan.
-    df = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(targets.values())])
+    df = df.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(targets.values())])
     numbers = {t: F.col(f"x{i}") for i, t in enumerate(targets)}
     margin = 3.0 / accuracy
     edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)})
     names = list(numbers)
-    wanted: list[Column] = []
-    for t in names:
-        x = numbers[t]
-        sketch = F.lit(None) if uniform else F.percentile_approx(x, edges, accuracy)
-        wanted += [F.count(x), F.min(x), F.max(x), sketch]
-    found = run_aggregates(df, wanted, 8)
+    if uniform:
+        found = run_aggregates(df, [c for t in names for x in [numbers[t]] for c in (F.count(x), F.min(x), F.max(x), F.lit(None))], 8)
+    else:
+        found = sketched(df, [numbers[t] for t in names], [edges] * len(names), accuracy)
     brackets: dict[tuple[str, float], _Bracket] = {}
     answers: dict[str, list[float | None]] = {t: [None] * len(probs) for t in names}
     span: dict[str, tuple[float, float]] = {}
@@ -142,22 +173,22 @@ def _narrow(df, numbers, brackets, span, accuracy, fetch_limit) -> None:
             distinct = [F.approx_count_distinct(F.when(b.member(numbers[b.name]), numbers[b.name])) for b in large.values()]
             large = {k: b for (k, b), d in zip(large.items(), run_aggregates(df, distinct, 8)) if d > per_bracket}
         if large:
-            # A finer sketch each round, so that a bracket always shrinks.
-            accuracy = min(10 * accuracy, 1_000_000)
+            # A finer sketch of what is left, up to the finest there is, so that a bracket always shrinks.
+            accuracy = min(10 * accuracy, FINEST)
             _resketch(df, numbers, large, accuracy)
         pending = {**wide, **large}
 
 
 def _resketch(df, numbers, brackets, accuracy) -> None:
     margin = 3.0 / accuracy
-    wanted = []
+    values, ranks = [], []
     for b in brackets.values():
         x = numbers[b.name]
-        low = max(0.0, (b.first - b.below) / b.inside - margin)
-        high = min(1.0, (b.last - b.below + 1) / b.inside + margin)
-        wanted.append(F.percentile_approx(F.when(b.member(x), x), [low, high], accuracy))
-    for b, (low, high) in zip(brackets.values(), run_aggregates(df, wanted)):
-        b.low, b.high = low, high
+        values.append(F.when(b.member(x), x))
+        ranks.append([max(0.0, (b.first - b.below) / b.inside - margin), min(1.0, (b.last - b.below + 1) / b.inside + margin)])
+    found = sketched(df, values, ranks, accuracy)
+    for i, b in enumerate(brackets.values()):
+        b.low, b.high = found[4 * i + 3]
 
 
 def _fetch(df, numbers, brackets) -> dict[tuple[str, float], list[tuple[float, int]]]:
@@ -206,5 +237,4 @@ def split_points(df: DataFrame, value: Column, buckets: int) -> list[float]:
         return []
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(ACCURACY, 10 * buckets)
-    cuts = df.agg(F.percentile_approx(value.cast("double"), probs, accuracy)).first()[0]
-    return sorted(set(cuts or []))
+    return sorted(set(sketched(df, [value.cast("double")], [probs], accuracy)[3] or []))

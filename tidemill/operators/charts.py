@@ -18,9 +18,11 @@ from tidemill.functions.columns import (
     share,
     tidy,
 )
+from tidemill.functions.grouped import Groups, grouped_quantiles
 from tidemill.functions.quantiles import exact_quantiles
 from tidemill.operators.correlation import correlation_matrix
 from tidemill.operators.profile import value_counts
+from tidemill.session import checkpointed
 
 
 def _bin(x: Column, low: float, high: float, bins: int) -> Column:
@@ -174,3 +176,31 @@ def box_plot(df: DataFrame, column: str | None = None, group_by: str | None = No
     if not rows:
         raise ValueError(f"column '{column}' has no values")
     return df.agg(*wanted).select(F.inline(F.array(*rows)))
+
+
+def group_box_plots(df: DataFrame, column: str, group_by: str, groups: Sequence[str] | None = None) -> DataFrame:
+    """The box of every group, or of the named ones, one row each, however many there are.
+
+    Columns are those of ``box_plot``; the share of outliers is that of the group's values. Rows without a group make up
+    none. Groups without a value have no row.
+    """
+    require_numeric(df, [column])
+    require(df, [group_by])
+    rows = df.select(name(group_by).cast("string").alias("g"), present(column, df.schema[column].dataType).cast("double").alias("x"))
+    rows = rows.where("g is not null and x is not null")
+    if groups is not None:
+        rows = rows.where(F.col("g").isin(list(groups)))
+    boxes = grouped_quantiles(rows, F.col("g"), F.col("x"), [0.25, 0.5, 0.75])
+    iqr = F.col("q")[2] - F.col("q")[0]
+    boxes = boxes.select("g", "n", "q", iqr.alias("iqr"), (F.col("q")[0] - 1.5 * iqr).alias("low"), (F.col("q")[2] + 1.5 * iqr).alias("high"))
+    held = Groups.counted(checkpointed(boxes))
+    x = F.col("x")
+    within = (x >= F.col("low")) & (x <= F.col("high"))
+    ends = held.join(rows, F.col("g"), ["low", "high"]).groupBy("g").agg(
+        F.min(F.when(within, x)).alias("whisker_low"), F.max(F.when(within, x)).alias("whisker_high"), F.count_if(~within).alias("outlier_count"))
+    q, near = [F.col("q")[i] for i in range(3)], lambda v: tidy(F.round(v, 7), 4)  # noqa: E731  a quarter of a large number is not exact
+    return held.table.join(ends, "g").select(
+        F.col("g").alias("group"), F.col("n").alias("count"), *[near(v).alias(k) for k, v in zip(("q1", "median", "q3"), q)], near(F.col("iqr")).alias("iqr"),
+        near(F.col("low")).alias("lower_bound"), near(F.col("high")).alias("upper_bound"), "whisker_low", "whisker_high", "outlier_count",
+        share(F.col("outlier_count"), F.col("n")).alias("outlier_percentage"),
+    )

@@ -21,10 +21,12 @@ from tidemill.functions.order import (
     with_bucket,
 )
 from tidemill.functions.quantiles import run_aggregates
+from tidemill.session import checkpointed
 
 WIDE = 12  # above this many columns, per-task matrix products replace one sum per pair
 SUMS_PER_JOB = 15  # larger aggregates outgrow what the JVM compiles; a job reads only its own columns
 METHODS = ("pearson", "spearman", "kendall")
+ONE_TASK_POINTS = 50_000  # distinct points up to which Kendall's pairs are counted without ranges
 
 
 def _values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -177,8 +179,7 @@ def kendall_tau(df: DataFrame, a: str, b: str, parts: tuple[int, int] | None = N
             counts = with_bucket(with_bucket(counts, F.col(axis), cuts, "b" + axis), F.col(axis), finer, "f" + axis)
         score = _within(counts, ["fx"], "x", "y")
         if coarse > 1:
-            # At most (2 x coarse) squared cells reach the driver.
-            score += _between_ranges(counts.groupBy("bx", "by").agg(F.sum("n").alias("n")).collect())
+            score += _between_ranges(counts, coarse)
             score += _within(counts, ["fy"], "bx", "y")
         if fine > 1:
             score += _within(counts, ["bx"], "fx", "by")
@@ -200,25 +201,24 @@ def _tied_pairs(merged: DataFrame, axis: str) -> float:
 def _part_counts(spark, distinct: int, rows: int) -> tuple[int, int]:
     """Coarse ranges, and fine ones in each, so that a finest range holds about a million points.
 
-    Up to a million distinct points one task counts everything.
+    A few distinct points are counted by one task.
     """
-    if distinct <= 1_000_000:
+    if distinct <= ONE_TASK_POINTS:
         return 1, 1
     coarse = min(1000, range_count(spark, rows))
     return coarse, min(1000, math.ceil(rows / coarse / 1_000_000))
 
 
-def _between_ranges(cells: list) -> float:
-    """Concordant minus discordant pairs whose ranges differ on both axes, from range counts."""
-    bx, by, n = (np.array([r[i] for r in cells]) for i in range(3))
-    grid = np.zeros((bx.max() + 1, by.max() + 1))
-    grid[bx, by] = n
-    left = np.zeros_like(grid)
-    left[1:] = np.cumsum(grid, axis=0)[:-1]
-    below = np.zeros_like(grid)
-    below[:, 1:] = np.cumsum(left, axis=1)[:, :-1]
-    above = left.sum(axis=1, keepdims=True) - below - left
-    return float((grid * (below - above)).sum())
+def _between_ranges(counts: DataFrame, coarse: int) -> float:
+    """Concordant minus discordant pairs whose ranges differ on both axes, from range counts.
+
+    The cells are cut into about ``sqrt`` as many blocks on each axis. Pairs of one block row or column are counted there; the
+    pairs left differ in both blocks, of which there are no more than ranges.
+    """
+    width = math.ceil(math.sqrt(2 * coarse))
+    cells = counts.groupBy("bx", "by").agg(F.sum("n").alias("n"))
+    cells = checkpointed(cells.withColumn("cx", F.floor(F.col("bx") / width)).withColumn("cy", F.floor(F.col("by") / width)).withColumn("all", F.lit(0)))
+    return _within(cells, ["cx"], "bx", "by") + _within(cells, ["cy"], "cx", "by") + _within(cells, ["all"], "cx", "cy")
 
 
 def _within(counts: DataFrame, group: list[str], x: str, y: str) -> float:

@@ -25,12 +25,16 @@ from tidemill.functions.columns import (
     tidy,
     type_class,
 )
+from tidemill.functions.grouped import Groups, grouped_quantiles
 from tidemill.functions.quantiles import exact_quantiles
 from tidemill.operators.features import Fitted, apply_all, fit_features, known_target, label_size, with_code
 from tidemill.operators.metrics import classification_metrics, regression_metrics, roc_auc
 from tidemill.operators.profile import problem_type
+from tidemill.session import checkpointed
 
+#: Most classes that a model can have, as each has scores of its own in it. Splits and folds have no such bound.
 MAX_CLASSES = 1_000
+FEW_CLASSES = 50  # classes whose limits are found side by side
 WORKERS = 4  # fits that run side by side; each one is a sequence of distributed jobs
 
 # Names used for the same role elsewhere, and the trainer here that fills the role.
@@ -50,30 +54,38 @@ GRIDS: dict[str, dict[str, list]] = {
 # Splits
 
 
-def split_condition(
-    df: DataFrame, target: str, key: Sequence[str], test_size: float, seed: int, stratify: bool, labels: Sequence[str] | None = None
-) -> Column:
-    """True for test rows. Every row's side depends on its key alone, not on partitioning."""
+def with_test_side(
+    df: DataFrame, target: str, key: Sequence[str], test_size: float, seed: int, stratify: bool, labels: Sequence[str] | None = None, out: str = "__test"
+) -> DataFrame:
+    """Add a flag that is true for test rows. Every row's side depends on its key alone, not on partitioning."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
     unit = hash_unit(key, seed)
     if not stratify:
-        return unit < F.lit(float(test_size))
+        return df.withColumn(out, unit < F.lit(float(test_size)))
     # Each label gets its own threshold, so its share of test rows is exact to one row.
-    limits = class_limits(df, target, unit, [test_size], labels)
-    return F.coalesce(unit < limits[0], F.lit(False))
+    rows = with_class_limits(df, target, unit, [test_size], labels)
+    return rows.withColumn(out, F.coalesce(unit < F.col("__limits")[0], F.lit(False))).drop("__limits")
+
 
+def with_class_limits(df: DataFrame, target: str, unit: Column, probs: Sequence[float], labels: Sequence[str] | None = None) -> DataFrame:
+    """Add ``__limits``, the quantiles of ``unit`` within each row's class as an array, null for rows without a class.
 
-def class_limits(df: DataFrame, target: str, unit: Column, probs: Sequence[float], labels: Sequence[str] | None = None) -> Column:
-    """The quantiles of ``unit`` within each row's class as an array, NULL for rows without a class."""
-    label = name(target).cast("string")
-    labels = class_labels(df, target) if labels is None else labels
+    A few classes are conditional targets of the same scans; any number of them is a table keyed by class.
+    """
+    label = present(target, df.schema[target].dataType).cast("string")
+    if labels is None:
+        found = df.select(label.alias("s")).where("s is not null").distinct().limit(FEW_CLASSES + 1).collect()
+        labels = [r["s"] for r in found]
+    if len(labels) > FEW_CLASSES:
+        held = Groups.counted(checkpointed(grouped_quantiles(df, label, unit, probs, uniform=True)))
+        return held.join(df.withColumn("__class", label), F.col("__class"), ["q"], "__").withColumnRenamed("__q", "__limits").drop("__class")
     limits = exact_quantiles(df, {v: F.when(label == F.lit(v), unit) for v in labels}, probs, uniform=True)
     known = [(v, limits[v]) for v in labels if None not in limits[v]]
     if not known:
-        return F.lit(None).cast("array<double>")
+        return df.withColumn("__limits", F.lit(None).cast("array<double>"))
     entries = F.create_map(*[x for v, cuts in known for x in (F.lit(v), F.array(*[F.lit(float(t)) for t in cuts]))])
-    return F.try_element_at(entries, label)
+    return df.withColumn("__limits", F.try_element_at(entries, label))
 
 
 def train_test(
@@ -83,8 +95,8 @@ def train_test(
     """Rows with a known target, divided by key hash."""
     require(df, [target, *(key or [])])
     rows = known_target(df, target)
-    test = split_condition(rows, target, key or row_key(df), test_size, seed, stratify, labels)
-    return rows.filter(~test), rows.filter(test)
+    rows = with_test_side(rows, target, key or row_key(df), test_size, seed, stratify, labels)
+    return rows.filter(~F.col("__test")).drop("__test"), rows.filter(F.col("__test")).drop("__test")
 
 
 def split_statistics(
@@ -94,8 +106,8 @@ def split_statistics(
     """Sizes of both sides, then class shares or target statistics, as (statistic, item, value)."""
     require(df, [target])
     kind = stated_problem(df, target, problem)
-    rows = known_target(df, target)
-    test = split_condition(rows, target, key or row_key(df), test_size, seed, stratify and kind == "classification")
+    rows = with_test_side(known_target(df, target), target, key or row_key(df), test_size, seed, stratify and kind == "classification")
+    test = F.col("__test")
     sizes = rows.agg(F.count("*").cast("double").alias("n"), F.count_if(test).cast("double").alias("t")).select(
         F.inline(
             F.array(
@@ -145,10 +157,10 @@ def with_folds(
     drawn = F.least(F.floor(unit * k), F.lit(k - 1)).cast("int")
     if stratify_by is None:
         return df.withColumn(out, drawn)
-    cuts = class_limits(df, stratify_by, unit, [i / k for i in range(1, k)], labels)
-    return df.withColumn("__u", unit).withColumn(
+    cuts = F.col("__limits")
+    return with_class_limits(df, stratify_by, unit, [i / k for i in range(1, k)], labels).withColumn("__u", unit).withColumn(
         out, F.when(cuts.isNull(), drawn).otherwise(F.size(F.filter(cuts, lambda t: t <= F.col("__u"))))
-    ).drop("__u")
+    ).drop("__u", "__limits")
 
 
 def bounded(df: DataFrame, key: Sequence[str], max_rows: int | None, seed: int = 42) -> DataFrame:

@@ -174,3 +174,39 @@ def _(spark, folder):
 @query("box_plot", BOX.replace("event_type g,", "'value' g,").replace("group by 1)", ")").replace("join l on event_type = g", "cross join l"))
 def _(spark, folder):
     return charts.box_plot(table(spark, folder, "events").select("value"))
+
+
+def group_box_sql(table_name: str, column: str, group: str) -> str:
+    """The box of every group; the share of outliers is that of the group's values."""
+    out = BOX.replace("event_type", f"{group}::varchar").replace("events", table_name).replace("any_value", "any_").replace("value", column).replace("any_", "any_value")
+    # A quarter of a large number is not exact: seven places are rounded off first.
+    out = out.replace(f"(select count(*) from {table_name})", f"count({column})").replace("decimal(38,10)", "decimal(38,7)")
+    return out.replace(f"from {table_name} group by 1", f"from {table_name} where {group} is not null group by 1")
+
+
+@query("box_plot_every_customer", group_box_sql("orders", "o_totalprice", "o_custkey"))
+def _(spark, folder):
+    return charts.group_box_plots(table(spark, folder, "orders"), "o_totalprice", "o_custkey")
+
+
+@query("box_plot_every_flag", group_box_sql("lineitem", "l_extendedprice", "l_returnflag"))
+def _(spark, folder):
+    return charts.group_box_plots(table(spark, folder, "lineitem"), "l_extendedprice", "l_returnflag")
+
+
+def sorted_tau(a: str, b: str) -> str:
+    """Tau-b by sorting: two points first differ at one bit of the rank of y, and are counted there, zeros before ones."""
+    return f"""select '{a}' as a, '{b}' as b, (select sum(case when o then zb else -ob end) from (
+        select (y >> bit) & 1 = 1 as o, sum(case when (y >> bit) & 1 = 0 then 1 else 0 end) over (partition by bit, y >> (bit + 1) order by x) - sum(case when (y >> bit) & 1 = 0 then 1 else 0 end) over (partition by bit, y >> (bit + 1), x) as zb,
+          sum((y >> bit) & 1) over (partition by bit, y >> (bit + 1) order by x) - sum((y >> bit) & 1) over (partition by bit, y >> (bit + 1), x) as ob
+        from (select {a} as x, (dense_rank() over (order by {b}) - 1)::bigint as y from lineitem), (select unnest(range(0, 24))::bigint as bit)))
+      / sqrt(((select count(*)::double * (count(*) - 1) / 2 from lineitem) - (select sum(n * (n - 1) / 2.0) from (select count(*)::double n from lineitem group by {a})))
+           * ((select count(*)::double * (count(*) - 1) / 2 from lineitem) - (select sum(n * (n - 1) / 2.0) from (select count(*)::double n from lineitem group by {b})))) as r"""
+
+
+NUMBER_PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
+
+
+@query("correlation_kendall_prices", analysis_sql("kendall", " union all ".join(sorted_tau(a, b) for a, b in NUMBER_PAIRS), 0.0))
+def _(spark, folder):
+    return correlation.correlation_analysis(table(spark, folder, "lineitem"), "kendall", 0.0, NUMBERS)

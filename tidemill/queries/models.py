@@ -69,6 +69,30 @@ def _(spark, folder):
     return rows.groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
 
 
+@query(
+    "split_statistics_many_classes",
+    f"""with u as (select o_custkey s, {ORDER_UNIT} u from orders), q as (select s, quantile_cont(u, 0.25) t from u group by s),
+    k as (select u.s, u < t as test from u join q on u.s = q.s)
+    select 'rows' as statistic, 'total' as item, count(*)::double as value from k
+    union all select 'rows', 'train', count(*)::double from k where not test
+    union all select 'rows', 'test', count(*)::double from k where test
+    union all select 'class_share', s::varchar, {rd('count(*)::double / (select count(*) from k)', 3)} from k group by s""",
+)
+def _(spark, folder):
+    return modeling.split_statistics(table(spark, folder, "orders"), "o_custkey", ["o_orderkey"], 0.25, stratify=True, problem="classification")
+
+
+@query(
+    "fold_sizes_many_classes",
+    f"""with u as (select o_custkey s, {ORDER_UNIT} u from orders), q as (select s, quantile_cont(u, [0.2, 0.4, 0.6, 0.8]) t from u group by s)
+    select s as o_custkey, ((u >= t[1])::int + (u >= t[2])::int + (u >= t[3])::int + (u >= t[4])::int)::int as fold, count(*) as n
+    from u join q using (s) group by 1, 2""",
+)
+def _(spark, folder):
+    rows = modeling.with_folds(table(spark, folder, "orders"), ["o_orderkey"], 5, stratify_by="o_custkey")
+    return rows.groupBy("o_custkey", "fold").agg(F.count("*").alias("n"))
+
+
 # Predictions by a fixed rule, so that the metrics can be checked on their own.
 GUESS = "(select l_returnflag as label, case when l_quantity > 34 then 'A' when l_quantity > 17 then 'N' else 'X' end as guess from lineitem)"
 
