@@ -27,6 +27,8 @@ from tidemill.functions.columns import (
 )
 from tidemill.functions.grouped import Groups, grouped_quantiles
 from tidemill.functions.quantiles import exact_quantiles
+from tidemill.operators.kernel import KernelMachine, KernelSVM
+from tidemill.operators.leafwise import LeafwiseBoosting, LeafwiseTrees
 from tidemill.operators.features import Fitted, apply_all, fit_features, known_target, label_size, with_code
 from tidemill.operators.metrics import classification_metrics, regression_metrics, roc_auc
 from tidemill.operators.profile import problem_type
@@ -39,7 +41,7 @@ WORKERS = 4  # fits that run side by side; each one is a sequence of distributed
 
 # Names used for the same role elsewhere, and the trainer here that fills the role.
 ALIASES = {"xgboost": "gbt", "lightgbm": "gbt_deep", "logistic": "logistic_regression", "linear": "logistic_regression", "linear_regression": "logistic_regression"}
-MODELS = ("random_forest", "gbt", "gbt_deep", "logistic_regression", "svm")
+MODELS = ("random_forest", "gbt", "gbt_deep", "logistic_regression", "svm", "linear_svm")
 
 # The search grid of each model.
 GRIDS: dict[str, dict[str, list]] = {
@@ -48,6 +50,7 @@ GRIDS: dict[str, dict[str, list]] = {
     "gbt_deep": {"n_estimators": [50, 100], "num_leaves": [31, 63], "learning_rate": [0.05, 0.1]},
     "logistic_regression": {"C": [0.01, 0.1, 1, 10]},
     "svm": {"C": [0.1, 1, 10]},
+    "linear_svm": {"C": [0.1, 1, 10]},
 }
 
 
@@ -301,19 +304,18 @@ def build_estimator(model: str, kind: str, classes: int, rows: int, params: Mapp
             minInstancesPerNode=max(1, p.pop("min_samples_split", 2) // 2),
             seed=seed,
         )
-    elif model in ("gbt", "gbt_deep"):
+    elif model == "gbt_deep":
+        names = ("n_estimators", "num_leaves", "learning_rate", "max_depth")
+        est = LeafwiseBoosting(kind, classes, **{k: p.pop(k) for k in names if k in p})
+    elif model == "svm":
+        names = ("C", "gamma", "epsilon", "n_features", "max_iter")
+        est = KernelSVM(kind, classes, **{k: p.pop(k) for k in names if k in p}, seed=seed)
+    elif model == "gbt":
         cls = mlc.GBTClassifier if classify else mlr.GBTRegressor
-        leaves = p.pop("num_leaves", 31)
-        default_depth = math.ceil(math.log2(leaves)) if model == "gbt_deep" else 6
-        est = cls(
-            maxIter=p.pop("n_estimators", 100),
-            maxDepth=p.pop("max_depth", default_depth),
-            stepSize=p.pop("learning_rate", 0.1 if model == "gbt_deep" else 0.3),
-            seed=seed,
-        )
+        est = cls(maxIter=p.pop("n_estimators", 100), maxDepth=p.pop("max_depth", 6), stepSize=p.pop("learning_rate", 0.3), seed=seed)
         if classify and classes > 2:
             est = mlc.OneVsRest(classifier=est, parallelism=WORKERS)
-    elif model == "svm":
+    elif model == "linear_svm":
         strength = 1.0 / (p.pop("C", 1.0) * max(rows, 1))
         if classify:
             est = mlc.LinearSVC(maxIter=p.pop("max_iter", 100), regParam=strength)
@@ -617,6 +619,8 @@ def importances(trained: TrainedModel) -> list[tuple[str, float]]:
 
 
 def _weights(fitted) -> list[float]:
+    if isinstance(fitted, (KernelMachine, LeafwiseTrees)):
+        return fitted.input_weights
     if hasattr(fitted, "featureImportances"):
         return [float(v) for v in fitted.featureImportances.toArray()]
     if hasattr(fitted, "coefficientMatrix") and fitted.numClasses > 2:

@@ -177,12 +177,12 @@ def _(spark, folder):
 
 
 def lines(spark, folder):
-    li = table(spark, folder, "lineitem")
-    return li.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    return table(spark, folder, "lineitem")
 
 
 LINE_KEY = ["l_orderkey", "l_partkey", "l_extendedprice"]
-OUT = ["l_orderkey", "l_partkey"]
+#: Keys of other tables say nothing about a line; all other columns are features.
+OUT = ["l_orderkey", "l_partkey", "l_suppkey"]
 
 
 @query(
@@ -339,8 +339,8 @@ def _(spark, folder):
 @query("auto_train")
 def _(spark, folder):
     found = modeling.auto_train(
-        lines(spark, folder), "l_linestatus", 5, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "logistic_regression"),
-        params={"gbt": FEW_ROUNDS}, max_rows=FIT_ROWS,
+        lines(spark, folder), "l_linestatus", 5, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "gbt_deep", "logistic_regression"),
+        params={"gbt": FEW_ROUNDS, "gbt_deep": {"n_estimators": 5}}, max_rows=FIT_ROWS,
     )
     return found.results
 
