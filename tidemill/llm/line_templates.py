@@ -119,7 +119,7 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     shapes = shared.select("doc_id", "d", "pos", "variant").join(_few(templates), "variant").select("template", "need", "doc_id", "d", "pos")
     held = checkpointed(shapes.union(shared.where("exact is not null").select("exact", "need", "doc_id", "d", "pos")))
     per_doc = held.select("template", "need", "doc_id", "d").distinct().groupBy("template", "need").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "d")).alias("first")).where("c >= need")
-    hit = held.join(per_doc.drop("c"), ["template", "need"])
+    hit = held.join(_few(checkpointed(per_doc.drop("c"))), ["template", "need"])
     if keep_first:
         hit = hit.where(F.col("d") != F.col("first.d"))
     return hit.groupBy("d").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
