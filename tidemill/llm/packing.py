@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from tidemill.llm import words as w
 
 BLOCK_TOKENS = 1 << 20
-CACHE_PARTS = 400_000
+#: Distinct words that a Python worker remembers, before it starts anew.
+CACHE_WORDS = 2_000_000
 
 
-#: How the tokenizer's own pattern cuts a lower-cased text of ASCII and Latin-1 letters; words with other characters go to it whole.
+#: How the tokenizer's own pattern cuts a lower-cased text of ASCII and Latin-1 letters; texts with other characters go to it whole.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~']+")
 PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 WORD_END = "</w>"
@@ -36,9 +37,9 @@ WORD_END = "</w>"
 class WordTokens:
     """Ids of whole texts as little-endian 32-bit numbers, for a lower-casing tokenizer that never joins across white space.
 
-    A text is cut into parts as the tokenizer would cut it, and each distinct part is encoded once by
-    the tokenizer and remembered. Many parts go to it as one text; the last id of each part is known
-    by its word end.
+    Each distinct word is cut into parts as the tokenizer would cut it, encoded once by the tokenizer and remembered by its hash;
+    the ids of a text are gathered from those of its words. Many parts go to the tokenizer as one text; the last id of each
+    part is known by its word end.
     """
 
     def __init__(self, path: str):
@@ -52,38 +53,109 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab(True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.parts: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is known. ``known`` holds sorted hashes, and ``start`` and ``size`` where each word's ids are in ``ids``."""
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """Where sorted ``hashes`` are known, -1 for unknown ones."""
+        at = np.searchsorted(self.known, hashes)
+        found = np.flatnonzero(at < len(self.known))
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        found = found[self.known[at[found]] == hashes[found]]
+        out[found] = at[found]
+        return out
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            own = new[at : at + 20_000]
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Add sorted unknown ``hashes`` with their ids, one after the other."""
+        at = np.searchsorted(self.known, hashes)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        self.known, self.start, self.size = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
+
+    def _learn_parts(self, parts: list[str]) -> np.ndarray:
+        """The hashes of distinct parts; those not known yet go to the tokenizer."""
+        c = w.cut([" ".join(parts).encode()], w.SPACED, lower=False)
+        hashes = w.word_hashes(c)
+        order = np.argsort(hashes)
+        order = order[self._place(hashes[order]) < 0]
+        found, size = [], []
+        for at in range(0, len(order), 20_000):
+            own = [parts[i] for i in order[at : at + 20_000].tolist()]
             ids = np.array(self.cutter.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            data, first = ids.tobytes(), 0
-            for part, end in zip(own, last.tolist(), strict=True):
-                self.parts[part] = data[first:end]
-                first = end
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(own):
+                raise RuntimeError("the tokenizer joins or splits parts")
+            found.append(ids)
+            size.append(np.diff(ends, prepend=0))
+        if found:
+            self._remember(hashes[order], np.concatenate(found), np.concatenate(size))
+        return hashes
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after the other, and the end of each."""
+        size = self.size[at]
+        upto = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(size, out=upto[1:])
+        return self.ids[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Cut sorted unknown words into parts, of which only distinct new ones are encoded."""
+        cut = [PARTS.findall(x.decode().lower()) for x in words]
+        numbers: dict[str, int] = {}
+        flat = np.fromiter((numbers.setdefault(x, len(numbers)) for c in cut for x in c), dtype=np.int64)
+        part_hashes = self._learn_parts(list(numbers))
+        # A word of one part may be known by now.
+        new = self._place(hashes) < 0
+        per_word = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        at = np.searchsorted(self.known, part_hashes)[flat[np.repeat(new, per_word)]]
+        ids, upto = self._gather(at)
+        last = np.cumsum(per_word[new])
+        self._remember(hashes[new], ids, upto[last] - upto[last - per_word[new]])
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        c = w.cut(texts, w.SPACED, lower=True)
+        hashes, first, word = np.unique(w.word_hashes(c), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > CACHE_WORDS:
+            self.forget()
+        new = np.flatnonzero(self._place(hashes) < 0)
+        if len(new):
+            self._learn(hashes[new], [c.data[c.start[i] : c.end[i]] for i in first[new].tolist()])
+        ids, upto = self._gather(np.searchsorted(self.known, hashes)[word])
+        data = ids.tobytes()
+        ends = (upto[c.first] * 4).tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        cut, whole = [], {}
+        plain, whole = [], {}
         for i, t in enumerate(texts):
             text = t.decode() if t else ""
             if PLAIN.fullmatch(text) and "<|" not in text:
-                cut.append(PARTS.findall(text.lower()))
+                plain.append(t or b"")
             else:
-                cut.append([])
                 whole[i] = text
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
-        known = self.parts
-        self._learn(list(set().union(*cut).difference(known)))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+                plain.append(b"")
+        out = self._plain(plain) if plain else []
         found = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False) if whole else []
         for i, e in zip(whole, found):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
 
+_MADE: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The encoder of this Python worker, with the words that earlier tasks have taught it."""
+    if path not in _MADE:
+        _MADE[path] = WordTokens(path)
+    return _MADE[path]
+
+
 @dataclass
 class Piece:
     doc: int
@@ -191,7 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
         pool, ids, names, held = Pool(), {}, {}, 0
         schema = None
