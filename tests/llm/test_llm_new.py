@@ -188,3 +188,61 @@ def test_segment_bounds_hold_and_filter():
     i, j, s = filtered.pairs(b, hard_negatives.summaries(b), np.ones(exact.shape, dtype=bool), low, high)
     assert sorted(zip(i, j, s)) == sorted((x, y, exact[x, y]) for x, y in zip(*np.nonzero((exact >= low) & (exact <= high))))
     assert filtered.scored < exact.size / 2
+
+
+def test_rows_without_an_id_go_by_their_texts(spark):
+    from tidemill.llm import decontaminate, quality_rules
+
+    item = "what is the capital of the great river country in the north today"
+    clean, dirty = "nothing of the kind stands in this text at all my friend", f"well {item} he asked"
+    docs = spark.createDataFrame([(None, clean), (None, dirty), (1, clean), (2, dirty), (2, clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, items)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(None, clean), (1, clean)], key=str) and left.columns == docs.columns
+    good = " ".join(f"word{i} and{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, good), (None, "too short"), (3, good)], "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    assert sorted((r.doc_id is None, r.text) for r in quality_rules.keep_good(docs).collect()) == [(False, good), (True, good)]
+
+
+def test_every_stage_takes_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_moments_give_the_plain_determinant_estimate(spark):
+    """One group against C-steps in numpy, with exact quantiles in place of sketches (equal up to their error)."""
+    from tidemill.llm import quality_rules as q
+
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.multivariate_normal([1, 2], [[1, 0.6], [0.6, 1]], 900), rng.normal(9, 0.2, (100, 2))])
+    floors = [0.01, 0.01]
+    rows = spark.createDataFrame([(1, 1.0, float(a), float(b)) for a, b in x], "g long, weight double, a double, b double")
+    model = q.estimate(rows, ["g"], ["a", "b"], floors, True).first()
+    mid = np.median(x, axis=0)
+    scale = np.maximum(np.median(np.abs(x - mid), axis=0) * 1.4826, floors)
+    z = (x - mid) / scale
+    best = None
+    for start in (np.tanh(z), z / (np.linalg.norm(z, axis=1)[:, None] + 1e-9), np.zeros_like(z)):
+        spread = start.var(axis=0)
+        shape = np.clip(np.cov(start.T, bias=True) / np.outer(np.sqrt(np.maximum(spread, 1e-12)), np.sqrt(np.maximum(spread, 1e-12))), -0.95, 0.95)
+        np.fill_diagonal(shape, 1)
+        mean, cov = mid, shape * np.outer(scale, scale) + np.diag(np.array(floors) ** 2)
+        for _ in range(q.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            inner = x[d <= np.quantile(d, q.SHARE, method="inverted_cdf")]
+            mean, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) + np.diag(np.array(floors) ** 2)
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = (np.linalg.slogdet(cov)[1], mean, cov)
+    scale_of = lambda mean, cov: np.median(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)) / q.chi_square(0.5, 2)
+    d = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    inner = x[d <= scale_of(*best[1:]) * q.chi_square(0.975, 2)]
+    mean, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) + np.diag(np.array(floors) ** 2)
+    assert model.mu == pytest.approx(mean, abs=0.02)
+    assert np.reshape(model.precision, (2, 2)) == pytest.approx(np.linalg.inv(cov), rel=0.05, abs=0.02)
+    # The planted tenth is far outside, the others are not.
+    far = np.einsum("ij,jk,ik->i", x - model.mu, np.reshape(model.precision, (2, 2)), x - model.mu) / model.scale
+    assert far[900:].min() > 3 * q.chi_square(0.999, 2) and np.mean(far[:900] < q.chi_square(0.999, 2)) > 0.98

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.llm import words as w
-from tidemill.llm.tables import checkpointed
+from tidemill.llm.tables import checkpointed, keep_keys, with_document
 
 #: Bytes of item text whose windows one task holds at a time; a larger benchmark goes in blocks.
 BLOCK_BYTES = 8 << 20
@@ -224,8 +224,8 @@ def n_hit(spans: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a window of an item. Rows with one id go together."""
-    from tidemill.llm.tables import keep_keys
-
-    found = checkpointed(find_passages(docs, items, **options).where(F.size("spans") > 0).select("doc_id").distinct())
-    return keep_keys(docs, found, options.get("doc_id", "doc_id"), anti=True)
+    """``docs`` without those that hold a window of an item. Rows with one id go together; a row without an id goes by its text."""
+    known = with_document(docs, options.pop("doc_id", "doc_id"), options.get("text", "text"))
+    found = find_passages(known, items, doc_id="__document", **options).where(F.size("spans") > 0)
+    found = checkpointed(found.select(F.col("doc_id").alias("__document")).distinct())
+    return keep_keys(known, found, "__document", anti=True).select(*docs.columns)

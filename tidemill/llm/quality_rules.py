@@ -18,11 +18,11 @@ from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.llm.stats import COUNTS, text_stats
-from tidemill.llm.tables import checkpointed, keep_keys
+from tidemill.llm.tables import checkpointed, keep_keys, with_document
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -35,7 +35,7 @@ TAIL_FACTOR = 6.0
 FEATURES: dict[str, float] = {"word_length": 0.06, "symbols": 0.03, "repeats": 0.15, "dup_lines": 0.30, "capitals": 0.04, "punctuation": 0.04}
 #: Words at which a document's own statistics weigh as much as chance: its squared distance counts n / (n + NOISE_WORDS).
 NOISE_WORDS = 150
-GROUP_ROWS = 100_000
+GROUP_ROWS, GROUPS_OF_A_TASK = 100_000, 20
 
 
 def _arc(part: Column, whole: Column) -> Column:
@@ -86,81 +86,81 @@ def _moments(values: Sequence[Column]) -> list[Column]:
         F.sum(values[i] * values[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]
 
 
-def _matrix(row: dict, d: int) -> tuple[np.ndarray, np.ndarray]:
-    n = max(1, row["n"])
-    mean = np.array([row[f"s{i}"] for i in range(d)]) / n
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / n - mean[i] * mean[j]
-    return mean, cov
-
-
-def _solved(moments: DataFrame, keys: list[str], floors: list[float], scales: bool) -> DataFrame:
-    """Centre, inverse covariance and log determinant for each row of sums.
+def _solved(moments: DataFrame, keys: list[str], floors: list[float], scales: bool, tasks: int) -> DataFrame:
+    """Centre, inverse covariance and log determinant for each row of sums, in ``tasks`` tasks.
 
     With ``scales`` the sums are of bounded scores, of which only the correlations are used, and
     ``mid`` and ``scale`` of the row give centre and spread.
     """
     d, floor = len(floors), np.array(floors) ** 2
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moments.select(*keys).schema.fields)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    lists = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+            n = np.maximum(1.0, column("n"))
+            means = np.stack([column(f"s{i}") / n for i in range(d)], axis=1)
+            products = {(i, j): column(f"s{i}_{j}") / n for i in range(d) for j in range(i, d)}
             mus, precisions, dets = [], [], []
-            for row in frame.to_dict("records"):
-                mean, cov = _matrix(row, d)
+            for r in range(batch.num_rows):
+                mean, cov = means[r], np.zeros((d, d))
+                for (i, j), v in products.items():
+                    cov[i, j] = cov[j, i] = v[r] - mean[i] * mean[j]
                 if scales:
-                    spread = np.array(row["scale"])
+                    spread = np.array(batch.column("scale")[r].as_py())
                     own = np.sqrt(np.maximum(np.diag(cov), 1e-12))
                     shape = np.clip(cov / np.outer(own, own), -0.95, 0.95)
                     np.fill_diagonal(shape, 1.0)
                     low, axes = np.linalg.eigh(shape)
                     shape = axes @ np.diag(np.maximum(low, 0.05)) @ axes.T
-                    mean, cov = np.array(row["mid"]), shape * np.outer(spread, spread)
+                    mean, cov = np.array(batch.column("mid")[r].as_py()), shape * np.outer(spread, spread)
                 cov = cov + np.diag(floor)
                 mus.append(mean.tolist())
                 precisions.append(np.linalg.inv(cov).ravel().tolist())
                 dets.append(float(np.linalg.slogdet(cov)[1]))
-            yield frame[keys].assign(mu=mus, precision=precisions, det=dets)
+            found = [pa.array(mus, type=lists), pa.array(precisions, type=lists), pa.array(dets, type=pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + found, names=[*keys, "mu", "precision", "det"])
 
-    return moments.mapInPandas(run, f"{kinds}, mu array<double>, precision array<double>, det double")
+    # Shuffled by group before; these are few rows in many partitions.
+    return moments.coalesce(tasks).mapInArrow(run, f"{kinds}, mu array<double>, precision array<double>, det double")
 
 
-def estimate(rows: DataFrame, keys: list[str], names: list[str], floors: list[float], few: bool, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def estimate(rows: DataFrame, keys: list[str], names: list[str], floors: list[float], few: bool, tasks: int = 1, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """Robust centre ``mu``, inverse covariance ``precision`` and distance scale ``scale`` of each group.
 
     ``rows`` is read once for each step, so it should be a stored table. ``few`` says that the groups
-    were counted and may be sent to every task.
+    were counted and may be sent to every task; their tables are written by ``tasks`` tasks.
     """
     d = len(names)
+    stored = lambda table: checkpointed(table.coalesce(tasks))
     mid = rows.groupBy(*keys).agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(names)])
-    mid = checkpointed(mid.select(*keys, F.array(*[f"m{i}" for i in range(d)]).alias("mid")))
+    mid = stored(mid.select(*keys, F.array(*[f"m{i}" for i in range(d)]).alias("mid")))
     off = _attach(rows, mid, keys, few).groupBy(*keys, "mid").agg(*[F.percentile_approx(F.abs(F.col(n) - F.col("mid")[i]), 0.5, 1000).alias(f"m{i}") for i, n in enumerate(names)])
-    scale = checkpointed(off.select(*keys, "mid", F.array(*[F.greatest(F.col(f"m{i}") * 1.4826, F.lit(floors[i])) for i in range(d)]).alias("scale")))
+    scale = stored(off.select(*keys, "mid", F.array(*[F.greatest(F.col(f"m{i}") * 1.4826, F.lit(floors[i])) for i in range(d)]).alias("scale")))
     at = _attach(rows, scale, keys, few)
     z = [(F.col(n) - F.col("mid")[i]) / F.col("scale")[i] for i, n in enumerate(names)]
     length = F.sqrt(reduce(lambda a, b: a + b, [v * v for v in z])) + 1e-9
     starts = F.array(*[F.struct(F.lit(k).alias("start"), *[v.alias(f"z{i}") for i, v in enumerate(vs)]) for k, vs in
                        enumerate([[F.tanh(v) for v in z], [v / length for v in z], [F.lit(0.0) for _ in z]])])
     scored = at.select(*keys, "mid", "scale", F.inline(starts))
-    state = checkpointed(_solved(scored.groupBy(*keys, "start", "mid", "scale").agg(*_moments([F.col(f"z{i}") for i in range(d)])), [*keys, "start"], floors, True))
+    state = stored(_solved(scored.groupBy(*keys, "start", "mid", "scale").agg(*_moments([F.col(f"z{i}") for i in range(d)])), [*keys, "start"], floors, True, tasks))
     values, both = [F.col(n) for n in names], [*keys, "start"]
     for _ in range(steps):
         near = _attach(rows, state, keys, few).select(*both, *names, _distance(names).alias("d2"))
         bound = near.groupBy(*both).agg(F.percentile_approx("d2", share, 1000).alias("bound"))
         inner = _attach(near, bound, both, few).where("d2 <= bound")
-        state = checkpointed(_solved(inner.groupBy(*both).agg(*_moments(values)), both, floors, False))
+        state = stored(_solved(inner.groupBy(*both).agg(*_moments(values)), both, floors, False, tasks))
     best = state.groupBy(*keys).agg(F.min(F.struct("det", "start", "mu", "precision")).alias("b")).select(*keys, "b.mu", "b.precision")
 
     def scaled(model: DataFrame) -> DataFrame:
         d2 = _attach(rows, model, keys, few).select(*keys, _distance(names).alias("d2"))
         middle = d2.groupBy(*keys).agg((F.percentile_approx("d2", 0.5, 1000) / chi_square(0.5, d)).alias("scale"))
-        return checkpointed(_attach(model, middle.withColumn("scale", F.greatest("scale", F.lit(1e-6))), keys, few))
+        return stored(_attach(model, middle.withColumn("scale", F.greatest("scale", F.lit(1e-6))), keys, few))
 
-    raw = scaled(checkpointed(best))
+    raw = scaled(stored(best))
     inner = _attach(rows, raw, keys, few).where(_distance(names) <= F.col("scale") * chi_square(0.975, d))
-    return scaled(checkpointed(_solved(inner.groupBy(*keys).agg(*_moments(values)), keys, floors, False)))
+    return scaled(stored(_solved(inner.groupBy(*keys).agg(*_moments(values)), keys, floors, False, tasks)))
 
 
 def assess(
@@ -189,17 +189,18 @@ def assess(
     level = F.when(F.col("n") >= min_group, 2).when(F.col("pool") >= min_group, 1).otherwise(0)
     assign = checkpointed(sizes.select(*g, level.alias("level")).select(
         *g, "level", *[F.when(F.col("level") >= (1 if i == 0 else 2), F.col(x)).alias(f"m_{x}") for i, x in enumerate(g)]))
-    few = assign.count() <= GROUP_ROWS
+    groups = assign.count()
+    few, tasks = groups <= GROUP_ROWS, 1 + groups // GROUPS_OF_A_TASK
     keys = ["level", *[f"m_{x}" for x in g]]
     rows = _attach(passed, assign, g, few).select(*keys, "weight", *names)
     counted = rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") >= min_group).drop("rows")
-    rows = checkpointed(_attach(rows, checkpointed(counted), keys, few))
-    model = estimate(rows, keys, names, floors, few, share)
+    rows = checkpointed(_attach(rows, checkpointed(counted.coalesce(tasks)), keys, few))
+    model = estimate(rows, keys, names, floors, few, tasks, share)
 
     known = assign.withColumnsRenamed({k: f"__{k}" for k in keys})
     model = model.select(*keys, "mu", "precision", "scale")
     found = known.join(model, reduce(lambda a, b: a & b, [known[f"__{k}"].eqNullSafe(model[k]) for k in keys]), "left").select(*[known[x].alias(f"__{x}") for x in g], "mu", "precision", "scale")
-    right = _few(checkpointed(found), few)
+    right = _few(checkpointed(found.coalesce(tasks)), few)
     out = table.join(right, reduce(lambda a, b: a & b, [table[x].eqNullSafe(right[f"__{x}"]) for x in g]), "left")
     distance = F.when(~F.col("base_failed"), _distance(names) / F.col("scale"))
     limit = tail_factor * chi_square(0.999, len(names))
@@ -208,6 +209,7 @@ def assess(
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without rejected documents. Rows that share an id stay if one of them is kept."""
-    name = options.get("doc_id", "doc_id")
-    return keep_keys(docs, checkpointed(assess(docs, **options).where("kept").select("doc_id").distinct()).withColumnRenamed("doc_id", name), name)
+    """``docs`` without rejected documents. Rows that share an id stay if one of them is kept; a row without an id goes by its text."""
+    known = with_document(docs, options.pop("doc_id", "doc_id"), options.get("text", "text"))
+    kept = assess(known, doc_id="__document", **options).where("kept").select(F.col("doc_id").alias("__document")).distinct()
+    return keep_keys(known, checkpointed(kept), "__document").select(*docs.columns)

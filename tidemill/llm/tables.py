@@ -24,4 +24,10 @@ def keep_keys(df: DataFrame, keys: DataFrame, column: str, anti: bool = False, f
     return df.join(right, F.col(column).eqNullSafe(F.col("__key")), how)
 
 
-__all__ = ["FEW_KEYS", "checkpointed", "keep_keys"]
+def with_document(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``__document``, by which rows are kept or dropped: the id, or the hash of the text of a row without one."""
+    own = docs[doc_id]
+    return docs.withColumn("__document", F.struct(own.alias("id"), F.when(own.isNull(), F.xxhash64(docs[text].cast("string"))).otherwise(0).alias("text")))
+
+
+__all__ = ["FEW_KEYS", "checkpointed", "keep_keys", "with_document"]
