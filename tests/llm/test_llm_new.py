@@ -246,3 +246,58 @@ def test_moments_give_the_plain_determinant_estimate(spark):
     # The planted tenth is far outside, the others are not.
     far = np.einsum("ij,jk,ik->i", x - model.mu, np.reshape(model.precision, (2, 2)), x - model.mu) / model.scale
     assert far[900:].min() > 3 * q.chi_square(0.999, 2) and np.mean(far[:900] < q.chi_square(0.999, 2)) > 0.98
+
+
+def pair_texts(n, seed):
+    """Label 1: both words or neither. Neither word says anything alone."""
+    rng = random.Random(seed)
+    filler = [f"filler{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(filler, 10) + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    return rows
+
+
+def test_toxicity_learns_a_pair_from_texts(spark):
+    from tidemill.llm import toxicity
+
+    rows = pair_texts(2000, 3)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(docs, known).collect()}
+    held = [(found[i].predicted, label) for i, _, label in rows if found[i].held_out]
+    assert len(held) > 300 and np.mean([p == label for p, label in held]) > 0.9
+
+
+def test_machine_scores_equal_the_plain_sum_over_pairs():
+    from tidemill.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, np.arange(9), rng.normal(size=9), rng.normal(size=(9, 4)))
+    texts = [sorted(rng.choice(9, k, replace=False).tolist()) for k in (0, 1, 2, 5, 9)]
+    got = m.score(np.repeat(np.arange(5), [len(t) for t in texts]), np.array(sum(texts, []), dtype=int), 5)
+    for t, p in zip(texts, got):
+        raw = 0.3 + sum(m.weight[i] for i in t) + sum(m.vector[i] @ m.vector[j] for i in t for j in t if i < j)
+        assert p == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-12)
+
+
+def test_interacting_terms_are_those_of_plain_contingency_tables():
+    from tidemill.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 12)) < 0.4
+    y = ((x[:, 2] ^ x[:, 5]) & (rng.random(600) < 0.9)).astype(float)
+    owner, bucket = np.nonzero(x)
+    got = set(toxicity.interacting(owner, bucket, y, np.arange(12)).tolist())
+    want, share = set(), (y.sum() + 0.5) / 601
+    for i in range(12):
+        for j in range(12):
+            cells = [y[(x[:, i] == a) & (x[:, j] == b)] for a in (True, False) for b in (True, False)]
+            if i != j and min(map(len, cells)) >= toxicity.LEAST_CASE:
+                effect = cells[0].mean() - cells[1].mean() - cells[2].mean() + cells[3].mean()
+                if abs(effect) > toxicity.PAIR_ERRORS * np.sqrt(share * (1 - share) * sum(1 / len(c) for c in cells)):
+                    want |= {i, j}
+    assert got == want >= {2, 5}

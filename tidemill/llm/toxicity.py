@@ -18,9 +18,12 @@ from tidemill.llm import words as w
 from tidemill.llm.quality_model import fold
 from tidemill.llm.tables import checkpointed
 
-#: Hash buckets of terms, buckets that the machine keeps, length of the interaction vectors, most
-#: labelled rows it is fitted on, and passes over them.
+#: Hash buckets of terms, buckets that the machine keeps as they differ between the classes by themselves, length of the
+#: interaction vectors, most labelled rows it is fitted on, and passes over them.
 BUCKETS, KEPT, RANK, FIT_ROWS, PASSES = 1 << 20, 2048, 4, 20_000, 40
+#: Buckets whose pairs are tested, the most evenly spread ones; least texts of each of a pair's four cases; and the
+#: standard errors by which a pair must differ from the sum of its terms for both to be kept as well.
+PAIRED, LEAST_CASE, PAIR_ERRORS = 2048, 8, 6.0
 MIN_TEXTS = 4
 PREFIXES = (5, 6, 7)
 
@@ -77,6 +80,42 @@ def informative(counts: DataFrame, texts: int, ones: int, kept: int = KEPT, leas
     return sorted(r.bucket for r in found.orderBy(F.desc("z"), "bucket").limit(kept).collect())
 
 
+def even(counts: DataFrame, texts: int, most: int = PAIRED) -> list[int]:
+    """The buckets that are closest to standing in half of the texts, in rising order."""
+    n = F.col("n")
+    found = counts.where(n >= MIN_TEXTS).withColumn("v", n * (F.lit(texts) - n)).where(F.col("v") > 0)
+    return sorted(r.bucket for r in found.orderBy(F.desc("v"), "bucket").limit(most).collect())
+
+
+def interacting(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, names: np.ndarray, errors: float = PAIR_ERRORS) -> np.ndarray:
+    """Those of the sorted buckets ``names`` that matter in a pair: the share of ones in texts with both terms, with one and
+    with none does not add up, by more than ``errors`` standard errors."""
+    n, m = len(y), len(names)
+    if not n or not m:
+        return names[:0]
+    at = np.minimum(np.searchsorted(names, bucket), m - 1)
+    ok = names[at] == bucket
+    owner, at = owner[ok], at[ok]
+    both, ones = np.zeros((m, m)), np.zeros((m, m))
+    for a in range(0, n, 2000):
+        x = np.zeros((min(2000, n - a), m), dtype=np.float32)
+        here = (owner >= a) & (owner < a + 2000)
+        x[owner[here] - a, at[here]] = 1
+        both += x.T @ x
+        ones += (x * y[a : a + 2000, None].astype(np.float32)).T @ x
+    k, s = np.diag(both), np.diag(ones)
+    cases = [(both, ones), (k[:, None] - both, s[:, None] - ones), (k[None] - both, s[None] - ones), (n - k[:, None] - k[None] + both, y.sum() - s[:, None] - s[None] + ones)]
+    enough = np.min([c for c, _ in cases], axis=0) >= LEAST_CASE
+    effect, inverse = np.zeros((m, m)), np.zeros((m, m))
+    for (c, o), sign in zip(cases, (1, -1, -1, 1)):
+        c = np.maximum(c, 1)
+        effect += sign * o / c
+        inverse += 1 / c
+    share = (y.sum() + 0.5) / (n + 1)
+    far = enough & (np.abs(effect) > errors * np.sqrt(share * (1 - share) * inverse))
+    return names[far.any(axis=1)]
+
+
 def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, names: np.ndarray, rank: int = RANK, passes: int = PASSES, rate: float = 0.05, ridge: float = 0.02, seed: int = 7) -> Machine:
     """Fit on texts ``0 .. len(y) - 1`` by Adam on the mean logistic loss, with the sorted buckets ``names``.
 
@@ -124,7 +163,8 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: s
 
     Labels are read only of ids outside the held-out part; a null label is none, and an id labelled
     twice takes its larger label. Null and empty texts have no terms and get the score of the bias;
-    without labels every score is one half.
+    without labels every score is one half. Repeated rows get equal scores. Whole texts are read, however long. The machine
+    knows the ``KEPT`` terms that differ most between the classes and those of the ``PAIRED`` most even ones that matter in pairs.
     """
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label")).where("label is not null and doc_id is not null")
@@ -148,7 +188,10 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: s
 
     counts = checkpointed(sample.mapInArrow(tally, "bucket bigint, n bigint, ones bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")))
     total = counts.where(F.col("bucket") == buckets).first()
-    names = np.array(informative(counts.where(F.col("bucket") < buckets), total.n, total.ones) if total else [], dtype=np.int64)
+    terms_of = counts.where(F.col("bucket") < buckets)
+    alone = np.array(informative(terms_of, total.n, total.ones) if total else [], dtype=np.int64)
+    tested = np.array(even(terms_of, total.n) if total else [], dtype=np.int64)
+    names = np.union1d(alone, tested)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(buckets, dtype=bool)
@@ -164,7 +207,10 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: s
     lists = rows.column("terms").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if len(rows) else np.zeros(0, dtype=np.int64)
     flat = lists.flatten().to_numpy() if len(rows) else np.zeros(0, dtype=np.int64)
-    machine = fit(np.repeat(np.arange(len(rows)), sizes), flat.astype(np.int64), rows.column("label").to_numpy().astype(float), names)
+    owner, flat, y = np.repeat(np.arange(len(rows)), sizes), flat.astype(np.int64), rows.column("label").to_numpy().astype(float)
+    names = np.union1d(alone, interacting(owner, flat, y, tested))
+    wanted = np.isin(flat, names)
+    machine = fit(owner[wanted], flat[wanted], y, names)
     held_model = docs.sparkSession.sparkContext.broadcast(vars(machine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
