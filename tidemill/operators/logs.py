@@ -7,12 +7,15 @@ Where the time matters, ``now`` is an argument, so that a result can be repeated
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemill.functions.columns import name, require, share, tidy
 from tidemill.functions.order import global_index, lookup_by_value
+from tidemill.session import checkpointed
 
 # Fixed values
 JOB_STATUSES = ("pending", "running", "completed", "failed", "cancelled")
@@ -269,20 +272,90 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 3 else 1 if len(term) < 6 else 2
 
 
+def search_terms(query: str) -> list[str]:
+    return [t for t in "".join(ch if ch.isalnum() else " " for ch in query.lower()).split()]
+
+
+def row_words(fields: Sequence[str]) -> Column:
+    """The lower-case words of some fields."""
+    return F.split(F.lower(F.concat_ws(" ", *[name(c).cast("string") for c in fields])), "[^\\p{L}\\p{N}]+")
+
+
+def close_to(word: Column, term: str) -> Column:
+    """True where the word becomes the term by no more edits than ``edits_allowed``: a letter put in, left out or
+    replaced, or two neighbours swapped, of which neither is edited again (optimal string alignment)."""
+    n = edits_allowed(term)
+    if n == 0:
+        return word == term
+    hit = F.levenshtein(word, F.lit(term), n) >= 0
+    swaps = [(term[:i], term[i + 1] + term[i], term[i + 2 :]) for i in range(len(term) - 1) if term[i] != term[i + 1]]
+    if n == 1:
+        return hit | word.isin([a + ab + b for a, ab, b in swaps])
+    # One swap at a stated place, and one more edit on either side of it; a second swap is one of those.
+    for a, ab, b in swaps:
+        before, after = F.left(word, F.char_length(word) - len(ab + b)), F.substring(word, len(a + ab) + 1, 1 << 20)
+        hit = hit | (F.endswith(word, F.lit(ab + b)) & (F.levenshtein(before, F.lit(a), 1) >= 0)) | (F.startswith(word, F.lit(a + ab)) & (F.levenshtein(after, F.lit(b), 1) >= 0))
+    pairs = [term[:i] + term[i + 1] + term[i] + term[i + 2 : j] + term[j + 1] + term[j] + term[j + 2 :] for i in range(len(term) - 1) for j in range(i + 2, len(term) - 1)]
+    return hit | word.isin(pairs) if pairs else hit
+
+
 def fuzzy_match(fields: Sequence[str], query: str) -> Column:
     """True where any word of any field is close to any word of the query."""
-    terms = [t for t in "".join(ch if ch.isalnum() else " " for ch in query.lower()).split()]
-    text = F.lower(F.concat_ws(" ", *[name(c).cast("string") for c in fields]))
-    words = F.split(text, "[^\\p{L}\\p{N}]+")
+    terms = search_terms(query)
+    return F.exists(row_words(fields), lambda word: reduce(lambda a, b: a | b, [close_to(word, t) for t in terms], F.lit(False)))
+
+
+def shortened(word: Column) -> Column:
+    """The word and what is left of it without any one or two of its letters. Words within two edits of each other share one."""
+    def less(w: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.char_length(w))))
+        return F.when(F.char_length(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    once = less(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, less))))
+
+
+#: Words up to this length are found by their shortened forms, whose number grows with its square; longer ones one by one.
+INDEXED_LENGTH = 32
 
-    def close(word: Column) -> Column:
-        hit = F.lit(False)
-        for t in terms:
-            n = edits_allowed(t)
-            hit = hit | ((word == t) if n == 0 else (F.levenshtein(word, F.lit(t), n) >= 0))
-        return hit
 
-    return F.exists(words, close)
+@dataclass
+class FuzzyIndex:
+    """Distinct words by the hashes of their shortened forms, and the rows that hold each word; both stored."""
+
+    forms: DataFrame
+    words: DataFrame
+    postings: DataFrame
+
+
+def fuzzy_index(df: DataFrame, key: str, fields: Sequence[str]) -> FuzzyIndex:
+    """An index for many searches over one table, whose work follows its distinct words."""
+    require(df, [key, *fields])
+    postings = df.select(name(key).alias("key"), F.explode(F.array_distinct(row_words(fields))).alias("word")).where("word != ''")
+    postings = checkpointed(postings.distinct())
+    words = checkpointed(postings.select("word").distinct())
+    short = words.where(F.char_length("word") <= INDEXED_LENGTH)
+    forms = checkpointed(short.select("word", F.explode(F.transform(shortened(F.col("word")), lambda x: F.xxhash64(x))).alias("form")).distinct())
+    return FuzzyIndex(forms, words, postings)
+
+
+def search_index(index: FuzzyIndex, query: str) -> DataFrame:
+    """(``key``, ``word``, ``term``) of the rows with a word close to a term of the query.
+
+    Only words that share a shortened form with a term are compared with it.
+    """
+    spark = index.words.sparkSession
+    terms = search_terms(query)
+    if not terms:
+        return index.postings.select("key", "word", F.col("word").alias("term")).limit(0)
+    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+    own = asked.select("term", F.explode(F.transform(shortened(F.col("term")), lambda x: F.xxhash64(x))).alias("form"))
+    # The forms of the few terms of one query.
+    pairs = index.forms.join(F.broadcast(own), "form").select("word", "term").distinct()
+    long = index.words.where(F.char_length("word") > INDEXED_LENGTH).select("word", F.explode(F.array(*[F.lit(t) for t in dict.fromkeys(terms)])).alias("term"))
+    judged = reduce(lambda a, b: a | b, [(F.col("term") == t) & close_to(F.col("word"), t) for t in terms])
+    found = pairs.unionByName(long).where(judged)
+    return index.postings.join(found, "word").select("key", "word", "term")
 
 
 def fuzzy_search(
@@ -332,3 +405,29 @@ def growth(daily: DataFrame, value: str = "active_users", days: int = 7) -> Data
     before = daily.select(F.date_add("day", days).alias("day"), name(value).alias("__before"))
     change = F.try_divide((name(value) - F.col("__before")).cast("double"), F.col("__before").cast("double")) * 100
     return daily.join(before, "day", "left").select(*daily.columns, tidy(change, 2).alias("growth"))
+
+
+def rolling_users(df: DataFrame, windows: Sequence[int] = (7, 30), user: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Distinct users of each day and of the last ``windows`` days, for every day from the first to the last, empty ones too.
+
+    Users are numbered, and a day's users are bits of bitmaps, one for each range of numbers. A window is the union of its days'
+    bitmaps, so rows are read once and no user is counted again for each window.
+    """
+    require(df, [user, ts])
+    rows = df.select(name(user).alias("user"), F.to_date(name(ts)).alias("day")).where("user is not null and day is not null").distinct()
+    rows = checkpointed(rows)
+    numbered = checkpointed(global_index(rows.select("user").distinct(), ["user"], "number"))
+    marked = rows.join(numbered, "user").select("day", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+    days = checkpointed(marked.groupBy("day", "bucket").agg(F.bitmap_construct_agg("bit").alias("users")))
+    spans = [1, *windows]
+
+    def offsets(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.lit(n).alias("span"), i.alias("off")))
+
+    later = F.flatten(F.array(*map(offsets, spans)))
+    spread = days.select("bucket", "users", "day", F.inline(later)).select("span", F.date_add("day", F.col("off")).alias("day"), "bucket", "users")
+    counts = spread.groupBy("span", "day", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("users")).alias("n")).groupBy("span", "day").agg(F.sum("n").alias("n"))
+    # One row per day from the first to the last.
+    calendar = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
+    wide = counts.groupBy("day").agg(*[F.max(F.when(F.col("span") == n, F.col("n"))).alias(f"users_{n}") for n in spans])
+    return calendar.join(wide, "day", "left").select("day", *[F.coalesce(f"users_{n}", F.lit(0)).alias(f"users_{n}") for n in spans])

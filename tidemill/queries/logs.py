@@ -392,3 +392,26 @@ def _(spark, folder):
         "doc_id", "text", (F.col("n_chars") % 4).alias("status"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("lang")
     )
     return redact.shorten(docs, {"text": 500}, ["status", "lang"])
+
+
+@query(
+    "fuzzy_search_index",
+    r"""with w as (select p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\p{L}\p{N}]+')) x from part)
+    select distinct p_partkey, x as word, t as term from w, (values ('wigdet', 2), ('rgn', 1)) v(t, n) where damerau_levenshtein(x, t) <= n""",
+)
+def _(spark, folder):
+    index = logs.fuzzy_index(table(spark, folder, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
+    return logs.search_index(index, "wigdet RGN").withColumnRenamed("key", "p_partkey")
+
+
+def rolling_sql(days: int) -> str:
+    return f"(select count(distinct user_id) from events e where e.ts::date between d.day - {days - 1} and d.day)"
+
+
+@query(
+    "rolling_users",
+    f"""with d as (select unnest(generate_series(min(ts)::date, max(ts)::date, interval 1 day))::date as day from events)
+    select strftime(day, '%Y-%m-%d') as day, {rolling_sql(1)} as users_1, {rolling_sql(7)} as users_7, {rolling_sql(30)} as users_30 from d""",
+)
+def _(spark, folder):
+    return logs.rolling_users(table(spark, folder, "events")).withColumn("day", F.col("day").cast("string"))

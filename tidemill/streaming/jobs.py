@@ -45,10 +45,11 @@ def start_ingest(
 
 
 def hourly_stream(df: DataFrame, error: Column, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """Rows and errors per hour, for update mode; rows later than ``delay`` behind the newest are left out."""
+    """Rows and errors per hour (UTC), for update mode; rows later than ``delay`` behind the newest are left out."""
     windows = with_event_time(df, ts).withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"))
     counts = windows.agg(F.count("*").alias("total"), F.count_if(error).alias("errors"))
-    return counts.select(F.date_format("window.start", "yyyy-MM-dd'T'HH").alias("hour"), "total", "errors")
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window.start").cast("timestamp_ntz"))
+    return counts.select(F.date_format(start, "yyyy-MM-dd'T'HH").alias("hour"), "total", "errors")
 
 
 def login_stream(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
