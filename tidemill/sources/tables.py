@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemill.functions.columns import name
+from tidemill.session import checkpointed
 
 # Cell texts that mean "missing".
 MISSING_TEXTS = (
@@ -15,19 +18,70 @@ MISSING_TEXTS = (
 )
 
 
+#: Splits of a file whose quote counts are sent to every task.
+FEW_SPLITS = 100_000
+
+
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """A CSV with a header line. Give ``schema`` to skip type inference.
 
-    ``multi_line`` is for cells with line breaks; such files cannot be split between tasks.
+    Cells may hold line breaks, and large files are still read in splits. ``multi_line=True`` reads each file in one task
+    instead, ``False`` says that no cell holds a line break.
     """
     if isinstance(path, str) and not path.rstrip("/*").endswith(".csv") and "." in path.rsplit("/", 1)[-1]:
         raise ValueError("only .csv files are read")
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return infer_types(reader.csv(path))
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", bool(multi_line))
+    reader = reader.schema(schema) if schema is not None else reader
+    if multi_line is None:
+        lines = _csv_lines(spark, path)
+        splits = checkpointed(lines.groupBy("file", "start").agg(F.sum("odd").alias("odd")))
+        # Where all quotes of a line close in it, lines are records.
+        if splits.where("odd > 0").limit(1).count():
+            rows = _joined_records(spark, lines, splits, schema)
+            return rows if schema is not None else infer_types(rows)
+    return reader.csv(path) if schema is not None else infer_types(reader.csv(path))
+
+
+def _csv_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Every line with its file, the start of its split, its order there, and whether its quotes are odd in number."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"')))
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), (quotes % 2).alias("odd"))
+
+
+def _joined_records(spark: SparkSession, lines: DataFrame, splits: DataFrame, schema: T.StructType | str | None) -> DataFrame:
+    """Records from lines: the quotes of all splits before tell whether a split begins inside a cell.
+
+    A doubled quote counts twice, so quotes are odd exactly where a cell is open. Splits are numbered through by their
+    records, and only records of several lines are brought together.
+    """
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    opened = splits.select("file", "start", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("opened"))
+    opened = F.broadcast(opened) if splits.count() <= FEW_SPLITS else opened
+    here = Window.partitionBy("file", "start").orderBy("at")
+    inside = (F.col("opened") + F.coalesce(F.sum("odd").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
+    placed = lines.join(opened, ["file", "start"]).withColumn("inside", inside)
+    placed = placed.withColumn("record", F.sum(1 - F.col("inside")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = checkpointed(placed.select("file", "start", "at", "value", "odd", "inside", "record"))
+    firsts = placed.groupBy("file", "start").agg(F.sum(1 - F.col("inside")).alias("n"))
+    firsts = checkpointed(firsts.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")))
+    numbered = placed.join(F.broadcast(firsts) if firsts.count() <= FEW_SPLITS else firsts, ["file", "start"])
+    numbered = numbered.withColumn("record", F.col("record") + F.col("earlier"))
+    single = (F.col("inside") == 0) & (F.col("odd") == 0)
+    whole = numbered.where(~single).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", "at", "value"))).alias("ls"))
+    whole = whole.select("file", "record", F.array_join(F.transform("ls", lambda x: x["value"]), "\n").alias("value"))
+    records = numbered.where(single).select("file", "record", "value").unionByName(whole)
+    records = records.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    top = records.where("record = 1").orderBy("file").select("value").first()
+    header = next(csv.reader([top[0]] if "\n" not in top[0] else io.StringIO(top[0], newline="")))
+    if schema is None:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    kept = records.where((F.col("record") > 1) & (F.col("value") != ""))
+    return kept.select(F.from_csv("value", schema.toDDL(), {"escape": '"'}).alias("r")).select("r.*")
 
 
 def infer_types(df: DataFrame, missing: Sequence[str] = MISSING_TEXTS) -> DataFrame:
