@@ -55,7 +55,7 @@ def missing_values(df: DataFrame, include_complete: bool = False) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> dict[str, int]:
-    """Distinct non-null values of each column, a few columns per job.
+    """Distinct non-null values of each column, a job for each: two exact counts in one would double the rows.
 
     The exact form aggregates (column, value) on the map side before its shuffle, so frequent
     values cost nothing; the approximate form keeps one fixed-size sketch per column.
@@ -67,7 +67,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
     def job(part: Sequence[str]):
         return lambda: df.agg(*[count(name(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
 
-    width = 8 if approximate else 2
+    width = 8 if approximate else 1
     rows = together([job(cols[i : i + width]) for i in range(0, len(cols), width)])
     return dict(zip(cols, (v for row in rows for v in row)))
 
@@ -105,8 +105,11 @@ def _rounded(value: float | None, places: int) -> Column:
     return tidy(F.lit(value).cast("double"), places)
 
 
-def column_profile(df: DataFrame, approximate_distinct: bool = False, samples: int = 5) -> DataFrame:
-    """One row per column: type, class, missing, distinct, numeric statistics and sample values."""
+def column_profile(df: DataFrame, approximate_distinct: bool = False, samples: int = 5, sample_order: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: type, class, missing, distinct, numeric statistics and sample values.
+
+    With ``sample_order`` samples are the first present values in that order, else those of some leading rows.
+    """
     df = clean_nan(df)
     scalars, numbers = scalar_columns(df), numeric_columns(df)
     gaps, distinct, stats, quartiles, seen = together(
@@ -115,7 +118,7 @@ def column_profile(df: DataFrame, approximate_distinct: bool = False, samples: i
             lambda: distinct_counts(df, scalars, approximate_distinct),
             lambda: describe(df, numbers),
             lambda: exact_quantiles(df, {c: name(c) for c in numbers}, [0.25, 0.5, 0.75]),
-            lambda: _samples(df, samples),
+            lambda: _samples(df, samples, sample_order),
         ]
     )
     nulls = {r["column"]: r for r in gaps}
@@ -151,10 +154,19 @@ def _profile_class(field: T.StructField, unique: int | None, total: int) -> str:
     return "categorical" if few else "text"
 
 
-def _samples(df: DataFrame, n: int) -> dict[str, list[str]]:
+def _samples(df: DataFrame, n: int, order: Sequence[str] | None = None) -> dict[str, list[str]]:
     """The first few non-null values of each column; a column with gaps is searched as far as needed."""
     if n < 1:
         return {c: [] for c in df.columns}
+    if order is not None:
+        require(df, order)
+
+        def first(c: str):
+            # Each task keeps its first few rows only.
+            rows = df.where(name(c).isNotNull()).select(name(c).cast("string").alias("v"), *[name(k).alias(f"k{i}") for i, k in enumerate(order)])
+            return lambda: [r["v"] for r in rows.orderBy(*[f"k{i}" for i in range(len(order))]).limit(n).collect()]
+
+        return dict(zip(df.columns, together([first(c) for c in df.columns])))
     head = df.select(*[name(c).cast("string").alias(c) for c in df.columns]).limit(20 * n).collect()
     found = {c: [r[i] for r in head if r[i] is not None][:n] for i, c in enumerate(df.columns)}
     if len(head) == 20 * n:
@@ -413,17 +425,11 @@ def problem_type(df: DataFrame, target: str) -> str:
 
 
 def problem_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The problem type of several candidate targets from one aggregate."""
+    """The problem type of several candidate targets, from their counts and distinct counts."""
     require(df, cols)
-    wide = df.agg(
-        *[
-            F.struct(
-                F.count_distinct(present(c, df.schema[c].dataType)).alias("u"),
-                F.count(present(c, df.schema[c].dataType)).alias("n"),
-            ).alias(f"c{i}")
-            for i, c in enumerate(cols)
-        ]
-    )
+    known = clean_nan(df)
+    distinct = distinct_counts(known, cols)
+    wide = known.agg(*[F.struct(F.lit(distinct[c]).cast("bigint").alias("u"), F.count(name(c)).alias("n")).alias(f"c{i}") for i, c in enumerate(cols)])
     rows = []
     for i, c in enumerate(cols):
         u, n = F.col(f"c{i}.u"), F.col(f"c{i}.n")

@@ -340,7 +340,7 @@ def _(spark, folder):
 def _(spark, folder):
     found = modeling.auto_train(
         lines(spark, folder), "l_linestatus", 5, key=LINE_KEY, exclude=OUT, models=("random_forest", "gbt", "gbt_deep", "logistic_regression"),
-        params={"gbt": FEW_ROUNDS, "gbt_deep": {"n_estimators": 5}}, max_rows=FIT_ROWS,
+        params={"gbt": FEW_ROUNDS, "gbt_deep": {"n_estimators": 3}}, max_rows=FIT_ROWS,
     )
     return found.results
 

@@ -55,6 +55,18 @@ def _(spark, folder):
     return profile.column_profile(orders_gaps(spark, folder), samples=0).drop("dtype", "samples")
 
 
+SAMPLED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@query(
+    "column_profile_samples",
+    " union all ".join(f"select '{c}' as \"column\", array_to_string((list({c}::varchar order by o_orderkey) filter ({c} is not null))[1:4], '|') as samples, count({c}) as present from {ORDERS_GAPS}" for c in SAMPLED),
+)
+def _(spark, folder):
+    found = profile.column_profile(orders_gaps(spark, folder).select(*SAMPLED), samples=4, sample_order=["o_orderkey"])
+    return found.select("column", F.array_join("samples", "|").alias("samples"), (F.col("total_rows") - F.col("null_count")).alias("present"))
+
+
 @query(
     "column_classes",
     " union all ".join(
@@ -244,3 +256,19 @@ def _(spark, folder):
         F.count("*").alias("n"), F.count_distinct("c_custkey").alias("keys"),
         F.round(F.round(F.sum("c_acctbal"), 8), 2).alias("balance"), F.max("c_nationkey").alias("top_nation"),
     )
+
+
+@query("csv_line_breaks", "select doc_id, lang, source, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') as text, n_chars from documents")
+def _(spark, folder):
+    """Texts with line breaks, quotes and commas, read back from several splits."""
+    path = fresh_path(spark, "documents.csv")
+    docs = table(spark, folder, "documents")
+    tables.write_csv(docs.withColumn("text", F.trim("text", F.lit(" \t\n\x0b\f\r"))), path)
+    return tables.read_csv(spark, f"{path}/*.csv", docs.schema).select("doc_id", "lang", "source", "text", "n_chars")
+
+
+@query("csv_typed", "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer")
+def _(spark, folder):
+    path = fresh_path(spark, "customer.csv")
+    tables.write_csv(table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), path)
+    return tables.read_csv(spark, f"{path}/*.csv")
