@@ -1,6 +1,7 @@
 """Logs, redaction, files and streams."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -11,20 +12,72 @@ from tidemill.sources import tables
 from tidemill.streaming import jobs
 
 
-def test_redaction_is_recursive_but_leaves_arrays():
+def redacted(spark, texts, nested=True):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    return [r["t"] for r in rows.select("id", redact.redact_json(F.col("t"), nested).alias("t")).orderBy("id").collect()]
+
+
+def plain_redaction(value, nested=True):
+    if not isinstance(value, dict):
+        return value
+    return {k: "[REDACTED]" if redact.is_sensitive(k) else plain_redaction(v) if nested else v for k, v in value.items()}
+
+
+def test_redaction_is_recursive_but_leaves_arrays(spark):
     text = '{"a":1,"Password1":"x","in":{"my_token":{"k":2},"ok":[{"secret":1}]}}'
-    assert json.loads(redact._redact_text(text)) == {
-        "a": 1, "Password1": "[REDACTED]", "in": {"my_token": "[REDACTED]", "ok": [{"secret": 1}]},
-    }
-    assert json.loads(redact._redact_text('{"in":{"token":1},"ssn":2}', False)) == {"in": {"token": 1}, "ssn": "[REDACTED]"}
-    assert redact._redact_text("token is not json") == "token is not json"
+    got, same = redacted(spark, [text, "token is not json"])
+    assert json.loads(got) == {"a": 1, "Password1": "[REDACTED]", "in": {"my_token": "[REDACTED]", "ok": [{"secret": 1}]}}
+    assert same == "token is not json"
+    assert json.loads(redacted(spark, ['{"in":{"token":1},"ssn":2}'], False)[0]) == {"in": {"token": 1}, "ssn": "[REDACTED]"}
+
+
+def test_redaction_keeps_every_other_byte(spark):
+    cases = {
+        '{"n": 1.10,  "token" :\t"a\\"b" ,\n"n": 1e5}': '{"n": 1.10,  "token" :\t"[REDACTED]" ,\n"n": 1e5}',
+        '{"token":1,"token":{"a":[{"x":"}"}]},"z":"\\u00e9"}': '{"token":"[REDACTED]","token":"[REDACTED]","z":"\\u00e9"}',
+        '[{"token":1}]': '[{"token":1}]',
+        '{"a":[1,{"secret":[2]}],"b":{"cookie":[1,[2]],"c":"secret"},"k":null}': '{"a":[1,{"secret":[2]}],"b":{"cookie":"[REDACTED]","c":"secret"},"k":null}',
+        '{"Authorization":"Bearer x': '{"Authorization":"[REDACTED]"',
+        '{"a":1,"secret":{"b":[1,': '{"a":1,"secret":"[REDACTED]"',
+        '{"to\\u212aen":1,"\\u0053SN":true}': '{"to\\u212aen":"[REDACTED]","\\u0053SN":"[REDACTED]"}',
+        'log "token": 5 {"x":{}}': 'log "token": 5 {"x":{}}',
+        '{"x":"token: {","y":"\\\\"}': '{"x":"token: {","y":"\\\\"}',
+        "": "", "}}token{": "}}token{", '{"token"}': '{"token"}',
+    }
+    assert redacted(spark, list(cases)) == list(cases.values())
+    long = json.dumps({"x" * 50_000: "y" * 200_000, "in": {"token": "z" * 100_000}, "l": list(range(5_000))})
+    assert json.loads(redacted(spark, [long])[0]) == plain_redaction(json.loads(long))
+
+
+def test_redaction_equals_the_recursive_definition(spark):
+    rng = random.Random(3)
+    names = ["a", "b c", "Token", "x_ssn", "é", "apiKey", 'q"t', "n\\m"]
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind < 4:
+            return rng.choice([1, 2.5, None, True, "token", 'a"b{', "", "\\", "[x]: ,"])
+        size = rng.randrange(4)
+        return [value(depth - 1) for _ in range(size)] if kind == 4 else {rng.choice(names): value(depth - 1) for _ in range(size)}
+
+    values = [{rng.choice(names): value(4) for _ in range(rng.randrange(6))} for _ in range(400)] + [value(3) for _ in range(100)]
+    texts = [json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])) for v in values]
+    for nested in (True, False):
+        assert [json.loads(t) for t in redacted(spark, texts, nested)] == [plain_redaction(v, nested) for v in values]
+
+
+def test_redaction_needs_no_python_worker(spark):
+    df = spark.createDataFrame([("{}",)], "t string").select(redact.redact_json(F.col("t")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_redact_json_column(spark):
     rows = [('{"token":"a b","x":"é"}',), ('{"x": 1}',), (None,), ('{"\\u0074oken":1}',)]
     df = spark.createDataFrame(rows, "body string")
     got = [r["b"] for r in df.select(redact.redact_json(F.col("body")).alias("b")).collect()]
-    assert got == ['{"token":"[REDACTED]","x":"é"}', '{"x": 1}', None, '{"token":"[REDACTED]"}']
+    assert got[:3] == ['{"token":"[REDACTED]","x":"é"}', '{"x": 1}', None]
+    # The escaped key keeps its bytes and still reads as the same key.
+    assert got[3] == '{"\\u0074oken":"[REDACTED]"}' and json.loads(got[3]) == {"token": "[REDACTED]"}
 
 
 def test_redact_by_schema(spark):

@@ -369,7 +369,18 @@ def bodies(spark, folder):
 )
 def _(spark, folder):
     rows = bodies(spark, folder)
-    return rows.select("event_id", redact.redact_json(F.col("body")).alias("body"))
+    return rows.select("event_id", redact.redact_json(F.col("body"), compact=True).alias("body"))
+
+
+@query(
+    "redact_json_bytes",
+    """select event_id, '{ "n": 1.10,' || chr(10) || '"token" : "[REDACTED]", "token":"[REDACTED]",  "kind": "' || event_type || '", "in": {"a":[{"ssn": 1}], "cookie": "[REDACTED]" }, "n": 1e5 }' as body
+    from events""",
+)
+def _(spark, folder):
+    """Numbers, spacing, repeated keys and arrays come out as they went in."""
+    body = F.format_string('{ "n": 1.10,\n"token" : "%s\\"}", "token":{"id": [%d]},  "kind": "%s", "in": {"a":[{"ssn": 1}], "cookie": [%d, {}] }, "n": 1e5 }', "event_type", "user_id", "event_type", "user_id")
+    return table(spark, folder, "events").select("event_id", redact.redact_json(body).alias("body"))
 
 
 @query(

@@ -25,7 +25,7 @@ def landed(spark, df, name):
 def landed_by_key(spark, df, keys, name):
     """Keep the newest row of each key of a streaming aggregate and read that table."""
     path = fresh_path(spark, name)
-    jobs.start_keyed(df, path, path + "-state", interval=None).awaitTermination()
+    jobs.start_keyed(df, path, path + "-state", interval=None, keys=keys, every=2).awaitTermination()
     return jobs.latest(spark, path, df.schema, keys)
 
 
@@ -53,6 +53,13 @@ def _(spark, folder):
     return out.select("user_id", text_time("last_login"), "login_count")
 
 
+@query("stream_login_periods", LOGINS)
+def _(spark, folder):
+    logins = stream(spark, folder, "events").filter("event_type = 'signup'")
+    out = landed_by_key(spark, jobs.login_periods(logins, period="7 days"), ["user_id", "since"], "login-periods")
+    return jobs.login_totals(out).select("user_id", text_time("last_login"), "login_count")
+
+
 @query(
     "stream_score",
     f"""with t as (select regr_slope(o_totalprice, o_custkey) b, regr_intercept(o_totalprice, o_custkey) a from orders
