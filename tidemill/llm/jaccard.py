@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemill.llm import words as w
+from tidemill.functions.order import lookup_by_value
 from tidemill.llm.components import components
 from tidemill.llm.tables import checkpointed, keep_keys
 
@@ -156,8 +157,10 @@ def _near(n: Column, m: Column, num: int, den: int) -> Column:
 
 def links(sets: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over links between the documents of ``index``, enough of them to connect every class."""
-    sizes = index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    index = checkpointed(index.join(sizes.hint("shuffle_hash"), "sig"))
+    # Signatures with more than a thousandth of the rows are looked up by broadcast, so that no task gets all rows of one.
+    total = index.count()
+    sizes = checkpointed(index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"))
+    index = checkpointed(lookup_by_value(index, F.col("sig"), sizes, "sig", "m", total, {"m": "m"}).where("m is not null"))
     small = index.where(F.col("m") <= SMALL)
     other = small.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     pairs = small.join(other, "sig").where((F.col("doc_id") < F.col("b")) & _near(F.col("n"), F.col("nb"), num, den)).select(F.col("doc_id").alias("a"), "b").distinct()
@@ -170,10 +173,11 @@ def links(sets: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
         for e in edges[1:]:
             found = found.union(e)
         known = components(found)
-        rows = large.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        rows = large.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("component"))
         rows = checkpointed(rows)
-        mixed = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-        return known, checkpointed(rows.join(mixed.hint("shuffle_hash"), "sig"))
+        mixed = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("m").alias("m")).where("x <> y").withColumn("mixed", F.lit(True))
+        rows = lookup_by_value(rows, F.col("sig"), checkpointed(mixed), "sig", "m", total, {"mixed": "mixed"})
+        return known, checkpointed(rows.where("mixed").drop("mixed"))
 
     known, rows = classed()
     for turn in range(TURNS):
@@ -181,7 +185,7 @@ def links(sets: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
             return known
         # Every document meets a few others of its bucket, dealt anew in each turn.
         lot = F.xxhash64("doc_id", F.lit(turn))
-        dealt = rows.join(rows.groupBy("sig").agg(F.count("*").alias("m")), "sig").withColumn("lot", lot)
+        dealt = rows.withColumn("lot", lot)
         dealt = dealt.withColumn("share", F.pmod(F.xxhash64("lot"), F.ceil(F.col("m") / TABLE)))
         beside = Window.partitionBy("sig", "share").orderBy("lot")
         met = dealt.select("doc_id", "n", "component", F.lag(F.struct("doc_id", "n", "component")).over(beside).alias("o"))
@@ -203,8 +207,9 @@ def tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     block of documents outside the cluster's largest class meets every block of the cluster.
     """
     docs = checkpointed(rows.select("doc_id", "n", "component").distinct())
-    pivots = rows.groupBy("sig").agg(F.min("doc_id").alias("p"))
-    cluster = components(rows.join(pivots, "sig").select("doc_id", "p").distinct(), "doc_id", "p").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    pivots = checkpointed(rows.groupBy("sig").agg(F.min("doc_id").alias("p"), F.count("*").alias("m")))
+    paired = lookup_by_value(rows.drop("m"), F.col("sig"), pivots, "sig", "m", rows.count(), {"p": "p"})
+    cluster = components(paired.select("doc_id", "p").distinct(), "doc_id", "p").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     docs = docs.join(cluster, "doc_id").withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.0001)).cast("int"))
     main = docs.groupBy("cluster", "component").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "component")).alias("x"))
     docs = checkpointed(docs.join(main.select("cluster", F.col("x.component").alias("main")), "cluster"))
