@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.llm import boosting
 from tidemill.llm.stats import COUNTS, EXTRA, text_stats
-from tidemill.llm.tables import checkpointed
+from tidemill.llm.tables import checkpointed, first_by_hash
 
-#: Most labelled rows that the trees are fitted on, taken in the order of a hash of the id.
+#: Most labelled ids that the trees are fitted on, taken in the order of a hash of the id.
 FIT_ROWS = 20_000
 
 SHARES = {
@@ -38,12 +38,16 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id:
 
     Labels are read only of ids outside the held-out part; a null label is none, and an id labelled
     twice takes its larger label. Null and empty texts are scored like any other, as texts without
-    words; so is everything when there is no label at all (score one half).
+    words; so is everything when there is no label at all (score one half). Of rows that share an id one is learned
+    from, the one with the least counts. Whole texts are read, however long.
     """
     table = checkpointed(text_stats(docs, [doc_id], text, extra=True).withColumnRenamed("k0", "doc_id"))
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.where(fold(F.col("doc_id"), parts) != held).groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(fit_rows).toPandas()
+    # At most ``fit_rows`` ids, so the statistics stay where they are; then one row an id.
+    known = checkpointed(first_by_hash(known, "doc_id", fit_rows))
+    rows = table.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*COUNTS, *EXTRA)).alias("s"))
+    sample = rows.select("doc_id", "label", "s.*").orderBy(F.xxhash64("doc_id")).toPandas()
     counts = {n: sample[n].to_numpy() for n in COUNTS + EXTRA}
     trees = boosting.grow(features(counts), (sample["label"].to_numpy() > 0).astype(float))
     held_model = table.sparkSession.sparkContext.broadcast(vars(trees))
