@@ -52,7 +52,7 @@ def _windows(ids: list, texts: list[bytes], window: int) -> Windows:
     return Windows(w.word_hashes(c), join(start), join(length), join(item), ids)
 
 
-def _shingles(win: Windows, shingle: int) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _shingles(win: Windows, shingle: int) -> dict[int, list[tuple[np.ndarray, int, np.ndarray]]]:
     """By shingle size: (window numbers, offset in the window, hash) for every shingle of every window."""
     out: dict[int, list] = {}
     for size in np.unique(win.length).tolist():
@@ -62,12 +62,12 @@ def _shingles(win: Windows, shingle: int) -> dict[int, list[tuple[np.ndarray, np
             h = win.words[win.start[own] + off].copy()
             for j in range(1, k):
                 h = w.mix(h * w._A + win.words[win.start[own] + off + j])
-            out.setdefault(k, []).append((own, np.full(len(own), off), h))
+            out.setdefault(k, []).append((own, off, h))
     return out
 
 
-def _counts(docs: DataFrame, text: str, wanted: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """How often each wanted shingle stands in all documents."""
+def _counts(docs: DataFrame, text: str, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each wanted shingle (sorted, by size) stands in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(len(x), dtype=np.int64) for k, x in wanted.items()}
@@ -83,7 +83,12 @@ def _counts(docs: DataFrame, text: str, wanted: dict[int, np.ndarray]) -> dict[t
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(wanted[k][at].view(np.int64)), pa.array(n[at])], names=["k", "h", "n"])
 
     rows = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "k bigint, h bigint, n bigint")
-    return {(r.k, r.h): r.n for r in rows.groupBy("k", "h").agg(F.sum("n").alias("n")).collect()}
+    found = rows.groupBy("k", "h").agg(F.sum("n").alias("n")).toArrow()
+    size, h, n = (found.column(x).to_numpy() for x in ("k", "h", "n"))
+    out = {k: np.zeros(len(x), dtype=np.int64) for k, x in wanted.items()}
+    for k, x in wanted.items():
+        out[k][np.searchsorted(x, h[size == k].view(np.uint64))] = n[size == k]
+    return out
 
 
 @dataclass
@@ -95,20 +100,23 @@ class Keys:
     offset: np.ndarray
 
 
-def _prefixes(win: Windows, shingle: int, counts: dict[tuple[int, int], int]) -> dict[int, Keys]:
+def _prefixes(win: Windows, parts: dict[int, list], wanted: dict[int, np.ndarray], counts: dict[int, np.ndarray]) -> dict[int, Keys]:
+    """The rarest shingle of each window, ties to the smaller hash, then to the first place."""
     out = {}
-    for k, parts in _shingles(win, shingle).items():
-        best: dict[int, tuple[int, int, int]] = {}
-        for own, off, h in parts:
-            for i, o, x in zip(own.tolist(), off.tolist(), h.view(np.int64).tolist()):
-                n = counts.get((k, x), 0)
-                if i not in best or (n, x, o) < best[i]:
-                    best[i] = (n, x, o)
+    for k, shingles in parts.items():
+        rarest = np.full(len(win.start), np.iinfo(np.int64).max)
+        key = np.zeros(len(win.start), dtype=np.uint64)
+        offset = np.zeros(len(win.start), dtype=np.int64)
+        for own, off, h in shingles:
+            n = counts[k][np.searchsorted(wanted[k], h)]
+            less = (n < rarest[own]) | ((n == rarest[own]) & (h < key[own]))
+            at = own[less]
+            rarest[at], key[at], offset[at] = n[less], h[less], off
         # A window with a shingle that no document has cannot occur.
-        rows = sorted((x & (2**64 - 1), i, o) for i, (n, x, o) in best.items() if n)
-        if rows:
-            h, i, o = zip(*rows)
-            out[k] = Keys(np.array(h, dtype=np.uint64), np.array(i, dtype=np.int64), np.array(o, dtype=np.int64))
+        window = np.flatnonzero((rarest > 0) & (rarest < np.iinfo(np.int64).max))
+        if len(window):
+            window = window[np.argsort(key[window], kind="stable")]
+            out[k] = Keys(key[window], window, offset[window])
     return out
 
 
@@ -210,8 +218,9 @@ def find_passages(
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "x"), F.lit(blocks)) == b).orderBy("i", "x").collect()
         win = _windows([r.i for r in rows], [r.x.encode() for r in rows], window)
-        wanted = {k: np.unique(np.concatenate([h for _, _, h in parts])) for k, parts in _shingles(win, shingle).items()}
-        keys = _prefixes(win, shingle, _counts(docs, text, wanted) if wanted else {})
+        parts = _shingles(win, shingle)
+        wanted = {k: np.unique(np.concatenate([h for _, _, h in x])) for k, x in parts.items()}
+        keys = _prefixes(win, parts, wanted, _counts(docs, text, wanted) if wanted else {})
         out = _one_block(out, win, keys)
         if b + 1 < blocks:
             out = checkpointed(out)
