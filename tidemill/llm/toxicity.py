@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.llm import words as w
 from tidemill.llm.quality_model import fold
-from tidemill.llm.tables import checkpointed
+from tidemill.llm.tables import checkpointed, first_by_hash
 
 #: Hash buckets of terms, buckets that the machine keeps as they differ between the classes by themselves, length of the
 #: interaction vectors, most labelled rows it is fitted on, and passes over them.
@@ -96,24 +96,28 @@ def interacting(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, names: np.
     at = np.minimum(np.searchsorted(names, bucket), m - 1)
     ok = names[at] == bucket
     owner, at = owner[ok], at[ok]
-    both, ones = np.zeros((m, m)), np.zeros((m, m))
+    # Counts below 2 ** 24 are exact in 32 bits.
+    both, ones = np.zeros((m, m), dtype=np.float32), np.zeros((m, m), dtype=np.float32)
     for a in range(0, n, 2000):
         x = np.zeros((min(2000, n - a), m), dtype=np.float32)
         here = (owner >= a) & (owner < a + 2000)
         x[owner[here] - a, at[here]] = 1
         both += x.T @ x
         ones += (x * y[a : a + 2000, None].astype(np.float32)).T @ x
-    k, s = np.diag(both), np.diag(ones)
-    cases = [(both, ones), (k[:, None] - both, s[:, None] - ones), (k[None] - both, s[None] - ones), (n - k[:, None] - k[None] + both, y.sum() - s[:, None] - s[None] + ones)]
-    enough = np.min([c for c, _ in cases], axis=0) >= LEAST_CASE
-    effect, inverse = np.zeros((m, m)), np.zeros((m, m))
-    for (c, o), sign in zip(cases, (1, -1, -1, 1)):
-        c = np.maximum(c, 1)
-        effect += sign * o / c
-        inverse += 1 / c
+    k, s = np.diag(both).astype(float), np.diag(ones).astype(float)
     share = (y.sum() + 0.5) / (n + 1)
-    far = enough & (np.abs(effect) > errors * np.sqrt(share * (1 - share) * inverse))
-    return names[far.any(axis=1)]
+    far = np.zeros(m, dtype=bool)
+    for a in range(0, m, 128):  # a few terms against all others, so that the driver holds little more than the counts
+        b, o, ka, sa = both[a : a + 128].astype(float), ones[a : a + 128].astype(float), k[a : a + 128, None], s[a : a + 128, None]
+        cases = [(b, o), (ka - b, sa - o), (k[None] - b, s[None] - o), (n - ka - k[None] + b, y.sum() - sa - s[None] + o)]
+        enough = np.min([c for c, _ in cases], axis=0) >= LEAST_CASE
+        effect, inverse = np.zeros(b.shape), np.zeros(b.shape)
+        for (c, o), sign in zip(cases, (1, -1, -1, 1)):
+            c = np.maximum(c, 1)
+            effect += sign * o / c
+            inverse += 1 / c
+        far[a : a + 128] = (enough & (np.abs(effect) > errors * np.sqrt(share * (1 - share) * inverse))).any(axis=1)
+    return names[far]
 
 
 def fit(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, names: np.ndarray, rank: int = RANK, passes: int = PASSES, rate: float = 0.05, ridge: float = 0.02, seed: int = 7) -> Machine:
@@ -163,16 +167,18 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: s
 
     Labels are read only of ids outside the held-out part; a null label is none, and an id labelled
     twice takes its larger label. Null and empty texts have no terms and get the score of the bias;
-    without labels every score is one half. Repeated rows get equal scores. Whole texts are read, however long. The machine
+    without labels every score is one half. Repeated rows get equal scores; of rows that share an id one text
+    is learned from. Whole texts are read, however long. The machine
     knows the ``KEPT`` terms that differ most between the classes and those of the ``PAIRED`` most even ones that matter in pairs.
     """
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.where(fold(F.col("doc_id"), parts) != held).groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
-    known = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    known = checkpointed(first_by_hash(known, "doc_id", fit_rows))
 
-    # At most ``fit_rows`` labels, so the texts stay where they are.
-    sample = source.join(F.broadcast(known), "doc_id").select("label", "text")
+    # At most ``fit_rows`` labels, so the texts stay where they are; then one text an id, and only those are read again.
+    sample = source.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = checkpointed(sample.select(F.xxhash64("doc_id").alias("lot"), "label", "text"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ones = np.zeros(buckets + 1, dtype=np.int64), np.zeros(buckets + 1, dtype=np.int64)
@@ -201,9 +207,9 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: s
             owner, bucket = owner[known[bucket]], bucket[known[bucket]]
             first = np.searchsorted(owner, np.arange(len(texts) + 1))
             own = pa.ListArray.from_arrays(pa.array(first, type=pa.int32()), pa.array(bucket, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("label"), own], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column("lot"), part.column("label"), own], names=["lot", "label", "terms"])
 
-    rows = sample.mapInArrow(gather, "label int, terms array<int>").toArrow()
+    rows = sample.mapInArrow(gather, "lot bigint, label int, terms array<int>").toArrow().sort_by("lot")
     lists = rows.column("terms").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if len(rows) else np.zeros(0, dtype=np.int64)
     flat = lists.flatten().to_numpy() if len(rows) else np.zeros(0, dtype=np.int64)
