@@ -283,7 +283,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, schema.types)], schema=schema)
 
         number = 0
-        for part, texts in w.chunks(batches, "text"):
+        for part, texts in w.chunks(batches, "text", 4 << 20):
             if schema is None:
                 long = pa.int64()
                 schema = pa.schema([("doc_id", part.schema.field("doc_id").type), ("start", long), ("length", long), ("ids", pa.binary()), ("doc_tokens", long), ("sequence_id", long), ("offset", long)])
