@@ -6,7 +6,8 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, jaccard, quality_model, toxicity, url_filter
+from tidemill.llm import decontaminate, jaccard, packing, quality_model, toxicity, url_filter
+from tidemill.llm.queries import tokenizer
 from tidemill.llm.tables import first_by_hash
 
 
@@ -63,6 +64,22 @@ def test_one_signature_with_most_rows_keeps_every_link(spark):
     assert found == {d: find(d) for d, _ in sets}
 
 
+def test_texts_are_encoded_in_little_memory():
+    rng = np.random.default_rng(3)
+    names = np.array([f"w{i}" for i in range(20_000)])
+    texts = [" ".join(names[rng.integers(0, 20_000, 500)]).encode() for _ in range(1_500)]
+    tokens = packing.WordTokens(tokenizer())
+    want = [x for t in texts[:50] for x in tokens.encode([t])]
+    tokens.encode(texts[:200])
+    tracemalloc.start()
+    got = tokens.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:50] == want and len(got) == len(texts)
+    size = sum(map(len, texts))
+    assert size > 4_000_000 and most < 16 * size, (most, size)
+
+
 def test_blocks_reach_chains_and_hubs_but_not_allowed_pages(spark):
     link = '<link rel="canonical" href="{}">'
     chain = [(i, f"http://c{i}.org/p", link.format(f"http://c{i + 1}.org/p")) for i in range(40)] + [(40, "http://c40.org/p", link.format("http://bad.net/x"))]

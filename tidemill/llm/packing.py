@@ -26,6 +26,8 @@ from tidemill.llm import words as w
 BLOCK_TOKENS = 1 << 20
 #: Distinct words that a Python worker remembers, before it starts anew.
 CACHE_WORDS = 2_000_000
+#: Text that a task packs at a time, and text that it encodes at a time.
+PART_BYTES, TEXT_BYTES = 4 << 20, 1 << 20
 
 
 #: How the tokenizer's own pattern cuts a lower-cased text of ASCII and Latin-1 letters; texts with other characters go to it whole.
@@ -58,7 +60,7 @@ class WordTokens:
     def forget(self) -> None:
         """No word is known. ``known`` holds sorted hashes, and ``start`` and ``size`` where each word's ids are in ``ids``."""
         self.known = np.zeros(0, dtype=np.uint64)
-        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.start, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint32)
         self.ids = np.zeros(0, dtype="<u4")
 
     def _place(self, hashes: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ class WordTokens:
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known words one after the other, and the end of each."""
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         upto = np.zeros(len(at) + 1, dtype=np.int64)
         np.cumsum(size, out=upto[1:])
         return self.ids[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])], upto
@@ -131,6 +133,17 @@ class WordTokens:
         return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text; about ``TEXT_BYTES`` of them are worked on at a time."""
+        out, at, size = [], 0, 0
+        for i, t in enumerate(texts):
+            n = len(t or b"")
+            if i > at and size + n > TEXT_BYTES:
+                out += self._encode(texts[at:i])
+                at, size = i, 0
+            size += n
+        return out + self._encode(texts[at:])
+
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
         plain, whole = [], {}
         for i, t in enumerate(texts):
             text = t.decode() if t else ""
@@ -283,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, schema.types)], schema=schema)
 
         number = 0
-        for part, texts in w.chunks(batches, "text", 4 << 20):
+        for part, texts in w.chunks(batches, "text", PART_BYTES):
             if schema is None:
                 long = pa.int64()
                 schema = pa.schema([("doc_id", part.schema.field("doc_id").type), ("start", long), ("length", long), ("ids", pa.binary()), ("doc_tokens", long), ("sequence_id", long), ("offset", long)])

@@ -6,6 +6,7 @@ table marks; every function works on the words of all texts of a chunk together.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -160,6 +161,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other tasks and stages, beside a JVM that has grown."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # a C library without it keeps what it has
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts have about ``limit`` bytes; one longer text stands alone."""
     for batch in batches:
@@ -173,8 +183,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             size += n
         if at < len(sizes):
             yield batch.slice(at), text_bytes(column.slice(at))
-    # The worker lives on for other stages.
-    pa.default_memory_pool().release_unused()
+        del column, batch
+        give_back()
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
