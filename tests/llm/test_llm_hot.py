@@ -64,6 +64,33 @@ def test_one_signature_with_most_rows_keeps_every_link(spark):
     assert found == {d: find(d) for d, _ in sets}
 
 
+def test_signatures_are_looked_up_whole_or_by_heat_with_the_same_links(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for family, size in ((0, 90), (1, 40), (2, 9)):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(size):
+            mine = list(base)
+            mine[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(mine)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, real = [], jaccard.lookup_by_value
+
+    def lookup(df, key, table, table_key, count, total, fields, small=False):
+        if "mixed" in fields:
+            seen.append(df.count())
+        return real(df, key, table, table_key, count, total, fields, small)
+
+    monkeypatch.setattr(jaccard, "lookup_by_value", lookup)
+    found = []
+    for few in (jaccard.FEW_SIGNATURES, -1):
+        monkeypatch.setattr(jaccard, "FEW_SIGNATURES", few)
+        found.append({r.doc_id: r.component_id for r in jaccard.classes(docs, 2, 80, 100).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    # Later turns look only at buckets that still held several classes.
+    assert seen[0] > seen[1] and seen[2:] == seen[:2], seen
+
+
 def test_texts_are_encoded_in_little_memory():
     rng = np.random.default_rng(3)
     names = np.array([f"w{i}" for i in range(20_000)])

@@ -39,6 +39,8 @@ LOOK_PERCENT = 7
 RARE, CELL, PAIRED, SMALL = 8, 5, 16, 6
 #: Turns in which documents of large buckets meet a neighbour, and documents that meet at one table.
 TURNS, TABLE = 1, 64
+#: Signatures whose values go to every task as a whole.
+FEW_SIGNATURES = 500_000
 #: Tokens and documents of a block of the last step.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 512
 
@@ -155,20 +157,27 @@ def _near(n: Column, m: Column, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & F.lit(True)
 
 
+def by_signature(rows: DataFrame, table: DataFrame, total: int, fields: dict[str, str]) -> DataFrame:
+    """``rows`` with ``fields`` of a written ``table`` that has one row per ``sig`` and its number ``m`` of ``total`` rows.
+
+    Few signatures go to every task, and the rows stay where they are. Of more, those with more than a
+    thousandth of the rows do, so that no task gets all rows of one.
+    """
+    return lookup_by_value(rows, F.col("sig"), table, "sig", "m", total, fields, small=table.count() <= FEW_SIGNATURES)
+
+
 def links(sets: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over links between the documents of ``index``, enough of them to connect every class."""
-    # Signatures with more than a thousandth of the rows are looked up by broadcast, so that no task gets all rows of one.
     total = index.count()
     sizes = checkpointed(index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"))
-    index = checkpointed(lookup_by_value(index, F.col("sig"), sizes, "sig", "m", total, {"m": "m"}).where("m is not null"))
+    index = checkpointed(by_signature(index, sizes, total, {"m": "m"}).where("m is not null"))
     small = index.where(F.col("m") <= SMALL)
     other = small.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     pairs = small.join(other, "sig").where((F.col("doc_id") < F.col("b")) & _near(F.col("n"), F.col("nb"), num, den)).select(F.col("doc_id").alias("a"), "b").distinct()
     edges = [checkpointed(verified(pairs, sets, num, den))]
-    large = index.where(F.col("m") > SMALL)
 
-    def classed() -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the rows of large buckets that still hold several of them."""
+    def classed(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the rows of large buckets that still hold several of them; a bucket with one never has more."""
         found = edges[0]
         for e in edges[1:]:
             found = found.union(e)
@@ -176,10 +185,10 @@ def links(sets: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
         rows = large.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("component"))
         rows = checkpointed(rows)
         mixed = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("m").alias("m")).where("x <> y").withColumn("mixed", F.lit(True))
-        rows = lookup_by_value(rows, F.col("sig"), checkpointed(mixed), "sig", "m", total, {"mixed": "mixed"})
+        rows = by_signature(rows, checkpointed(mixed), total, {"mixed": "mixed"})
         return known, checkpointed(rows.where("mixed").drop("mixed"))
 
-    known, rows = classed()
+    known, rows = classed(index.where(F.col("m") > SMALL))
     for turn in range(TURNS):
         if not rows.limit(1).count():
             return known
@@ -192,7 +201,7 @@ def links(sets: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
         met = met.where((F.col("component") != F.col("o.component")) & _near(F.col("n"), F.col("o.n"), num, den))
         pairs = met.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b")).distinct()
         edges.append(checkpointed(verified(pairs, sets, num, den)))
-        known, rows = classed()
+        known, rows = classed(rows.drop("component"))
     if not rows.limit(1).count():
         return known
     edges.append(checkpointed(tiled(rows, sets, num, den)))
@@ -208,7 +217,7 @@ def tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     docs = checkpointed(rows.select("doc_id", "n", "component").distinct())
     pivots = checkpointed(rows.groupBy("sig").agg(F.min("doc_id").alias("p"), F.count("*").alias("m")))
-    paired = lookup_by_value(rows.drop("m"), F.col("sig"), pivots, "sig", "m", rows.count(), {"p": "p"})
+    paired = by_signature(rows.drop("m"), pivots, rows.count(), {"p": "p"})
     cluster = components(paired.select("doc_id", "p").distinct(), "doc_id", "p").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     docs = docs.join(cluster, "doc_id").withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.0001)).cast("int"))
     main = docs.groupBy("cluster", "component").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "component")).alias("x"))
