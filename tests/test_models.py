@@ -248,3 +248,22 @@ def test_bounded_fits_are_scored_on_whole_folds(staff, monkeypatch):
     m.train_model(staff, "will_quit", "logistic_regression", key=["id"], exclude=["id"], max_rows=100)
     m.feature_importance(staff, "will_quit", "logistic_regression", exclude=["id"], max_rows=100)
     assert learned[1:] == [train, 400] and all(60 <= n <= 140 for n in fitted[4:])
+
+
+def test_fits_of_a_search_learn_from_rows_kept_apart(spark):
+    rows = spark.range(4_000).select("id", (F.col("id") % 4).alias("fold"), F.col("id").cast("double").alias("features"), F.lit(0.0).alias("label"))
+    rows = rows.withColumn("unit", m.bound_unit(["id"])).repartition(8, "id").persist()
+    try:
+        for most in (500, 3_500, None):
+            learned = m._Learned(rows, most)
+            for fold in (None, 0, 3):
+                own = rows if fold is None else rows.where(F.col("fold") != fold)
+                want = m._within(own, most, "unit").select("features", "label").rdd.glom().collect()
+                assert learned.without(fold).rdd.glom().collect() == want
+            assert (learned.part is rows) == (most != 500)
+            if most == 500:
+                # Fits scan a kept table of few rows, not the whole one.
+                assert learned.part.storageLevel.useMemory and learned.part.count() < 800
+                learned.part.unpersist()
+    finally:
+        rows.unpersist()
