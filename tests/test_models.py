@@ -267,3 +267,45 @@ def test_fits_of_a_search_learn_from_rows_kept_apart(spark):
                 learned.part.unpersist()
     finally:
         rows.unpersist()
+
+
+def test_a_search_of_logistic_regressions_keeps_no_rows_in_executors(spark, staff, monkeypatch):
+    """All fits share passes over stored rows; each score is that of Spark's trainer on the same rows."""
+    monkeypatch.setattr(m, "_fit", None)  # no fit of its own, which would cache its rows
+    fold_table, stored = m._fold_table, []
+    monkeypatch.setattr(m, "_fold_table", lambda *args: (stored.append(fold_table(*args)), stored[-1])[1])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = {r["params"]: r for r in m.tune(staff, "will_quit", "logistic_regression", 3, ["id"], {"C": [0.01, 10]}, exclude=["id"]).collect()}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    prepared, _, table, rows = stored[0]
+    for c in (0.01, 10):
+        scores = []
+        for fold in range(3):
+            est = m.build_estimator("logistic_regression", "classification", 2, rows - rows // 3, {"C": c})
+            scores.append(m._score_of("classification", est.fit(table.filter(F.col("fold") != fold)).transform(table.filter(F.col("fold") == fold))))
+        assert found[str({"C": c})]["mean_score"] == round(sum(scores) / 3, 4)
+
+
+def test_logistic_fits_that_share_passes_equal_sparks(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+
+    from tidemill.operators import logistic
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(5e4, 3e4, 900), rng.normal(size=900), np.full(900, 7.0), rng.integers(0, 3, 900)])
+    y = (x[:, 0] / 3e4 + x[:, 1] + rng.normal(size=900) > 2).astype(float)
+    rows = [(*map(float, r), float(v), i % 3) for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, f3 double, label double, fold int").repartition(4)
+    monkeypatch.setattr(logistic, "TOGETHER", 2)
+    for ridge in (0.0, 0.3):
+        fits = [logistic.Fit(i, ridge, 500, 1e-6) for i in range(3)]
+        found = logistic.fold_accuracy(df, 4, 3, fits)
+        for i, share in enumerate(found):
+            model = LogisticRegression(maxIter=500, regParam=ridge, standardization=False).fit(m.assembler(4).transform(df.where(F.col("fold") != i)))
+            assert share == m._score_of("classification", model.transform(m.assembler(4).transform(df.where(F.col("fold") == i))))
+    # Folds of one class only: the rest is learned, or the one class is what is predicted.
+    one = df.withColumn("label", F.when(F.col("fold") == 0, 1.0).otherwise(0.0))
+    assert logistic.fold_accuracy(one, 4, 2, [logistic.Fit(0, 0.1, 500, 1e-6)]) == [0.0]
+    with pytest.raises(ValueError, match="finite"):
+        logistic.fold_accuracy(df.withColumn("f1", F.lit(float("nan"))), 4, 3, [logistic.Fit(0, 0.1, 500, 1e-6)])
