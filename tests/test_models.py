@@ -309,3 +309,25 @@ def test_logistic_fits_that_share_passes_equal_sparks(spark, monkeypatch):
     assert logistic.fold_accuracy(one, 4, 2, [logistic.Fit(0, 0.1, 500, 1e-6)]) == [0.0]
     with pytest.raises(ValueError, match="finite"):
         logistic.fold_accuracy(df.withColumn("f1", F.lit(float("nan"))), 4, 3, [logistic.Fit(0, 0.1, 500, 1e-6)])
+
+
+@pytest.mark.parametrize("name", ["auto_train", "compare_models", "automatic_run"])
+def test_registered_comparisons_learn_from_all_rows(spark, monkeypatch, name):
+    from inspect import signature
+
+    from tidemill.queries import QUERIES, models
+
+    class Asked(Exception):
+        pass
+
+    def ask(fn):
+        def asked(*args, **more):
+            raise Asked(signature(fn).bind(*args, **more).arguments.get("max_rows"))
+
+        return asked
+
+    monkeypatch.setattr(models.modeling, "auto_train", ask(m.auto_train))
+    monkeypatch.setattr(models.automatic, "automatic_run", ask(automatic.automatic_run))
+    with pytest.raises(Asked) as bound:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert bound.value.args == (None,)
